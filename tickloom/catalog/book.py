@@ -23,7 +23,7 @@ KEY = ["date", "symbol", "serial"]
 )
 def book_snapshot_signals(spark, sf_dir):
     """Weighted depth imbalance, microprice displacement and spread conditioning."""
-    return fx.quotes(spark, sf_dir).select(
+    return bk.with_side_depths(fx.quotes(spark, sf_dir), (0, 1, 4)).select(
         *KEY,
         *[r6(bk.depth_imbalance(v)).alias(f"depth{v}") for v in (0, 1, 4)],
         r6(bk.microprice_displacement()).alias("micro"),
@@ -61,12 +61,12 @@ FROM lv LEFT JOIN w_buy USING (date, symbol, serial) LEFT JOIN w_sell USING (dat
 )
 def depth_fragility(spark, sf_dir):
     """Walk-the-book sweep cost, by VWAP and by terminal price, with valid-level counts."""
-    return fx.quotes(spark, sf_dir).select(
+    return bk.with_sweep(fx.quotes(spark, sf_dir), 0.25).select(
         *KEY,
         bk.level_count("bp", "bv").cast("bigint").alias("bid_levels"),
         bk.level_count("ap", "av").cast("bigint").alias("ask_levels"),
-        r6(bk.depth_fragility(0.25)).alias("vwap_form"),
-        r6(bk.terminal_fragility(0.25)).alias("terminal_form"),
+        r6(F.col("vwap_fragility")).alias("vwap_form"),
+        r6(F.col("terminal_fragility")).alias("terminal_form"),
     )
 
 
@@ -121,9 +121,9 @@ FROM nf LEFT JOIN slope USING (date, symbol, serial) LEFT JOIN conv USING (date,
 )
 def depth_profile(spark, sf_dir):
     """Slope, convexity and near-far divergence of the displayed depth."""
-    return fx.quotes(spark, sf_dir).select(
+    return bk.with_profile(fx.quotes(spark, sf_dir), "bp", "bv", "bid").select(
         *KEY,
-        r6(bk.depth_slope("bp", "bv")).alias("bid_slope"),
-        r6(bk.depth_convexity("bp", "bv")).alias("bid_convexity"),
+        r6(F.col("bid_slope")).alias("bid_slope"),
+        r6(F.col("bid_convexity")).alias("bid_convexity"),
         r6(bk.near_far_divergence()).alias("near_far"),
     )

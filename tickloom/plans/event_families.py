@@ -189,10 +189,13 @@ def event_normalizer(window: int, count: Column) -> Column:
     return F.greatest(F.lit(1e-6), scale / float(window))
 
 
+BOOK_VARIANTS = sorted({variant for _, kind, _, variant, _, _ in BOOK if kind != "micro"})
+
+
 def book_signals() -> dict[str, Column]:
     """Every distinct raw snapshot signal the book columns draw on."""
     out = {"micro": book.microprice_displacement()}
-    for variant in sorted({v for _, k, _, v, _, _ in BOOK if k != "micro"}):
+    for variant in BOOK_VARIANTS:
         out[f"depth{variant}"] = book.depth_imbalance(variant)
         out[f"spread{variant}"] = book.spread_conditioned(variant)
     return out
@@ -217,6 +220,7 @@ def book_imbalance(streams: Streams, cuts: DataFrame) -> DataFrame:
     latest = latest_at_cuts(streams.quotes, cuts, ["bp", "bv", "ap", "av"])
     counts = totals_at_cuts(streams.quotes, cuts, {"_count": ("sum", F.lit(1).cast("bigint"))})
     raw = {f"_{k}": e for k, e in book_signals().items()}
+    latest = book.with_side_depths(latest, BOOK_VARIANTS)
     base = latest.join(counts, KEYS).select(*KEYS, "_count", book.valid_touch().alias("_ok"), *[e.alias(k) for k, e in raw.items()])
     values = [
         combine_signal(F.col("_micro" if k == "micro" else f"_{k}{v}"), w, v, lag, op, F.col("_count")).alias(n)
