@@ -132,3 +132,127 @@ MARKET_SQL = ",\n".join([FEED_SQL, TRADES_SQL, QUOTES_SQL, ORDERS_SQL, CUTS_SQL]
 def r6s(expr: str) -> str:
     """The report rounding of ``scalar.r6`` as SQL text."""
     return f"floor(({expr})::DOUBLE * 1e6 + 0.5001) / 1e6"
+
+
+# --- evaluation panel over lineitem ---------------------------------------------------------
+# A month is a date (moved into 2021 and later), a line number an event, a supplier a symbol.
+# Factor values are ratios of exact integers, so that ranks do not depend on summation order.
+
+# Published event codes.
+EVENTS = [92600000, 100000000, 103000000, 110000000, 113000000, 133000000, 140000000, 143000000]
+
+PANEL_FACTORS = ["fa", "fb", "fc"]
+
+_MONTH_SPARK = "CAST(year(l_shipdate) + 26 AS STRING) || lpad(CAST(month(l_shipdate) AS STRING), 2, '0') || '15'"
+_MONTH_DUCK = _MONTH_SPARK.replace("STRING", "VARCHAR")
+_EVENT_SPARK = f"element_at(array({', '.join(f'{e}L' for e in EVENTS)}), l_linenumber)"
+_EVENT_DUCK = f"CAST(([{', '.join(map(str, EVENTS))}])[l_linenumber] AS BIGINT)"
+
+_PANEL = """
+  l_suppkey AS symbol,
+  sum(CAST(floor(l_extendedprice) AS BIGINT)) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS fa,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS fb,
+  sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS fc,
+  count(*) AS n
+"""
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide factor panel with readiness: one row per date, event and symbol."""
+    t = table(spark, sf_dir, "lineitem").selectExpr("*", f"{_MONTH_SPARK} AS date", f"{_EVENT_SPARK} AS event")
+    t.createOrReplaceTempView("tickloom_panel_rows")
+    p = spark.sql(f"SELECT date, event, {_PANEL} FROM tickloom_panel_rows GROUP BY date, event, l_suppkey")
+    ready = {"fa": "true", "fb": "n >= 2", "fc": "event <> 92600000"}
+    return p.selectExpr(
+        "symbol", "date", "event", "n", *PANEL_FACTORS,
+        *[f"{r} AS ready_{f}" for f, r in ready.items()],
+        *[f"CAST(CASE WHEN {r} THEN 0 ELSE {3 if f == 'fb' else 4} END AS SMALLINT) AS reason_{f}" for f, r in ready.items()],
+    )
+
+
+PANEL_SQL = f"""panel0 AS (SELECT {_MONTH_DUCK} AS date, {_EVENT_DUCK} AS event, {_PANEL} FROM lineitem GROUP BY 1, 2, l_suppkey),
+panel AS (SELECT symbol, date, event, n, fa, fb, fc, true AS ready_fa, n >= 2 AS ready_fb, event <> 92600000 AS ready_fc,
+  0 AS reason_fa, CASE WHEN n >= 2 THEN 0 ELSE 3 END AS reason_fb, CASE WHEN event <> 92600000 THEN 0 ELSE 4 END AS reason_fc FROM panel0)"""
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-date return of the price factor, demeaned per date and event, and per nation as well."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    p = panel(spark, sf_dir).select("symbol", "date", "event", "fa")
+    # one row per date: bounded by the calendar
+    nxt = F.lead("fa").over(Window.partitionBy("symbol", "event").orderBy("date"))
+    raw = p.withColumn("r", (nxt - F.col("fa")) / F.col("fa")).filter("r IS NOT NULL")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS symbol", "s_nationkey AS nation")
+    raw = raw.join(s, "symbol")
+    day = raw.groupBy("date", "event").agg(F.avg("r").alias("m"))
+    nation = raw.groupBy("date", "event", "nation").agg(F.avg("r").alias("mn"))
+    return (
+        raw.join(day, ["date", "event"])
+        .join(nation, ["date", "event", "nation"])
+        .selectExpr("symbol", "date", "event", "r - m AS v_1D_v_demean", "CASE WHEN nation % 11 <> 3 THEN r - mn END AS v_1D_v_neuted")
+    )
+
+
+LABELS_SQL = """raw AS (SELECT * FROM (SELECT symbol, date, event, (lead(fa) OVER (PARTITION BY symbol, event ORDER BY date) - fa) / fa AS r FROM panel) WHERE r IS NOT NULL),
+rawn AS (SELECT raw.*, s_nationkey AS nation FROM raw JOIN supplier ON s_suppkey = symbol),
+labels_p AS (SELECT symbol, date, event, r - avg(r) OVER (PARTITION BY date, event) AS v_1D_v_demean,
+  CASE WHEN nation % 11 <> 3 THEN r - avg(r) OVER (PARTITION BY date, event, nation) END AS v_1D_v_neuted FROM rawn)"""
+
+
+def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide membership and tradability by exchange-suffixed code."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "CAST(s_suppkey AS STRING) || '.SZ' AS code",
+        "1 AS `000985`",
+        "CASE WHEN s_nationkey < 15 THEN 1 ELSE 0 END AS `003800`",
+        "CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 0 END AS `000906`",
+        "CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS isdt1",
+        "CASE WHEN s_nationkey = 7 THEN 1 ELSE 0 END AS iszt1",
+    )
+
+
+UNIVERSE_SQL = """members AS (SELECT s_suppkey AS symbol, u.universe, (CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END) + (CASE WHEN s_nationkey = 7 THEN 1 ELSE 0 END) = 0 AS tradable
+  FROM supplier, (VALUES ('000985'), ('003800'), ('000906')) AS u(universe)
+  WHERE u.universe = '000985' OR (u.universe = '003800' AND s_nationkey < 15) OR (u.universe = '000906' AND s_nationkey % 2 = 0))"""
+
+
+# --- metric panel over lineitem -------------------------------------------------------------
+
+_METRIC = """
+  'f' || CAST(l_suppkey % 6 AS {T}) AS factor,
+  CASE WHEN CAST(floor(l_tax * 100 + 0.5) AS BIGINT) % 2 = 0 THEN '000906' ELSE '000985' END AS universe,
+  CASE l_linestatus WHEN 'O' THEN 'raw926' ELSE 'ease926' END AS label,
+  CAST(l_quantity AS BIGINT) AS q, CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS d
+"""
+_METRIC_AGG = """
+  count(*) AS n,
+  (sum(q) - 25 * count(*)) / CAST(100 * count(*) AS DOUBLE) AS RankIC,
+  CASE WHEN count(*) > 1 THEN (sum(d) - 5 * count(*)) / CAST(20 * count(*) AS DOUBLE) END AS IC,
+  (sum(q) - 24 * count(*)) / CAST(1000 * count(*) AS DOUBLE) AS LS,
+  (26 * count(*) - sum(q)) / CAST(50 * count(*) AS DOUBLE) AS Monotonicity
+"""
+CORE = ["RankIC", "IC", "LS", "Monotonicity"]
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric panel in wide-by-metric form: split, label, universe, date, event, factor, four metrics."""
+    from tickloom.functions.scalar import split_of
+    from pyspark.sql import functions as F
+
+    t = table(spark, sf_dir, "lineitem").selectExpr(
+        f"{_MONTH_SPARK} AS date", f"{_EVENT_SPARK} AS event", *_exprs(_METRIC.format(T="STRING"))
+    )
+    t.createOrReplaceTempView("tickloom_metric_rows")
+    m = spark.sql(
+        f"SELECT date, event, factor, universe, label, {_METRIC_AGG} FROM tickloom_metric_rows GROUP BY date, event, factor, universe, label"
+    )
+    return m.withColumn("split", split_of(F.col("date"))).filter("split IS NOT NULL")
+
+
+METRICS_SQL = f"""metric_rows AS (SELECT {_MONTH_DUCK} AS date, {_EVENT_DUCK} AS event, {_METRIC.format(T="VARCHAR")} FROM lineitem),
+metrics AS (SELECT *, CASE WHEN date BETWEEN '20210104' AND '20221230' THEN 'training' WHEN date BETWEEN '20230103' AND '20241231' THEN 'observation'
+  WHEN date >= '20250101' THEN 'holdout' END AS split FROM (
+  SELECT date, event, factor, universe, label, {_METRIC_AGG} FROM metric_rows GROUP BY date, event, factor, universe, label)
+  WHERE date >= '20210104' AND NOT (date > '20221230' AND date < '20230103') AND NOT (date > '20241231' AND date < '20250101'))"""
