@@ -137,7 +137,7 @@ n AS (SELECT max(c) FILTER (WHERE split = 'training') AS td, max(c) FILTER (WHER
 e1 AS (SELECT e0.*, {_COV} AS coverage, training_rows <> td OR observation_rows <> od AS data_error, {_DEF} AS metric_defined,
   CASE WHEN training_rank_ic > 0 THEN 1 ELSE -1 END AS dir, abs((training_rank_ic + observation_rank_ic) / 2) - abs(parent.parent_rank_ic) AS delta
   FROM e0, n, (SELECT 0.012::DOUBLE AS parent_rank_ic) parent),
-ev AS (SELECT *, CASE WHEN data_error AND false THEN 'error' WHEN coverage <= 0 THEN 'not_evaluable' WHEN NOT metric_defined THEN 'not_evaluable' WHEN coverage < 0.95 THEN 'not_evaluable'
+ev AS (SELECT *, CASE WHEN coverage <= 0 THEN 'not_evaluable' WHEN NOT metric_defined THEN 'not_evaluable' WHEN coverage < 0.95 THEN 'not_evaluable'
   WHEN training_rank_ic * observation_rank_ic > 0 AND dir * training_ls > 0 AND dir * observation_ls > 0 AND dir * training_monotonicity < 0 AND dir * observation_monotonicity < 0
     AND least(abs(training_rank_ic), abs(observation_rank_ic)) >= 0.005 AND coalesce(abs(training_rank_ic_tstat), 2) >= 2 AND coalesce(abs(observation_rank_ic_tstat), 2) >= 2 AND delta > 0 THEN 'supported'
   WHEN training_rank_ic * observation_rank_ic > 0 THEN 'promising' ELSE 'unsupported' END AS status FROM e1)"""
@@ -320,13 +320,13 @@ def anomaly_days(spark, sf_dir):
 
 @query(
     "ic_series_spearman",
-    f"""{_SER}, w AS (PIVOT ser ON factor IN ('f0', 'f1', 'f2', 'f3', 'f4', 'f5') USING avg(ric) GROUP BY date, event),
+    f"""{_SER.replace("avg(RankIC) AS ric", r6s("avg(RankIC)") + " AS ric")}, w AS (PIVOT ser ON factor IN ('f0', 'f1', 'f2', 'f3', 'f4', 'f5') USING avg(ric) GROUP BY date, event),
 rk AS (SELECT {", ".join(f"CASE WHEN f{i} IS NOT NULL THEN rank() OVER (ORDER BY f{i} NULLS LAST) + (count(*) OVER (PARTITION BY f{i}) - 1) / 2.0::DOUBLE END AS f{i}" for i in range(6))} FROM w)
 {" UNION ALL ".join(f"SELECT 'f{a}' AS a, 'f{b}' AS b, {r6s(f'corr(f{a}, f{b})')} AS spearman FROM rk" for a in range(6) for b in range(a + 1, 6))}""",
 )
 def ic_series_spearman(spark, sf_dir):
     """Rank correlation between the IC series of factors, each series ranked once."""
-    ser = ic_series(spark, sf_dir).filter("ric IS NOT NULL")
+    ser = ic_series(spark, sf_dir).filter("ric IS NOT NULL").withColumn("ric", r6(F.col("ric")))
     ranked = average_rank(ser, ["factor"], "ric", "r")
     names = [f"f{i}" for i in range(6)]
     wide = ranked.groupBy("date", "event").agg(*[F.max(F.when(F.col("factor") == n, F.col("r"))).alias(n) for n in names])
