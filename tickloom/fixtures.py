@@ -256,3 +256,64 @@ metrics AS (SELECT *, CASE WHEN date BETWEEN '20210104' AND '20221230' THEN 'tra
   WHEN date >= '20250101' THEN 'holdout' END AS split FROM (
   SELECT date, event, factor, universe, label, {_METRIC_AGG} FROM metric_rows GROUP BY date, event, factor, universe, label)
   WHERE date >= '20210104' AND NOT (date > '20221230' AND date < '20230103') AND NOT (date > '20241231' AND date < '20250101'))"""
+
+
+# --- parent orders and fills over orders and lineitem ---------------------------------------
+
+_PARENT = """
+  CAST(20240102 + {k} % 5 AS {T}) AS date, CAST({k} // 5 % 40 AS BIGINT) AS symbol, CAST(48 + {k} // 5 % 40 % 2 AS SMALLINT) AS market
+"""
+_BOOKED_HEAD = _PARENT.format(k="o_orderkey", T="{T}") + """,
+  CAST(34200000 + {DAY_O} % 2640 * 7500 AS BIGINT) AS exch_ms, o_orderkey, o_orderdate, o_totalprice, o_orderkey AS serial
+"""
+_BOOKED = """
+  date, symbol, market, (exch_ms + (o_orderkey % 4) * 4000) * 1000 AS local_us, exch_ms, 2 AS channel, serial,
+  CASE WHEN market = 49 THEN 'A' ELSE '0' END AS order_type, CASE WHEN o_orderkey // 200 % 2 = 0 THEN 'B' ELSE 'S' END AS bsflag,
+  CAST(o_orderkey + 1 AS BIGINT) AS order_index, CAST(o_orderkey + 1 AS BIGINT) AS orderorino, exch_ms * 10 + 5 AS biz_index,
+  CAST(100000 + o_orderkey % 40 AS BIGINT) AS price, CAST(floor(o_totalprice / 1000) AS BIGINT) AS volume
+"""
+_DONE_HEAD = _PARENT.format(k="l_orderkey", T="{T}") + """,
+  CAST(34200000 + {DAY_L} % 2640 * 7500 AS BIGINT) AS exch_ms, l_orderkey, l_partkey, l_returnflag, l_quantity, l_extendedprice, l_orderkey // 200 % 2 = 0 AS buys,
+  CAST(100000000000 + (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS BIGINT) AS serial
+"""
+_DONE = """
+  date, symbol, market, (exch_ms + (l_partkey % 5) * 3000) * 1000 + 1 AS local_us, exch_ms, 1 AS channel, serial,
+  CASE l_returnflag WHEN 'A' THEN 'B' WHEN 'R' THEN 'S' ELSE 'N' END AS bsflag, CASE WHEN l_returnflag = 'N' THEN 'C' ELSE '0' END AS trade_type,
+  CAST(100000 + l_partkey % 50 AS BIGINT) AS price, CAST(l_quantity AS BIGINT) AS volume, CAST(floor(l_extendedprice) AS BIGINT) AS amount,
+  CAST(CASE WHEN buys THEN l_orderkey + 1 WHEN l_returnflag = 'N' THEN 0 ELSE l_orderkey + 1 + 200 * (1 + 2 * (l_partkey % 12)) END AS BIGINT) AS buy_id,
+  CAST(CASE WHEN NOT buys THEN l_orderkey + 1 WHEN l_returnflag = 'N' THEN 0 ELSE l_orderkey + 1 + 200 * (1 + 2 * (l_partkey % 12)) END AS BIGINT) AS sell_id,
+  serial AS trade_index, exch_ms * 10 + 4 AS biz_index, l_orderkey
+"""
+_DELETE = """
+  date, symbol, market, local_us, exch_ms, 2 AS channel, serial, 'D' AS order_type, CASE WHEN buy_id > 0 THEN 'B' ELSE 'S' END AS bsflag,
+  CAST(l_orderkey + 1 AS BIGINT) AS order_index, CAST(l_orderkey + 1 AS BIGINT) AS orderorino, biz_index, price, volume
+"""
+
+
+def _spark_div(text: str) -> str:
+    return text.replace(" // ", " div ")
+
+
+def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of the parent orders; Shanghai cancels live in the order stream instead."""
+    head = _spark_div(_DONE_HEAD.format(T="STRING", DAY_L="datediff(l_shipdate, DATE '1992-01-01')"))
+    t = table(spark, sf_dir, "lineitem").selectExpr(*_exprs(head)).selectExpr(*_exprs(_DONE))
+    return t
+
+
+def lifecycle_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fills(spark, sf_dir).filter("NOT (market = 49 AND trade_type = 'C')").drop("l_orderkey")
+
+
+def lifecycle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = _spark_div(_BOOKED_HEAD.format(T="STRING", DAY_O="datediff(o_orderdate, DATE '1992-01-01')"))
+    adds = table(spark, sf_dir, "orders").selectExpr(*_exprs(head)).selectExpr(*_exprs(_spark_div(_BOOKED)))
+    deletes = fills(spark, sf_dir).filter("market = 49 AND trade_type = 'C'").selectExpr(*_exprs(_DELETE))
+    return adds.unionByName(deletes)
+
+
+LIFECYCLE_SQL = f"""booked0 AS (SELECT {_BOOKED_HEAD.format(T="VARCHAR", DAY_O="date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))")} FROM orders),
+done0 AS (SELECT {_DONE_HEAD.format(T="VARCHAR", DAY_L="date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))")} FROM lineitem),
+done AS (SELECT {_DONE} FROM done0),
+lt AS (SELECT * EXCLUDE (l_orderkey) FROM done WHERE NOT (market = 49 AND trade_type = 'C')),
+lo AS (SELECT {_BOOKED} FROM booked0 UNION ALL BY NAME SELECT {_DELETE} FROM done WHERE market = 49 AND trade_type = 'C')"""
