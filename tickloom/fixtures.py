@@ -317,3 +317,29 @@ done0 AS (SELECT {_DONE_HEAD.format(T="VARCHAR", DAY_L="date_diff('day', DATE '1
 done AS (SELECT {_DONE} FROM done0),
 lt AS (SELECT * EXCLUDE (l_orderkey) FROM done WHERE NOT (market = 49 AND trade_type = 'C')),
 lo AS (SELECT {_BOOKED} FROM booked0 UNION ALL BY NAME SELECT {_DELETE} FROM done WHERE market = 49 AND trade_type = 'C')"""
+
+_LQUOTE_HEAD = """
+  date, symbol, market, (exch_ms + (o_orderkey % 3) * 2000) * 1000 AS local_us, exch_ms, 0 AS channel, serial, 100020 AS last_px
+"""
+_LLADDER = {
+    "bp": "100019 - 2 * {i}",
+    "ap": "100021 + (o_orderkey % 3) + 2 * {i}",
+    "bv": "(o_orderkey * ({i} + 3)) % 97 + 5",
+    "av": "(o_orderkey * ({i} + 2)) % 89 + 5",
+}
+_LQUOTE_SPARK = f"{_LQUOTE_HEAD}, " + ", ".join(f"array({', '.join('CAST(' + s.format(i=i) + ' AS BIGINT)' for i in range(10))}) AS {n}" for n, s in _LLADDER.items())
+_LQUOTE_DUCK = f"{_LQUOTE_HEAD}, " + ", ".join(f"list_transform(range(0, 10), lambda i: CAST({s.format(i='i')} AS BIGINT)) AS {n}" for n, s in _LLADDER.items())
+
+
+def lifecycle_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = _spark_div(_BOOKED_HEAD.format(T="STRING", DAY_O="datediff(o_orderdate, DATE '1992-01-01')"))
+    return table(spark, sf_dir, "orders").selectExpr(*_exprs(head)).selectExpr(*_exprs(_LQUOTE_SPARK))
+
+
+def lifecycle_streams(spark: SparkSession, sf_dir: str) -> Streams:
+    return Streams(lifecycle_quotes(spark, sf_dir), lifecycle_trades(spark, sf_dir), lifecycle_orders(spark, sf_dir))
+
+
+LIFECYCLE_CUTS_SQL = f"""lq AS (SELECT {_LQUOTE_DUCK} FROM booked0), {CHECKPOINT_ROWS},
+lkeys AS (SELECT date, exch_ms, {KEY} AS k FROM lt UNION ALL SELECT date, exch_ms, {KEY} AS k FROM lo UNION ALL SELECT date, exch_ms, {KEY} AS k FROM lq),
+cuts AS (SELECT date, CAST(event AS BIGINT) AS event, event_ms, min(k) AS cut FROM lkeys JOIN checkpoints ON exch_ms >= event_ms GROUP BY date, event, event_ms)"""
