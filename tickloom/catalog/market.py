@@ -48,7 +48,7 @@ def pair_mismatch(spark, sf_dir):
 _EVT = """le AS (
   SELECT date, symbol, order_id, confirm_ms AS event_ms, 0 AS rank, side, original, imm0 AS immediate, pas0 AS passive, can0 AS cancelled, rest0 AS rest, estimated FROM cf
   UNION ALL SELECT date, symbol, order_id, confirm_ms, 1, side, original, imm0, pas0, can0, rest0, estimated FROM cf WHERE rest0 = 0 AND market = 49)"""
-_LIVE = """lr AS (SELECT k.*, cf.side AS oside, imm0 + sum(CASE WHEN k.market = 48 AND incoming THEN filled ELSE 0 END) OVER w AS immediate, pas0 + sum(CASE WHEN k.market = 48 AND incoming THEN 0 ELSE filled END) OVER w AS passive,
+_LIVE = """lr AS (SELECT k.*, cf.side AS oside, cf.original, cf.estimated, imm0 + sum(CASE WHEN k.market = 48 AND incoming THEN filled ELSE 0 END) OVER w AS immediate, pas0 + sum(CASE WHEN k.market = 48 AND incoming THEN 0 ELSE filled END) OVER w AS passive,
   can0 + sum(CASE WHEN kind <> 'F' THEN applied ELSE 0 END) OVER w AS cancelled FROM (SELECT * EXCLUDE (imm0, pas0, can0, original, estimated, amt0) FROM kp) k JOIN (SELECT date, symbol, order_id, side, imm0, pas0, can0, original, estimated FROM cf) cf USING (date, symbol, order_id)
   WINDOW w AS (PARTITION BY date, symbol, order_id ORDER BY local_us, exch_ms, channel, serial, k.side ROWS UNBOUNDED PRECEDING))"""
 
@@ -104,12 +104,9 @@ g AS (SELECT date, symbol, event, sum(CASE WHEN side = 0 THEN w ELSE -w END) / s
 SELECT date, symbol, event, {r6s("CASE WHEN a >= 2 AND b >= 2 THEN ag END")} AS {C[4]}, {r6s("CASE WHEN a >= 2 AND b >= 2 THEN na END")} AS {C[5]} FROM g""",
 )
 def resting_commitment(spark, sf_dir):
-    """Age- and distance-weighted share of the resting parent orders.
-
-    The price of an order is its add record's, so later legs keep it.
-    """
+    """Age- and distance-weighted share of the resting parent orders."""
     s, cuts = setup(spark, sf_dir)
-    events = lc.reconstruct(s.trades, s.orders)["events"].withColumn("price", F.lit(100000) + (F.col("order_id") - 1) % 40)
+    events = lc.reconstruct(s.trades, s.orders)["events"]
     return rounded(of.commitment(events, s.quotes, cuts), C[4:6])
 
 

@@ -106,6 +106,7 @@ def order_states(legs: DataFrame, watermark_ms: int = WATERMARK_MS) -> DataFrame
             "_inc": F.max(_flag(pre & F.col("incoming"))).over(whole) == 1,
             "_a_qty": F.max(F.when(pre & add, F.col("qty"))).over(whole),
             "_a_biz": F.max(F.when(pre & add, F.col("biz_index"))).over(whole),
+            "order_price": F.max(F.when(pre & add, F.col("price"))).over(whole),
             "_a_us": F.min(F.when(pre & add, F.col("local_us"))).over(whole),
             "_last": F.max(F.when(pre, F.col("exch_ms"))).over(whole),
             "first_ms": F.min(F.when(pre, F.col("exch_ms"))).over(whole),
@@ -215,7 +216,7 @@ def lifecycle_events(states: DataFrame) -> DataFrame:
             F.when(F.col("live"), moved),
         )
     )
-    return rows.select(*ORDER, *ORDER_KEY, F.col("order_side").alias("side"), "original", "estimated", "price", F.explode(out).alias("_e")).select(
+    return rows.select(*ORDER, *ORDER_KEY, F.col("order_side").alias("side"), "original", "estimated", F.col("order_price").alias("price"), F.explode(out).alias("_e")).select(
         *ORDER, *ORDER_KEY, "side", "original", "estimated", "price", "_e.*"
     )
 
