@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom import fixtures as fx
@@ -116,3 +117,194 @@ def market_microstructure_family(spark, sf_dir):
     s, cuts = setup(spark, sf_dir)
     panel = FAMILIES["market_microstructure"].build(s, cuts)
     return panel.select(*KEYS, *[r6(F.col(c)).alias(c) for c in C], *[F.col(f"reason_{c}").cast("int").alias(f"reason_{c}") for c in C])
+
+
+# --- demonstration family ---------------------------------------------------------------------
+
+from tickloom.operators import histogram as hg  # noqa: E402
+from tickloom.operators import ofi  # noqa: E402
+from tickloom.plans import demo_family as df_  # noqa: E402
+
+W = f"WITH {fx.MARKET_SQL}"
+#: spans in seconds fitting the stand-in's minute-a-day clock
+SPANS = {"short": 3600, "mid": 10800, "volume": 7200, "chip": 7200}
+
+
+def seen_sql(table, where="true", name="seen"):
+    return f"""{name} AS (SELECT t.*, c.event, c.event_ms, row_number() OVER (PARTITION BY t.date, t.symbol, c.event ORDER BY t.local_us DESC, t.exch_ms DESC, t.channel DESC, t.serial DESC) AS rn,
+  count(*) OVER (PARTITION BY t.date, t.symbol, c.event) AS n FROM {table} t JOIN cuts c ON t.date = c.date AND (t.local_us, t.exch_ms, t.channel, t.serial) < c.cut WHERE {where})"""
+
+
+def feed_setup(spark, sf_dir):
+    s = fx.streams(spark, sf_dir)
+    return s, market_cuts(s.present())
+
+
+_PK = "((exch_ms // 3600000) * 10000000 + (exch_ms // 60000 % 60) * 100000 + (exch_ms // 1000 % 60) * 1000 + exch_ms % 1000)"
+_MARKS = """marks AS (SELECT date, symbol, local_us, exch_ms, channel, serial, last_px::DOUBLE AS p FROM quotes UNION ALL SELECT date, symbol, local_us, exch_ms, channel, serial, price::DOUBLE FROM trades WHERE trade_type <> 'C')"""
+
+
+@query(
+    "demo_prices",
+    f"""{W}, {_MARKS}, {seen_sql("quotes", name="q")}, {seen_sql("trades", name="t")}, {seen_sql("ord", name="o")}, {seen_sql("marks", name="m")},
+qa AS (SELECT date, symbol, event, {_PK} AS last_quote_time, n AS quote_count, bp[1]::DOUBLE AS best_bid, ap[1]::DOUBLE AS best_ask FROM q WHERE rn = 1),
+ta AS (SELECT date, symbol, event, max({_PK}) FILTER (WHERE rn = 1) AS last_trade_time, count(*) FILTER (WHERE trade_type <> 'C') AS trade_count FROM t GROUP BY ALL),
+oa AS (SELECT date, symbol, event, max({_PK}) FILTER (WHERE rn = 1) AS last_order_time, count(*) FILTER (WHERE NOT (market = 49 AND order_type = 'D')) AS order_count FROM o GROUP BY ALL),
+ma AS (SELECT date, symbol, event, p AS last_price FROM m WHERE rn = 1)
+SELECT date, symbol, event, coalesce(last_quote_time, 0) AS last_quote_time, coalesce(last_trade_time, 0) AS last_trade_time, coalesce(last_order_time, 0) AS last_order_time, coalesce(quote_count, 0) AS quote_count, coalesce(trade_count, 0) AS trade_count,
+  coalesce(order_count, 0) AS order_count, coalesce(last_price, 0) AS last_price, coalesce(best_bid, 0) AS best_bid, coalesce(best_ask, 0) AS best_ask, coalesce(best_ask - best_bid, 0) AS spread
+FROM qa FULL JOIN ta USING (date, symbol, event) FULL JOIN oa USING (date, symbol, event) FULL JOIN ma USING (date, symbol, event)""",
+)
+def demo_prices(spark, sf_dir):
+    """Clocks, counts, last price and touch of the demonstration family."""
+    s, cuts = feed_setup(spark, sf_dir)
+    p = df_.prices(s, cuts)
+    return p.select(*KEYS, "last_quote_time", "last_trade_time", "last_order_time", "quote_count", "trade_count", "order_count", "last_price", "best_bid", "best_ask", "spread")
+
+
+@query(
+    "flow_totals",
+    f"""{W}, {seen_sql("trades", "trade_type <> 'C'", "t")}, u AS (
+  SELECT date, symbol, local_us, exch_ms, channel, serial, NULL AS bid, NULL AS ask, price, bsflag, volume FROM ord WHERE NOT (market = 49 AND order_type = 'D')
+  UNION ALL SELECT date, symbol, local_us, exch_ms, channel, serial, bp[1], ap[1], NULL, NULL, NULL FROM quotes),
+a AS (SELECT *, last_value(CASE WHEN bid IS NOT NULL THEN (bid, ask) END IGNORE NULLS) OVER (PARTITION BY date, symbol ORDER BY local_us, exch_ms, channel, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM u),
+od AS (SELECT *, CASE WHEN bsflag = 'B' AND price = q[1] THEN volume WHEN bsflag = 'S' AND price = q[2] THEN -volume ELSE 0 END AS d FROM a WHERE price IS NOT NULL), {seen_sql("od", name="o")},
+ta AS (SELECT date, symbol, event, sum(CASE bsflag WHEN 'B' THEN volume WHEN 'S' THEN -volume ELSE 0 END)::DOUBLE AS ofi_trade FROM t GROUP BY ALL), oa AS (SELECT date, symbol, event, sum(d)::DOUBLE AS ofi_order FROM o GROUP BY ALL)
+SELECT date, symbol, event, coalesce(ofi_trade, 0) AS ofi_trade, coalesce(ofi_order, 0) AS ofi_order FROM ta FULL JOIN oa USING (date, symbol, event)""",
+)
+def flow_totals(spark, sf_dir):
+    """Day-to-date trade flow and touch-order flow."""
+    s, cuts = feed_setup(spark, sf_dir)
+    f = df_.flows(s, cuts)
+    t = df_.totals_at_cuts(s.trades.filter(df_.counted_trade()), cuts, {"x": ("sum", F.lit(1))})
+    o = df_.totals_at_cuts(s.orders.filter(df_.counted_order()), cuts, {"y": ("sum", F.lit(1))})
+    keep = t.join(o, KEYS, "full_outer")
+    return keep.join(f, KEYS, "left").select(*KEYS, F.coalesce("ofi_trade", F.lit(0.0)).alias("ofi_trade"), F.coalesce("ofi_order", F.lit(0.0)).alias("ofi_order"))
+
+
+@query(
+    "big_trade_at_cuts",
+    f"""{W}, {seen_sql("trades", "trade_type <> 'C'")}, r AS (SELECT date, symbol, event, max(volume) FILTER (WHERE rn = 1) AS v, count(*) FILTER (WHERE rn > 1) AS n, avg(volume) FILTER (WHERE rn > 1) AS m, stddev_samp(volume) FILTER (WHERE rn > 1) AS s FROM seen WHERE rn <= 201 GROUP BY ALL)
+SELECT date, symbol, event, CASE WHEN n >= 30 AND s > 1e-12 AND v >= m + 2 * s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS big_trade_flag, {r6s("CASE WHEN n >= 30 AND s > 1e-12 THEN greatest(-8, least(8, (v - m) / s)) ELSE 0 END")} AS big_trade_zscore,
+  {r6s("CASE WHEN n >= 30 AND s > 1e-12 THEN m + 2 * s ELSE 0 END")} AS big_trade_threshold FROM r""",
+)
+def big_trade_at_cuts(spark, sf_dir):
+    """Is the last trade large against the two hundred before it."""
+    s, cuts = feed_setup(spark, sf_dir)
+    b = df_.big_at_cuts(s.trades.filter(df_.counted_trade()), cuts, "big_trade")
+    return b.select(*KEYS, "big_trade_flag", *[r6(F.col(c)).alias(c) for c in ("big_trade_zscore", "big_trade_threshold")])
+
+
+@query(
+    "id_statistics",
+    f"""{W}, {seen_sql("trades", "trade_type <> 'C'")}, g AS (SELECT *, buy_id - lag(buy_id) OVER w AS gap, exch_ms - lag(exch_ms) OVER w AS tg FROM seen WINDOW w AS (PARTITION BY date, symbol, event ORDER BY rn DESC))
+SELECT date, symbol, event, {r6s("CASE WHEN count(gap) >= 2 AND avg(tg) > 0 THEN 1000 / avg(tg) ELSE 0 END")} AS velocity, {r6s("CASE WHEN count(gap) >= 2 THEN avg(gap) ELSE 0 END")} AS gap_mean,
+  {r6s("CASE WHEN count(*) >= 2 THEN avg(CASE WHEN bsflag = 'B' THEN 1.0 ELSE 0.0 END) ELSE 0 END")} AS pressure_buy FROM g GROUP BY ALL""",
+)
+def id_statistics(spark, sf_dir):
+    """Velocity, mean id gap and buy pressure."""
+    s, cuts = feed_setup(spark, sf_dir)
+    t = df_.id_statistics(s.trades.filter(df_.counted_trade()), cuts, "buy_id")
+    return t.select(*KEYS, *[r6(F.col(c)).alias(c) for c in ("velocity", "gap_mean", "pressure_buy")])
+
+
+@query(
+    "wash_probability",
+    f"""{W}, t2 AS (SELECT * REPLACE (CASE WHEN sell_id % 3 = 0 THEN buy_id ELSE sell_id END AS sell_id) FROM trades WHERE trade_type <> 'C'),
+r AS (SELECT *, sum(CASE WHEN sell_id = buy_id THEN 1 ELSE 0 END) OVER w / (count(*) OVER w)::DOUBLE AS p FROM t2 WINDOW w AS (PARTITION BY date, symbol ORDER BY local_us, exch_ms, channel, serial ROWS UNBOUNDED PRECEDING)),
+{seen_sql("r")} SELECT date, symbol, event, {r6s("CASE WHEN count(*) >= 2 THEN sum(0.1::DOUBLE * pow(0.9::DOUBLE, rn - 1) * p) ELSE 0 END")} AS wash_probability FROM seen GROUP BY ALL""",
+)
+def wash_probability(spark, sf_dir):
+    """Exponential average of the running share of self-matched trades."""
+    s, cuts = feed_setup(spark, sf_dir)
+    t = s.trades.withColumn("sell_id", F.when(F.col("sell_id") % 3 == 0, F.col("buy_id")).otherwise(F.col("sell_id")))
+    return rounded(df_.wash_probability(t, cuts), ["wash_probability"])
+
+
+_CHIP = f"""{W}, {seen_sql("trades", "trade_type <> 'C' AND price > 0")}, nw AS (SELECT date, symbol, event, max(exch_ms) FILTER (WHERE rn = 1) AS now_ms FROM seen GROUP BY ALL),
+bins AS (SELECT s.date, s.symbol, s.event, price // 2000000 AS bin, sum(volume)::DOUBLE AS w FROM seen s JOIN nw USING (date, symbol, event) WHERE rn <= 4096 AND exch_ms / 1000.0 > now_ms // 1000 - 7200 GROUP BY ALL),
+sh AS (SELECT *, sum(w) OVER k AS total, w / sum(w) OVER k AS share, row_number() OVER (PARTITION BY date, symbol, event ORDER BY w DESC, bin) AS pos FROM bins WINDOW k AS (PARTITION BY date, symbol, event))"""
+
+
+def chip_bins(spark, sf_dir):
+    s, cuts = feed_setup(spark, sf_dir)
+    recent = hg.recent_trades(s.trades, cuts)
+    return s, cuts, recent, hg.price_bins(recent, SPANS["chip"], tick=2_000_000)
+
+
+@query(
+    "chip_concentration",
+    f"""{_CHIP} SELECT date, symbol, event, {r6s("sum(share * bin)")} AS vwap_bin, {r6s("-sum(share * ln(share))")} AS entropy, {r6s("sum(share * share)")} AS hhi, {r6s("sum(share) FILTER (WHERE pos <= 1)")} AS top1,
+  {r6s("sum(share) FILTER (WHERE pos <= 3)")} AS top3, {r6s("sum(share) FILTER (WHERE pos <= 5)")} AS top5, max(bin) FILTER (WHERE pos = 1) AS peak_bin FROM sh GROUP BY ALL""",
+)
+def chip_concentration(spark, sf_dir):
+    """Concentration of the traded volume over price bins."""
+    _, _, _, bins = chip_bins(spark, sf_dir)
+    c = hg.concentration(bins)
+    names = {"chip_vwap": "vwap_bin", "chip_entropy": "entropy", "chip_hhi": "hhi", "chip_top1_share": "top1", "chip_top3_share": "top3", "chip_top5_share": "top5"}
+    return c.select(*KEYS, *[r6(F.col(a)).alias(b) for a, b in names.items()], F.col("chip_peak_price").alias("peak_bin"))
+
+
+@query(
+    "chip_levels",
+    f"""{_CHIP}, lp AS (SELECT date, symbol, event, price // 2000000 AS here FROM seen WHERE rn = 1)
+SELECT date, symbol, event, {r6s("sum(CASE WHEN bin < here THEN share ELSE 0 END)")} AS below, {r6s("sum(CASE WHEN bin > here THEN share ELSE 0 END)")} AS above,
+  coalesce(any_value(here) - max(bin) FILTER (WHERE bin < here AND share >= 0.02), -1) AS support, coalesce(min(bin) FILTER (WHERE bin > here AND share >= 0.02) - any_value(here), -1) AS resistance FROM sh JOIN lp USING (date, symbol, event) GROUP BY ALL""",
+)
+def chip_levels(spark, sf_dir):
+    """Shares around the current price and the nearest heavy levels."""
+    s, cuts, recent, bins = chip_bins(spark, sf_dir)
+    price = recent.filter("rn = 1").select(*KEYS, F.floor(F.col("price") / 2_000_000).alias("last_price"))
+    lv = hg.levels_around(bins, price)
+    return lv.select(*KEYS, r6(F.col("chip_below_share")).alias("below"), r6(F.col("chip_above_share")).alias("above"), F.col("chip_support_ticks").alias("support"), F.col("chip_resistance_ticks").alias("resistance"))
+
+
+@query(
+    "chip_migration",
+    f"""{_CHIP}, ch AS (SELECT *, lag(event) OVER w AS pe, lag(now_ms) OVER w AS pm FROM nw WINDOW w AS (PARTITION BY date, symbol ORDER BY event)),
+cb AS (SELECT c.date, c.symbol, c.event, bin, share AS q, 0.0::DOUBLE AS p FROM sh s JOIN ch c ON s.date = c.date AND s.symbol = c.symbol AND s.event = c.event WHERE pe IS NOT NULL UNION ALL
+  SELECT c.date, c.symbol, c.event, bin, 0, share FROM ch c JOIN sh s ON s.date = c.date AND s.symbol = c.symbol AND s.event = c.pe),
+mb AS (SELECT date, symbol, event, bin, sum(q) AS q, sum(p) AS p FROM cb GROUP BY ALL),
+cd AS (SELECT date, symbol, event, abs(sum(q) OVER (w ROWS UNBOUNDED PRECEDING) - sum(p) OVER (w ROWS UNBOUNDED PRECEDING)) * (bin - lag(bin) OVER w) AS d FROM mb WINDOW w AS (PARTITION BY date, symbol, event ORDER BY bin)),
+ds AS (SELECT date, symbol, event, coalesce(sum(d), 0) AS w1 FROM cd GROUP BY ALL)
+SELECT c.date, c.symbol, c.event, a.bin - b.bin AS peak_shift, {r6s("w1")} AS wasserstein, {r6s("w1 / greatest(1e-9, (now_ms - pm) / 1000.0)")} AS speed FROM ch c JOIN ds USING (date, symbol, event)
+  JOIN sh a ON a.date = c.date AND a.symbol = c.symbol AND a.event = c.event AND a.pos = 1 JOIN sh b ON b.date = c.date AND b.symbol = c.symbol AND b.event = c.pe AND b.pos = 1 WHERE now_ms > pm""",
+)
+def chip_migration(spark, sf_dir):
+    """Move of the price distribution between successive checkpoints."""
+    _, _, recent, bins = chip_bins(spark, sf_dir)
+    now = recent.filter("rn = 1").select(*KEYS, "now_ms")
+    m = hg.migration(bins, now)
+    w = Window.partitionBy("date", "symbol").orderBy("event")
+    fresh = now.withColumn("pm", F.lag("now_ms").over(w)).filter("now_ms > pm").select(*KEYS)
+    return m.join(fresh, KEYS, "left_semi").select(*KEYS, "peak_shift", r6(F.col("wasserstein")).alias("wasserstein"), r6(F.col("speed")).alias("speed"))
+
+
+@query("ofi_status")
+def ofi_status(spark, sf_dir):
+    """Market state, dwell, conditional statistics and purity of the order-flow imbalance."""
+    s, cuts = feed_setup(spark, sf_dir)
+    states = ofi.state_series(ofi.state_inputs(ofi.flow_series(s.quotes)))
+    return ofi.status_at_cuts(states, cut_lineage(cuts))
+
+
+@query("ofi_principal_component")
+def ofi_principal_component(spark, sf_dir):
+    """Latest level-flow vector projected on its first principal component."""
+    s, cuts = feed_setup(spark, sf_dir)
+    return rounded(ofi.pca_at_cuts(ofi.flow_series(s.quotes), cuts), ["ofi_pca"])
+
+
+@query("state_transitions")
+def state_transitions(spark, sf_dir):
+    """Transition counts of the market-state machine."""
+    q = fx.quotes(spark, sf_dir)
+    return ofi.transition_counts(ofi.state_series(ofi.state_inputs(ofi.flow_series(q))))
+
+
+@query("demo_family")
+def demo_family(spark, sf_dir):
+    """All 54 columns of the demonstration family."""
+    s, cuts = feed_setup(spark, sf_dir)
+    panel = df_.demofw00(s, cuts, SPANS)
+    return panel.select(*KEYS, *[r6(F.col(c)).alias(c) for c in df_.COLUMNS])

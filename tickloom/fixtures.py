@@ -41,7 +41,7 @@ _TRADE = """
   CAST(floor(l_extendedprice) AS BIGINT) AS amount,
   CAST(l_orderkey + 1 AS BIGINT) AS buy_id,
   CAST(l_partkey + 1 AS BIGINT) AS sell_id,
-  serial AS trade_index
+  serial AS trade_index, serial AS biz_index
 """
 
 _ORDER = """
