@@ -26,6 +26,7 @@ MODULES = (
     "series",
     "market",
     "daily",
+    "live",
 )
 
 

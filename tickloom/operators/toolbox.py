@@ -2,7 +2,8 @@
 
 Exponential averages are geometric sums, so they are plain aggregates once a row knows its
 position; the frames that must see every row (gaps, runs, big events) use the block and chunk
-operators of ``sequence``.
+operators of ``sequence``.  A block operator reads its input twice, so where one follows another the
+result in between is written to the checkpoint folder instead of being computed again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from tickloom.functions import moments
 from tickloom.operators.cuts import assign_segment, last_at_cuts, window_at_cuts
 from tickloom.operators.sequence import frame, islands, last_rows, number_rows, overlapping_chunks, previous, running
 from tickloom.schema import ORDER_KEY, STOCK_DAY
+from tickloom.session import cut_lineage
 
 KEYS = [*STOCK_DAY, "event"]
 
@@ -132,7 +134,7 @@ def span_ols_at_cuts(events: DataFrame, cuts: DataFrame, value: str, width_ms: i
 
 def gap_statistics(events: DataFrame, id_column: str) -> DataFrame:
     """Per row: gap to the previous id, its expanding mean and deviation (current gap included), and the jump flag."""
-    rows = previous(events, STOCK_DAY, {id_column: "_before"})
+    rows = cut_lineage(previous(events, STOCK_DAY, {id_column: "_before"}))
     rows = rows.withColumn("gap", (F.col(id_column) - F.col("_before")).cast("double"))
     rows = running(
         rows, STOCK_DAY,
@@ -148,7 +150,7 @@ def gap_statistics(events: DataFrame, id_column: str) -> DataFrame:
 
 def id_runs(events: DataFrame, column: str, threshold: float) -> DataFrame:
     """Runs of neighbouring ids: a new run begins when the step exceeds ``threshold``; one row per run."""
-    rows = previous(events, STOCK_DAY, {column: "_before"})
+    rows = cut_lineage(previous(events, STOCK_DAY, {column: "_before"}))
     starts = F.col("_before").isNull() | (F.abs(F.col(column) - F.col("_before")) > threshold)
     return islands(rows, STOCK_DAY, starts).groupBy(*STOCK_DAY, "island").agg(F.count(F.lit(1)).alias("size"))
 
@@ -164,7 +166,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
 def value_runs(events: DataFrame, column: str, name: str = "run") -> DataFrame:
     """Length so far of the current run of equal values, per row."""
     rows = previous(events, STOCK_DAY, {column: "_before"})
-    rows = number_rows(rows, STOCK_DAY)
+    rows = cut_lineage(number_rows(rows, STOCK_DAY))
     starts = F.col("_before").isNull() | (F.col(column) != F.col("_before"))
     rows = running(rows, STOCK_DAY, {"_start": ("max", F.when(starts, F.col("seq")))})
     return rows.withColumn(name, F.col("seq") - F.col("_start") + 1).drop("_before", "_start")

@@ -7,6 +7,8 @@ defaults make plans better, never right.
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +28,37 @@ def build_session(app: str = "tickloom", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # checkpoints are removed once nothing refers to them
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python tasks find it wherever the driver runs."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "tickloom.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Set the runtime defaults on a session somebody else created."""
+    """Set the runtime defaults on a session somebody else created and ship the package to it."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
