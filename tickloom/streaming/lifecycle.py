@@ -9,6 +9,7 @@ a second one closes what is left at the end of the session.
 from __future__ import annotations
 
 import datetime as dt
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +30,13 @@ STATE = (
 )
 PENDING, OPEN, CLOSED = 0, 1, 2
 
+Leg = namedtuple("Leg", [*LEG_ORDER, "market", "kind", "qty", "biz_index", "incoming"])
+
+
+def _arrival(leg: Leg) -> tuple:
+    return leg[: len(LEG_ORDER)]
+
+
 
 def event_time(date: Column, ms: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(F.to_date(date, "yyyyMMdd").cast("timestamp")) + ms)
@@ -151,8 +159,8 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             state.update(order.values())
             state.setTimeoutTimestamp(max(base + CLOSE_MS, state.getCurrentWatermarkMs() + 1))
     else:
-        legs = pd.concat(list(batches)).sort_values(LEG_ORDER)
-        for leg in legs.itertuples(index=False):
+        legs = [Leg(*row) for b in batches for row in zip(*(b[c].tolist() for c in Leg._fields))]
+        for leg in sorted(legs, key=_arrival):
             order.take(leg)
         state.update(order.values())
         pending = order.eligible() and order.market != SZ
