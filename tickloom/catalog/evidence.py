@@ -255,12 +255,13 @@ def result_redundancy(spark, sf_dir):
 
 # --- portrait parts --------------------------------------------------------------------------
 
-_SER = f"{PRE}, ser AS (SELECT factor, split, date, event, avg(RankIC) AS ric FROM pre GROUP BY ALL)"
+# rounded, so that a mean of exactly zero has no sign from its summation order
+_SER = f"{PRE}, ser AS (SELECT factor, split, date, event, {r6s('avg(RankIC)')} AS ric FROM pre GROUP BY ALL)"
 
 
 def ic_series(spark, sf_dir):
     """Mean RankIC over the panels of a date and event."""
-    return pre(spark, sf_dir).groupBy("factor", "split", "date", "event").agg(F.avg("RankIC").alias("ric"))
+    return pre(spark, sf_dir).groupBy("factor", "split", "date", "event").agg(r6(F.avg("RankIC")).alias("ric"))
 
 
 @query(
@@ -281,10 +282,10 @@ def ic_slices(spark, sf_dir):
 
 @query(
     "rolling_stability",
-    f"""{PRE}, r AS (SELECT split, factor, label, universe, event, date, CASE WHEN count(RankIC) OVER w >= 6 THEN avg(RankIC) OVER w END AS rolled FROM pre
+    f"""{PRE}, r AS (SELECT split, factor, label, universe, event, date, {r6s("CASE WHEN count(RankIC) OVER w >= 6 THEN avg(RankIC) OVER w END")} AS rolled FROM pre
   WINDOW w AS (PARTITION BY split, factor, label, universe, event ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
 g AS (SELECT split, factor, label, universe, event, count(rolled) AS n, avg(CASE WHEN rolled > 0 THEN 1.0::DOUBLE WHEN rolled IS NOT NULL THEN 0.0::DOUBLE END) AS pos FROM r GROUP BY ALL),
-sm AS (SELECT factor, avg(ric) FILTER (WHERE split = 'training') AS t, avg(ric) FILTER (WHERE split = 'observation') AS o FROM (SELECT factor, split, date, event, avg(RankIC) AS ric FROM pre GROUP BY ALL) GROUP BY factor),
+sm AS (SELECT factor, avg(ric) FILTER (WHERE split = 'training') AS t, avg(ric) FILTER (WHERE split = 'observation') AS o FROM (SELECT factor, split, date, event, {r6s("avg(RankIC)")} AS ric FROM pre GROUP BY ALL) GROUP BY factor),
 fp AS (SELECT factor, avg(pos) AS pos FROM g GROUP BY factor)
 SELECT factor, {r6s("pos")} AS positive_fraction, sign(t) <> sign(o) AS sign_disagreement, coalesce(pos < 0.55, false) OR sign(t) <> sign(o) AS unstable FROM fp JOIN sm USING (factor)""",
 )
@@ -292,7 +293,7 @@ def rolling_stability(spark, sf_dir):
     """Share of positive rolling means and disagreement of the split signs (12-date window, 6 at least, in the stand-in)."""
     p = pre(spark, sf_dir)
     cells = ["split", "factor", "label", "universe", "event"]
-    rolled = rolling_mean(p, cells, "RankIC", 12, 6)
+    rolled = rolling_mean(p, cells, "RankIC", 12, 6).withColumn("rolled", r6(F.col("rolled")))
     groups = rolled.groupBy(*cells).agg(F.avg(F.when(F.col("rolled") > 0, 1.0).when(F.col("rolled").isNotNull(), 0.0)).alias("pos"))
     share = groups.groupBy("factor").agg(F.avg("pos").alias("pos"))
     ser = ic_series(spark, sf_dir).groupBy("factor").agg(*[F.avg(F.when(F.col("split") == s, F.col("ric"))).alias(s) for s in _SPLITS])
@@ -320,13 +321,13 @@ def anomaly_days(spark, sf_dir):
 
 @query(
     "ic_series_spearman",
-    f"""{_SER.replace("avg(RankIC) AS ric", r6s("avg(RankIC)") + " AS ric")}, w AS (PIVOT ser ON factor IN ('f0', 'f1', 'f2', 'f3', 'f4', 'f5') USING avg(ric) GROUP BY date, event),
+    f"""{_SER}, w AS (PIVOT ser ON factor IN ('f0', 'f1', 'f2', 'f3', 'f4', 'f5') USING avg(ric) GROUP BY date, event),
 rk AS (SELECT {", ".join(f"CASE WHEN f{i} IS NOT NULL THEN rank() OVER (ORDER BY f{i} NULLS LAST) + (count(*) OVER (PARTITION BY f{i}) - 1) / 2.0::DOUBLE END AS f{i}" for i in range(6))} FROM w)
 {" UNION ALL ".join(f"SELECT 'f{a}' AS a, 'f{b}' AS b, {r6s(f'corr(f{a}, f{b})')} AS spearman FROM rk" for a in range(6) for b in range(a + 1, 6))}""",
 )
 def ic_series_spearman(spark, sf_dir):
     """Rank correlation between the IC series of factors, each series ranked once."""
-    ser = ic_series(spark, sf_dir).filter("ric IS NOT NULL").withColumn("ric", r6(F.col("ric")))
+    ser = ic_series(spark, sf_dir).filter("ric IS NOT NULL")
     ranked = average_rank(ser, ["factor"], "ric", "r")
     names = [f"f{i}" for i in range(6)]
     wide = ranked.groupBy("date", "event").agg(*[F.max(F.when(F.col("factor") == n, F.col("r"))).alias(n) for n in names])
