@@ -5,13 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, packing, token_counts
+from tickloom.llm import byte_bpe, language, media, packing, quality_rules, rule_ensemble, token_counts
 from tickloom.llm.textio import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.train(docs, _labels(spark, sf_dir)))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), WORD_TOKENIZER)
 
@@ -20,10 +29,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op5_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store(documents(spark, sf_dir)))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_byte_bpe, op6_best_fit_packing)}
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rule_ensemble.classify(docs, rule_ensemble.train(docs, _labels(spark, sf_dir)))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips, op6_best_fit_packing, op7_rule_ensemble, op10_language)}
 #: no query of this folder can be said in SQL as a whole; each is tested against a brute-force version
 ORACLES: dict[str, str] = {}
