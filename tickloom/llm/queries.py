@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, language, media, packing, quality_rules, rule_ensemble, token_counts
+from tickloom.llm import byte_bpe, language, media, ngram_join, packing, quality_rules, rule_ensemble, token_counts
 from tickloom.llm.textio import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,11 +42,15 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(docs, rule_ensemble.train(docs, _labels(spark, sf_dir)))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.Join(documents(spark, sf_dir)).membership()
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.identify(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips, op6_best_fit_packing, op7_rule_ensemble, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips, op6_best_fit_packing, op7_rule_ensemble, op8_ngram_jaccard_join, op10_language)}
 #: no query of this folder can be said in SQL as a whole; each is tested against a brute-force version
 ORACLES: dict[str, str] = {}
