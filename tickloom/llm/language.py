@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.codepoints import char_grams, code_points, letter_table
 from tickloom.llm.labelled import span_sums
-from tickloom.llm.textio import fold, held_out, per_text, pieces
+from tickloom.llm.textio import carried, fold, held_out, per_text, pieces
 
 BITS = 15
 GRAMS = (1, 2, 3)
@@ -96,12 +96,13 @@ def score(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndarra
     return [model.languages[b] if n else UNKNOWN for b, n in zip(best, letters)], np.where(letters > 0, posterior, 0.0)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, lang_pred and score for every row."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """id, held_out, lang_pred and score for every row; with ``carry`` also the text and the struct of these columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
         names, posterior = score(texts, shared.value)
         return [pa.array(names, pa.string()), pa.array(posterior, pa.float64())]
 
-    return per_text(docs.select(id_col, text_col, held_out(F.col(id_col)).alias("held_out")), "lang_pred string, score double", run)
+    further = [] if carry is None else [carried(carry)]
+    return per_text(docs.select(id_col, text_col, held_out(F.col(id_col)).alias("held_out"), *further), "lang_pred string, score double", run, keep=carry is not None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, language, media, ngram_join, packing, quality_rules, rule_ensemble, token_counts
+from tickloom.llm import byte_bpe, language, media, ngram_join, packing, pii, quality_rules, rule_ensemble, substrings, token_counts
 from tickloom.llm.textio import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.judge(docs, quality_rules.train(docs, _labels(spark, sf_dir)))
@@ -46,11 +50,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.Join(documents(spark, sf_dir)).membership()
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.identify(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips, op6_best_fit_packing, op7_rule_ensemble, op8_ngram_jaccard_join, op10_language)}
+QUERIES = {f.__name__: f for f in (
+    op1_pii_pseudonyms, op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips,
+    op6_best_fit_packing, op7_rule_ensemble, op8_ngram_jaccard_join, op9_substring_dedup, op10_language,
+)}
 #: no query of this folder can be said in SQL as a whole; each is tested against a brute-force version
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ bytes. Hashes have 64 bits and are the same on every worker.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -68,19 +69,29 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[p
             yield batch.slice(begin), texts[begin:]
 
 
-def per_text(df: DataFrame, schema: str, fn: Callable[[list[bytes | None]], list], make: Callable | None = None) -> DataFrame:
-    """Columns of ``df`` (the second is the text) without the text, plus those ``fn`` returns for the texts.
+def column_names(schema: str) -> list[str]:
+    """Names in a flat list of columns whose types may be nested."""
+    return [c.split()[0] for c in re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", schema)).split(",")]
+
+
+def carried(columns: list[str]):
+    """Further columns in one struct, so that their names cannot clash."""
+    return (F.struct(*columns) if columns else F.lit(None).cast("struct<none:int>")).alias("carried")
+
+
+def per_text(df: DataFrame, schema: str, fn: Callable[[list[bytes | None]], list], make: Callable | None = None, keep: bool = False) -> DataFrame:
+    """Columns of ``df`` (the second is the text; it goes unless ``keep``), plus those ``fn`` returns for the texts.
 
     ``make`` runs once in every task and gives a state that ``fn`` gets as its second argument.
     """
-    kept = [f for i, f in enumerate(df.schema.fields) if i != 1]
-    names = [f.name for f in kept] + [c.strip().split(" ")[0] for c in schema.split(",")]
+    kept = [f for i, f in enumerate(df.schema.fields) if keep or i != 1]
+    names = [f.name for f in kept] + column_names(schema)
     full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema])
 
     def run(batches):
         state = (make(),) if make else ()
         for batch, texts in pieces(batches):
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != 1]
+            columns = [batch.column(i) for i in range(batch.num_columns) if keep or i != 1]
             yield pa.RecordBatch.from_arrays(columns + [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(texts, *state)], names=names)
 
     return df.mapInArrow(run, full)
