@@ -32,7 +32,8 @@ def finite_or_zero(value: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    """Value inside the bounds; NULL stays NULL, which ``greatest`` and ``least`` alone would skip."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
 def clamp01(value: Column) -> Column:

@@ -1,41 +1,35 @@
 """Cross-sectional ranks, quantile groups and information coefficients.
 
-A group is one cross section (date, event and so on).  Ranks are computed over the
-distinct values of a group, counted with map-side combine, so a value shared by a
-third of the rows is one row of the rank table; wide groups are cut into value
-blocks and scanned block by block.
+A group is one cross section (date, event and so on): one row for each stock of the market, some thousands, however
+long the history is.  So a group fits a task, there are as many groups as dates, events and factors, and every
+metric of a cross section is read off windows over one exchange on the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import finite
-from tickloom.operators.sequence import number_rows, running
 
 
-def value_block(value: Column, per_octave: int = 64) -> Column:
-    """A monotone bucket of a double: any monotone bucketing gives the same ranks."""
-    size = F.log2(1.0 + F.abs(value)) * float(per_octave)
-    return F.when(value >= 0, F.floor(size)).otherwise(-F.ceil(size)).cast("bigint")
+def tie_rank(group: Sequence[str], value: str) -> Column:
+    """1-based rank with ties averaged; NULL and NaN values must be filtered before."""
+    w = Window.partitionBy(*group).orderBy(value)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(w) + (ties - 1) / 2.0
 
 
 def average_rank(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the 1-based rank with ties averaged; NULL and NaN values must be filtered before."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = running(counts, group, {"_upto": ("sum", F.col("_c"))}, order=[value], block=value_block(F.col(value)))
-    ranks = upto.select(*group, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*group, value])
+    return df.withColumn(name, tie_rank(group, value))
 
 
 def dense_rank(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the dense rank over distinct values."""
-    distinct = df.select(*group, value).distinct()
-    ranks = number_rows(distinct, group, order=[value], block=value_block(F.col(value)), name=name)
-    return df.join(ranks, [*group, value])
+    return df.withColumn(name, F.dense_rank().over(Window.partitionBy(*group).orderBy(value)).cast("bigint"))
 
 
 def quantile_group(
@@ -45,11 +39,10 @@ def quantile_group(
 
     Equal values are ordered by ``tie``, so the result does not depend on partitioning.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    placed = number_rows(df, group, order=[value, tie], block=value_block(F.col(value)), name="_pos")
-    used = F.least(F.col("_n"), F.lit(groups))
-    return placed.join(sizes, list(group)).withColumn(name, F.expr(f"(_pos * least(_n, {groups}L) - 1) div _n")).withColumn(
-        f"{name}_count", used
+    w = Window.partitionBy(*group)
+    placed = df.withColumns({"_pos": F.row_number().over(w.orderBy(value, tie)), "_n": F.count(F.lit(1)).over(w)})
+    return placed.withColumn(name, F.expr(f"(_pos * least(_n, {groups}L) - 1) div _n")).withColumn(
+        f"{name}_count", F.least(F.col("_n"), F.lit(groups))
     ).drop("_pos", "_n")
 
 
@@ -65,13 +58,16 @@ def correlation(x: str, y: str) -> Column:
     return F.when(F.count(F.when(both, 1)) >= 2, F.covar_pop(a, b) / F.nullif(den, F.lit(0.0)))
 
 
+def _coefficients(x: str, y: str) -> list[Column]:
+    """IC, RankIC and the number of pairs, of rows with their ranks in ``_rx`` and ``_ry``."""
+    return [correlation(x, y).alias("IC"), correlation("_rx", "_ry").alias("RankIC"), F.count(F.lit(1)).alias("pairs")]
+
+
 def information_coefficients(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """IC (Pearson) and RankIC (Pearson of average ranks) per cross section."""
     pairs = finite_pairs(df, x, y).select(*group, x, y)
-    ranked = average_rank(average_rank(pairs, group, x, "_rx"), group, y, "_ry")
-    return ranked.groupBy(*group).agg(
-        correlation(x, y).alias("IC"), correlation("_rx", "_ry").alias("RankIC"), F.count(F.lit(1)).alias("pairs")
-    )
+    ranked = pairs.withColumns({"_rx": tie_rank(group, x), "_ry": tie_rank(group, y)})
+    return ranked.groupBy(*group).agg(*_coefficients(x, y))
 
 
 def group_returns(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", tie: str = "symbol", groups: int = 10) -> DataFrame:
@@ -80,16 +76,37 @@ def group_returns(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y
     return placed.groupBy(*group, "bucket").agg(F.avg(y).alias("mean_return"), F.max("bucket_count").alias("bucket_count"))
 
 
+def _deciles(y: str) -> list[Column]:
+    """D1 (the highest factor values) to D10, of rows with their ``bucket`` and ``bucket_count``."""
+    return [F.avg(F.when(F.col("bucket_count") - F.col("bucket") == i, F.col(y))).alias(f"D{i}") for i in range(1, 11)]
+
+
+def _decile_shape(wide: DataFrame) -> DataFrame:
+    """LS = D1 - D10, and Monotonicity: the correlation of decile number and return over the deciles that exist."""
+    numbers = range(1, 11)
+    there = sum((F.col(f"D{i}").isNotNull().cast("double") for i in numbers), F.lit(0.0))
+    mean_i = sum((F.when(F.col(f"D{i}").isNotNull(), float(i)).otherwise(0.0) for i in numbers), F.lit(0.0)) / F.nullif(there, F.lit(0.0))
+    mean_d = sum((F.coalesce(f"D{i}", F.lit(0.0)) for i in numbers), F.lit(0.0)) / F.nullif(there, F.lit(0.0))
+    wide = wide.withColumns({"_mi": mean_i, "_md": mean_d})
+
+    def moment(term) -> Column:
+        return sum((F.coalesce(term(F.lit(float(i)) - F.col("_mi"), F.col(f"D{i}") - F.col("_md"), F.col(f"D{i}")), F.lit(0.0)) for i in numbers), F.lit(0.0))
+
+    cov = moment(lambda i, d, _: i * d)
+    spread = F.sqrt(moment(lambda i, d, own: F.when(own.isNotNull(), i * i)) * moment(lambda i, d, _: d * d))
+    # equal returns have no correlation, whatever the last bit of their mean
+    flat = F.greatest(*[f"D{i}" for i in numbers]) == F.least(*[f"D{i}" for i in numbers])
+    return wide.withColumns({"Monotonicity": F.when(~flat, cov / F.nullif(spread, F.lit(0.0))), "LS": F.col("D1") - F.col("D10")}).drop("_mi", "_md")
+
+
 def decile_panel(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", tie: str = "symbol") -> DataFrame:
     """D1..D10 (D1 holds the highest factor values), LS = D1 - D10 and Monotonicity.
 
     Monotonicity is the correlation of decile number with decile return: this library's
     definition, with the published sign (opposite to RankIC).
     """
-    long = group_returns(df, group, x, y, tie).withColumn("decile", F.col("bucket_count") - F.col("bucket"))
-    deciles = [F.max(F.when(F.col("decile") == i, F.col("mean_return"))).alias(f"D{i}") for i in range(1, 11)]
-    wide = long.groupBy(*group).agg(*deciles, correlation("decile", "mean_return").alias("Monotonicity"))
-    return wide.withColumn("LS", F.col("D1") - F.col("D10"))
+    placed = quantile_group(finite_pairs(df, x, y), group, x, tie)
+    return _decile_shape(placed.groupBy(*group).agg(*_deciles(y)))
 
 
 def long_panel(panel: DataFrame, factors: Sequence[str], keys: Sequence[str] = ("symbol", "date", "event")) -> DataFrame:
@@ -121,10 +138,12 @@ def evaluation_rows(panel: DataFrame, labels: DataFrame, members: DataFrame, fac
     return long_panel(panel, factors).join(labels, keys).join(members, "symbol")
 
 
-def metric_panel(rows: DataFrame, group: Sequence[str] = ("label", "universe", "date", "event", "factor")) -> DataFrame:
-    """The fourteen metrics of every cross section."""
-    ic = information_coefficients(rows, group).drop("pairs")
-    return ic.join(decile_panel(rows, group), list(group), "full_outer")
+def metric_panel(rows: DataFrame, group: Sequence[str] = ("label", "universe", "date", "event", "factor"), x: str = "x", y: str = "y", tie: str = "symbol") -> DataFrame:
+    """The fourteen metrics of every cross section: one exchange, windows over it, one aggregate."""
+    pairs = finite_pairs(rows, x, y).select(*group, tie, x, y)
+    ranked = pairs.withColumns({"_rx": tie_rank(group, x), "_ry": tie_rank(group, y)})
+    placed = quantile_group(ranked, group, x, tie)
+    return _decile_shape(placed.groupBy(*group).agg(*_coefficients(x, y), *_deciles(y))).drop("pairs")
 
 
 def winsorise(
@@ -132,29 +151,29 @@ def winsorise(
 ) -> DataFrame:
     """Clip at the floor(cut*n)-th order statistics, then at mean +- k sigma, then standardise.
 
-    A group whose two order statistics are equal keeps its values.
+    A group whose two order statistics are equal keeps its values.  NULL stays NULL and counts nowhere.
     """
-    group = list(group)
-    placed = number_rows(df, group, order=[value], block=value_block(F.col(value)), name="_pos")
-    sizes = df.groupBy(*group).agg(F.count(value).alias("_n"))
-    placed = placed.join(sizes, group)
+    w = Window.partitionBy(*group)
     low = F.floor(F.col("_n") * cut)
-    edges = placed.groupBy(*group).agg(
-        F.max(F.when(F.col("_pos") == low + 1, F.col(value))).alias("_lo"),
-        F.max(F.when(F.col("_pos") == F.col("_n") - low, F.col(value))).alias("_hi"),
-    )
-    one = df.join(edges, group).withColumn("_v", F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")))
-    first = one.groupBy(*group).agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"))
-    two = one.join(first, group).withColumn(
-        "_v", F.least(F.greatest(F.col("_v"), F.col("_m") - k * F.col("_s")), F.col("_m") + k * F.col("_s"))
-    )
-    second = two.groupBy(*group).agg(F.avg("_v").alias("_m2"), F.stddev_pop("_v").alias("_s2"))
-    out = two.join(second, group)
+    # values first: the position of a value is its order statistic
+    out = df.withColumns({"_pos": F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())), "_n": F.count(value).over(w)})
+    out = out.withColumns({
+        "_lo": F.max(F.when(F.col("_pos") == low + 1, F.col(value))).over(w),
+        "_hi": F.max(F.when(F.col("_pos") == F.col("_n") - low, F.col(value))).over(w),
+    })
+
+    def between(lo: Column, hi: Column, v: str) -> Column:
+        return F.when(F.col(v).isNotNull(), F.least(F.greatest(F.col(v), lo), hi))
+
+    out = out.withColumn("_v", between(F.col("_lo"), F.col("_hi"), value))
+    out = out.withColumns({"_m": F.avg("_v").over(w), "_s": F.stddev_pop("_v").over(w)})
+    out = out.withColumn("_v", between(F.col("_m") - k * F.col("_s"), F.col("_m") + k * F.col("_s"), "_v"))
+    out = out.withColumns({"_m2": F.avg("_v").over(w), "_s2": F.stddev_pop("_v").over(w)})
     v = F.col("_v") - F.col("_m2") if demean else F.col("_v")
     if scale:
         v = v / F.when(F.col("_s2") == 0, 1.0).otherwise(F.col("_s2"))
     flat = F.col("_lo") == F.col("_hi")
-    return out.withColumn(name, F.when(flat, F.col(value)).otherwise(v)).drop("_lo", "_hi", "_v", "_m", "_s", "_m2", "_s2")
+    return out.withColumn(name, F.when(flat, F.col(value)).otherwise(v)).drop("_pos", "_n", "_lo", "_hi", "_v", "_m", "_s", "_m2", "_s2")
 
 
 def factor_correlations(panel: DataFrame, factors: Sequence[str], group: Sequence[str] = ("date", "event")) -> DataFrame:
