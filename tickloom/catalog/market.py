@@ -111,6 +111,42 @@ def resting_commitment(spark, sf_dir):
     return rounded(of.commitment(events, s.quotes, cuts), C[4:6])
 
 
+def _shock_sql(least):
+    return f"""sh AS (SELECT * FROM (SELECT date, symbol, local_us, exch_ms, channel, serial, volume, bsflag, count(*) OVER w AS n, quantile_cont(volume, 0.9) OVER w AS q FROM lt WHERE trade_type <> 'C' AND volume > 0 AND bsflag IN ('B', 'S')
+  WINDOW w AS (PARTITION BY date, symbol ORDER BY local_us, exch_ms, channel, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= {least} AND volume > q + 1e-9),
+sq AS (SELECT sh.*, CASE WHEN bsflag = 'B' THEN lq.av[1] ELSE lq.bv[1] END AS touch, row_number() OVER (PARTITION BY sh.date, sh.symbol, sh.local_us, sh.exch_ms, sh.channel, sh.serial ORDER BY lq.local_us DESC, lq.exch_ms DESC, lq.channel DESC, lq.serial DESC) AS rn
+  FROM sh JOIN lq ON sh.date = lq.date AND sh.symbol = lq.symbol AND (lq.local_us, lq.exch_ms, lq.channel, lq.serial) < (sh.local_us, sh.exch_ms, sh.channel, sh.serial)),
+sx AS (SELECT date, symbol, local_us, exch_ms, channel, serial, volume, local_us // 1000 AS ms, CASE WHEN bsflag = 'B' THEN 1 ELSE -1 END AS sign FROM sq WHERE rn = 1 AND touch > 0 AND volume >= 0.25 * touch),
+so AS (SELECT sx.date, sx.symbol, sx.local_us, sx.exch_ms, sx.channel, sx.serial, sum(rest0) AS added FROM sx JOIN cf ON sx.date = cf.date AND sx.symbol = cf.symbol AND NOT estimated AND rest0 > 0 AND (side = 1) = (sign = 1) AND confirm_ms > ms AND confirm_ms <= ms + 30000 GROUP BY ALL),
+sd AS (SELECT sx.date, sx.symbol, sx.local_us, sx.exch_ms, sx.channel, sx.serial, arg_max(CASE WHEN sign = 1 THEN list_sum(av) ELSE list_sum(bv) END, (q.local_us // 1000, q.serial)) - arg_min(CASE WHEN sign = 1 THEN list_sum(av) ELSE list_sum(bv) END, (q.local_us // 1000, q.serial)) AS refilled
+  FROM sx JOIN lq q ON sx.date = q.date AND sx.symbol = q.symbol AND q.local_us // 1000 > ms AND q.local_us // 1000 <= ms + 30000 GROUP BY ALL),
+sr AS (SELECT sx.*, greatest(-5.0, least(5.0, sign * coalesce(added, 0) / (volume + 1e-9))) AS o, CASE WHEN refilled IS NOT NULL THEN greatest(-5.0, least(5.0, sign * greatest(0, refilled) / (volume + 1e-9))) END AS v
+  FROM sx LEFT JOIN so USING (date, symbol, local_us, exch_ms, channel, serial) LEFT JOIN sd USING (date, symbol, local_us, exch_ms, channel, serial))"""
+
+
+#: flagged trades before a shock: the stand-in's stocks have few trades a day
+FEW = 3
+
+
+@query("execution_shocks", f"""{LC}, {_shock_sql(FEW)} SELECT date, symbol, local_us, exch_ms, channel, serial, volume, sign, {r6s("o")} AS order_response, {r6s("v")} AS quote_response FROM sr""")
+def execution_shocks(spark, sf_dir):
+    """Outsized trades with what refilled the touch within 30 seconds."""
+    s, _ = setup(spark, sf_dir)
+    rows = of.shock_responses(s.trades, s.quotes, lc.reconstruct(s.trades, s.orders)["finals"], FEW)
+    return rows.withColumns({c: r6(F.col(c)) for c in ("order_response", "quote_response")})
+
+
+@query(
+    "shock_replenishment",
+    f"""{LC}, {_shock_sql(FEW)} SELECT sr.date, symbol, event, {r6s("sum(o) / count(*)")} AS {C[8]}, {r6s("avg(v)")} AS {C[9]}
+FROM sr JOIN cuts c ON sr.date = c.date AND (local_us + 30000000, exch_ms, channel, serial) < c.cut GROUP BY ALL""",
+)
+def shock_replenishment(spark, sf_dir):
+    """Mean response to the matured shocks at every checkpoint."""
+    s, cuts = setup(spark, sf_dir)
+    return rounded(of.replenishment(s.trades, s.quotes, lc.reconstruct(s.trades, s.orders)["finals"], cuts, FEW), C[8:10])
+
+
 @query("market_microstructure_family")
 def market_microstructure_family(spark, sf_dir):
     """The twelve parent-order and book columns with readiness reasons."""
