@@ -202,6 +202,71 @@ def test_state_inputs_match_pandas(spark):
     np.testing.assert_allclose(got["slope"], slope, atol=1e-8)
 
 
+def _volatility(pdf, rows):
+    """Spread of returns and mean price in arrival order: rows of the last five seconds, ``rows`` at most."""
+    vol, mean, clock = [], [], pdf["exch_ms"].cummax().to_numpy()
+    ret = ((pdf["mid"] - pdf["prev_mid"]) / pdf["prev_mid"]).abs().to_numpy()
+    for i in range(len(pdf)):
+        own = [j for j in range(max(0, i - rows + 1), i + 1) if clock[j] > clock[i] - 5000]
+        x = ret[own]
+        vol.append(x.std(ddof=1) if len(x) > 1 and x.var(ddof=1) * (len(x) - 1) > 1e-9 else 0.0)
+        mean.append(pdf["mid"].to_numpy()[own].mean())
+    return pd.Series(vol), pd.Series(mean)
+
+
+@pytest.mark.parametrize("rows, chunk", [(1999, 50_000), (6, 130)])
+def test_state_inputs_see_nothing_later(spark, rows, chunk):
+    """Ties and steps back of the exchange clock, many quotes in a span, and chunk edges."""
+    rng = np.random.default_rng(13)
+    n = 400
+    clock = np.sort(rng.integers(0, 60, n)) * 1000 - rng.integers(0, 2, n) * 1500
+    pdf = pd.DataFrame({"date": "d", "symbol": 1, "local_us": np.arange(n) * 1000, "exch_ms": clock, "channel": 0, "serial": range(n), "ofi_agg": rng.normal(0, 1, n), "mid": 100 + rng.normal(0, 1, n).cumsum() / 5})
+    pdf["prev_mid"] = pdf["mid"].shift(1).fillna(100.0)
+    got = ofi.state_inputs(spark.createDataFrame(pdf), vol_rows=rows, rows_per_chunk=chunk).toPandas().sort_values("seq")
+    vol, mean = _volatility(pdf, rows)
+    roll, before = vol.rolling(40, min_periods=2), mean.shift(1)
+    std = roll.std().where(lambda x: (x**2 * (roll.count() - 1) > 1e-9) & (x > 1e-12))
+    np.testing.assert_allclose(got["vz"], ((vol - roll.mean()) / std).fillna(0.0), atol=1e-6)
+    np.testing.assert_allclose(got["ret5s"], ((mean - before) / before).fillna(0.0), atol=1e-10)
+    shorter = ofi.state_inputs(spark.createDataFrame(pdf.iloc[:250]), vol_rows=rows, rows_per_chunk=chunk).toPandas().sort_values("seq")
+    np.testing.assert_allclose(shorter[["z", "vz", "slope", "ret5s"]], got[["z", "vz", "slope", "ret5s"]].iloc[:250], atol=1e-9)
+
+
+def test_dwell_reaches_back_to_the_last_change(spark):
+    n = 700
+    pdf = pd.DataFrame({"date": "d", "symbol": 1, "local_us": range(n), "exch_ms": range(n), "channel": 0, "serial": range(n), "seq": range(1, n + 1), "z": 0.5, "vz": 0.0, "slope": 0.1, "absret": 0.0, "ret5s": 0.0})
+    pdf["state"] = [ofi.CALM] * 150 + [ofi.ACCUMULATION] * 550
+    pdf["prev_state"] = pdf["state"].shift(1).fillna(ofi.CALM).astype(int)
+    cut = spark.sql("SELECT 'd' AS date, 100L AS event, struct(650L AS local_us, 650L AS exch_ms, 0L AS channel, 650L AS serial) AS cut UNION ALL SELECT 'd', 50L, struct(100L, 100L, 0L, 100L)")
+    got = {r.event: r.dwell for r in ofi.status_at_cuts(spark.createDataFrame(pdf), cut).collect()}
+    assert got == {100: 500 - 1, 50: 100}
+
+
+def test_clip_and_winsorise_keep_null(spark):
+    from tickloom.functions.scalar import clamp01, clip
+    from tickloom.operators.crosssection import winsorise
+
+    row = spark.sql("SELECT CAST(NULL AS DOUBLE) AS a, 7.0D AS b").select(clip(F.col("a"), -5, 5), clip(F.col("b"), -5, 5), clamp01(F.col("a"))).first()
+    assert tuple(row) == (None, 5.0, None)
+    df = spark.createDataFrame([(1, float(i)) for i in range(20)] + [(1, None)] * 3, "g int, x double")
+    got = winsorise(df, ["g"], "x", "w", cut=0.05).collect()
+    assert sum(r.w is None for r in got) == 3 and all((r.x is None) == (r.w is None) for r in got)
+    assert sum(r.w for r in got if r.w is not None) == pytest.approx(0)
+
+
+@pytest.mark.parametrize("chunk", [50_000, 17])
+def test_above_past_quantile_against_numpy(spark, chunk):
+    from tickloom.operators.quantile import above_past_quantile
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(1, 40, 300)
+    df = spark.createDataFrame([("d", i % 2, i, i, 0, i, int(x)) for i, x in enumerate(v)], "date string, symbol int, local_us long, exch_ms long, channel int, serial long, volume long")
+    got = {r.local_us: r.above for r in above_past_quantile(df, ["date", "symbol"], "volume", least=5, rows_per_chunk=chunk).collect()}
+    for i, x in enumerate(v):
+        past = v[i % 2 : i : 2]
+        assert got[i] == (len(past) >= 5 and x > np.quantile(past, 0.9) + 1e-9), i
+
+
 def test_principal_component_matches_numpy():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 4)) * np.array([5.0, 1.0, 0.5, 0.1])

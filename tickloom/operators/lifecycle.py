@@ -221,8 +221,12 @@ def lifecycle_events(states: DataFrame) -> DataFrame:
     )
 
 
-def trade_pairs(trades: DataFrame, finals: DataFrame) -> DataFrame:
-    """Every trade with both parents; ``resolved`` when both were confirmed and neither had closed before it."""
+def trade_pairs(trades: DataFrame, finals: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Every trade with both parents; ``resolved`` when both were confirmed and neither had closed before it.
+
+    The parents are those of the whole day.  With ``states`` the pair also has ``buy_filled`` and ``sell_filled``: what
+    each parent had filled once this trade was counted, so that a checkpoint never sees later fills.
+    """
     a = aggressor()
     t = trades.filter((F.col("trade_type") != "C") & (F.col("volume") > 0) & (F.col("buy_id") != 0) & (F.col("sell_id") != 0))
     t = t.withColumns({"aggressor": a["side"], "source": a["source"]})
@@ -240,6 +244,10 @@ def trade_pairs(trades: DataFrame, finals: DataFrame) -> DataFrame:
         after_close = F.coalesce(here > F.col(f"{name}.close_key"), F.lit(False))
         ok = ok & F.col(name).isNotNull() & ~after_close
     resolved_ms = F.greatest(F.floor(F.col("local_us") / 1000).cast("bigint"), F.col("buy.confirm_ms"), F.col("sell.confirm_ms"))
+    for name, side in (("buy", 0), ("sell", 1)) if states is not None else ():
+        own = states.filter((F.col("kind") == "F") & (F.col("side") == side))
+        own = own.select("date", "symbol", F.col("order_id").alias(f"{name}_id"), *ORDER_KEY, (F.col("immediate") + F.col("passive")).alias(f"{name}_filled"))
+        pairs = pairs.join(own, ["date", "symbol", f"{name}_id", *ORDER_KEY], "left")
     return pairs.withColumns({"resolved": ok, "resolved_ms": F.when(ok, resolved_ms)})
 
 
