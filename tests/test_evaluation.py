@@ -284,3 +284,84 @@ def test_ou_fit_recovers_the_mean_and_garch_stays_feasible():
     assert mu == pytest.approx(10.0, abs=0.2) and theta > 0 and sigma > 0
     omega, alpha, beta, variance = fits.garch_path(rng.normal(0, 0.01, 2000), **fits.GARCH_START)
     assert omega >= 1e-9 and alpha >= 0 and beta >= 0 and alpha + beta < 1 and variance > 0
+
+
+@pytest.mark.parametrize("change, status, reason", [
+    ({}, "pass", "explicit_readiness_true"), ({"rows": 9}, "data_error", "invalid_date_count"), ({"dates": 0, "rows": 0}, "data_error", "invalid_date_count"),
+    ({"bad_factors": 1}, "data_error", "non_finite_factor_value"), ({"bad_metrics": 1}, "data_error", "non_finite_metric"), ({"ready_null": 1}, "data_error", "readiness_contains_null"),
+    ({"ready_bad": 1}, "data_error", "ready_factor_value_not_finite"), ({"ready_dates": 0}, "not_ready", "explicit_readiness_false"), ({"ready_dates": 9}, "not_ready", "explicit_readiness_false"),
+    ({"min_metric_count": 0, "max_metric_count": 0}, "metric_undefined", "no_finite_metric_values"), ({"min_metric_count": 9}, "coverage_fail", "metric_coverage_below_threshold"),
+    ({"min_metric_distinct": 1}, "metric_undefined", "insufficient_metric_variation"), ({"factor_std": 0.0}, "metric_undefined", "insufficient_cross_sectional_variation"),
+    ({"factor_unique": 1}, "metric_undefined", "insufficient_cross_sectional_variation"), ({"has_readiness": False, "ready_dates": 0}, "review", "readiness_not_provided"),
+])
+def test_every_validity_rule(spark, change, status, reason):
+    cell = {"dates": 10, "rows": 10, "bad_metrics": 0, "bad_factors": 0, "ready_null": 0, "ready_dates": 10, "ready_bad": 0, "has_readiness": True, "min_metric_count": 10, "max_metric_count": 10, "min_metric_distinct": 5, "factor_std": 1.0, "factor_unique": 7}
+    got = vd.classify_validity(spark.createDataFrame(pd.DataFrame([cell | change]))).first()
+    assert (got.status, got.reason) == (status, reason)
+
+
+def _cells(spark, **change):
+    good = {"factor": "f", "event": 1, "universe": "u", "label": "l", "training_rank_ic": 0.02, "observation_rank_ic": 0.01, "training_ls": 1.0, "observation_ls": 1.0, "training_monotonicity": -1.0, "observation_monotonicity": -1.0, "training_rank_ic_tstat": 3.0, "observation_rank_ic_tstat": 3.0, "parent_rank_ic": 0.005, "coverage": 1.0, "ready": True, "metric_defined": True, "data_error": False}
+    return vd.classify_evidence(spark.createDataFrame([good | change]))
+
+
+@pytest.mark.parametrize("change, status", [({}, "supported"), ({"data_error": True}, "error"), ({"ready": False}, "not_evaluable"), ({"metric_defined": False}, "not_evaluable"), ({"coverage": 0.9}, "not_evaluable"), ({"parent_rank_ic": 0.05}, "promising"), ({"training_rank_ic_tstat": 1.0}, "promising"), ({"observation_rank_ic": -0.01}, "unsupported")])
+def test_every_evidence_class_and_the_guard(spark, change, status):
+    got = _cells(spark, **change)
+    assert got.first().status == status
+    if status == "error":
+        with pytest.raises(ValueError):
+            vd.require_no_errors(got)
+    else:
+        vd.require_no_errors(got)
+    if status == "supported":
+        assert vd.best_events(got).first().best_event == 1 and vd.selected_directions(got).first().direction == "positive"
+
+
+def test_validity_over_a_whole_grid(spark):
+    panel = spark.createDataFrame([("training", "f", 1, "u", "l", d, 0.1 * d, 0.2 * d, 0.3, 0.4 * d) for d in range(1, 4)], "split string, factor string, event int, universe string, label string, date int, RankIC double, IC double, LS double, Monotonicity double")
+    grid = spark.createDataFrame([("training", "f", e, "u", "l") for e in (1, 2)], "split string, factor string, event int, universe string, label string")
+    cross = spark.createDataFrame([("training", "f", e, 3, 0, 0, 0, 1.0, 3, True) for e in (1, 2)], "split string, factor string, event int, ready_dates int, ready_null int, ready_bad int, bad_factors int, factor_std double, factor_unique int, has_readiness boolean")
+    counts = spark.createDataFrame([("training", 3)], "split string, dates int")
+    got = {r.event: (r.status, r.reason) for r in vd.validity_cells(panel, counts, cross, grid=grid).collect()}
+    assert got == {1: ("metric_undefined", "insufficient_metric_variation"), 2: ("data_error", "invalid_date_count")}
+
+
+def test_universe_label_csv_and_concatenation(spark, tmp_path):
+    spark.createDataFrame([("600000.SH", 1, 0), ("000001.SZ", 0, 1)], "code string, `000985` int, isdt1 int").write.parquet(f"{tmp_path}/u")
+    assert pn.read_universe(spark, f"{tmp_path}/u").columns == ["code", "000985", "isdt1"]
+    spark.createDataFrame([("600000", 1)], "code string, a int").write.parquet(f"{tmp_path}/v")
+    with pytest.raises(ValueError):
+        pn.read_universe(spark, f"{tmp_path}/v")
+    (tmp_path / "l.csv").write_text("symbol,label\n1,0.5\n2,-1e-3\n")
+    assert [r.label for r in pn.read_label_csv(spark, f"{tmp_path}/l.csv").orderBy("symbol").collect()] == [0.5, -0.001]
+    (tmp_path / "m.csv").write_text("symbol,label\n1,none\n")
+    with pytest.raises(Exception):
+        pn.read_label_csv(spark, f"{tmp_path}/m.csv").collect()
+    with pytest.raises(ValueError):
+        pn.read_label_csv(spark, f"{tmp_path}/l.csv", "other")
+    a, b = (spark.createDataFrame([(d, 1, 0.5)], "date string, event int, x double") for d in ("20240102", "20250102"))
+    assert {(r.split, r.date) for r in pn.concat_panels({"observation": a, "holdout": b}).collect()} == {("observation", "20240102"), ("holdout", "20250102")}
+    with pytest.raises(ValueError):
+        pn.concat_panels({"observation": a, "holdout": a})
+
+
+def test_strict_frame(spark):
+    dates, events = ["20240102", "20240103"], [1, 2]
+    make = lambda *v: spark.createDataFrame([(d, e, x) for (d, e), x in zip([(d, e) for d in dates for e in events], v)], "date string, event int, `f|IC` double")
+    check = lambda df, **k: pn.strict_frame(df, dates, events, ["f"], ["IC"], **k)
+    assert check(make(0.1, 0.2, 0.3, 0.4)).count() == 4
+    for bad in (make(0.1, 0.2, 0.3), make(0.1, 0.2, 0.3, float("nan")), make(0.1, 0.2, 0.3, None), make(0.1, 0.2, 0.3, 0.4).toDF("date", "event", "g|IC")):
+        with pytest.raises(ValueError):
+            check(bad)
+    assert check(make(0.1, 0.2, 0.3, None), allow_partial=True).count() == 4
+
+
+def test_direction_chain_and_best_event(spark):
+    cells = spark.createDataFrame([("a", "u", "l", 1), ("a", "u", "l", 2), ("b", "u", "l", 1), ("c", "u", "l", 1)], "factor string, universe string, label string, event int")
+    own = spark.createDataFrame([("a", "u", "l", 1, "negative")], "factor string, universe string, label string, event int, direction string")
+    factor = spark.createDataFrame([("a", "positive"), ("b", "negative")], "factor string, direction string")
+    got = {(r.factor, r.event): r.direction for r in sr.chain_directions(cells, own, factor).collect()}
+    assert got == {("a", 1): "negative", ("a", 2): "positive", ("b", 1): "negative", ("c", 1): "positive"}
+    best = spark.createDataFrame([("a", "u", "l", 2)], "factor string, universe string, label string, best_event int")
+    assert sorted((r.factor, r.event) for r in sr.best_event_only(cells, best).collect()) == [("a", 2), ("b", 1), ("c", 1)]

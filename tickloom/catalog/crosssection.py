@@ -57,11 +57,11 @@ gr AS (SELECT {_G}, bucket, avg(y) AS r, any_value(bucket_count) AS bucket_count
 
 @query(
     "quantile_group_returns",
-    f"{ROWS_SQL}, {BUCKET_SQL} SELECT {_G}, CAST(bucket AS BIGINT) AS bucket, {r6s('r')} AS mean_return, CAST(bucket_count AS BIGINT) AS bucket_count FROM gr WHERE universe = '000906'",
+    f"{ROWS_SQL}, {BUCKET_SQL} SELECT {_G}, CAST(bucket AS BIGINT) AS bucket, {r6s('r')} AS mean_return, CAST(bucket_count AS BIGINT) AS bucket_count FROM gr",
 )
 def quantile_group_returns(spark, sf_dir):
     """Mean label of every ascending quantile group."""
-    g = cs.group_returns(rows(spark, sf_dir).filter("universe = '000906'"), GROUP)
+    g = cs.group_returns(rows(spark, sf_dir), GROUP)
     return g.select(*GROUP, "bucket", r6(F.col("mean_return")).alias("mean_return"), "bucket_count")
 
 

@@ -9,7 +9,7 @@ from tickloom import fixtures as fx
 from tickloom.catalog import query
 from tickloom.fixtures import r6s
 from tickloom.functions.scalar import quarter_bucket, r6, year_bucket
-from tickloom.operators.crosssection import average_rank, correlation
+from tickloom.operators.crosssection import correlation, tie_rank
 from tickloom.operators.series import rolling_mean, series_stats
 from tickloom.plans import validity as vd
 
@@ -321,20 +321,17 @@ def anomaly_days(spark, sf_dir):
 
 @query(
     "ic_series_spearman",
-    f"""{_SER}, w AS (PIVOT ser ON factor IN ('f0', 'f1', 'f2', 'f3', 'f4', 'f5') USING avg(ric) GROUP BY date, event),
-rk AS (SELECT {", ".join(f"CASE WHEN f{i} IS NOT NULL THEN rank() OVER (ORDER BY f{i} NULLS LAST) + (count(*) OVER (PARTITION BY f{i}) - 1) / 2.0::DOUBLE END AS f{i}" for i in range(6))} FROM w)
-{" UNION ALL ".join(f"SELECT 'f{a}' AS a, 'f{b}' AS b, {r6s(f'corr(f{a}, f{b})')} AS spearman FROM rk" for a in range(6) for b in range(a + 1, 6))}""",
+    f"""{_SER}, pr AS (SELECT x.factor AS a, y.factor AS b, x.ric AS va, y.ric AS vb FROM ser x JOIN ser y ON x.date = y.date AND x.event = y.event AND x.factor < y.factor WHERE x.ric IS NOT NULL AND y.ric IS NOT NULL),
+rk AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0::DOUBLE AS rb FROM pr)
+SELECT a, b, {r6s("CASE WHEN count(*) >= 2 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END")} AS spearman FROM rk GROUP BY a, b""",
 )
 def ic_series_spearman(spark, sf_dir):
-    """Rank correlation between the IC series of factors, each series ranked once."""
-    ser = ic_series(spark, sf_dir).filter("ric IS NOT NULL")
-    ranked = average_rank(ser, ["factor"], "ric", "r")
-    names = [f"f{i}" for i in range(6)]
-    wide = ranked.groupBy("date", "event").agg(*[F.max(F.when(F.col("factor") == n, F.col("r"))).alias(n) for n in names])
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = wide.agg(*[correlation(a, b).alias(f"{a}{b}") for a, b in pairs])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"{a}{b}")).alias("spearman")) for a, b in pairs])
-    return row.select(F.explode(cells).alias("c")).select("c.*")
+    """Rank correlation between the IC series of any two factors, ranked over the dates both have."""
+    ser = ic_series(spark, sf_dir).filter("ric IS NOT NULL").select("date", "event", "factor", "ric")
+    # a date has a value for each factor, so what meets is short
+    pairs = ser.toDF("date", "event", "a", "va").join(ser.toDF("date", "event", "b", "vb"), ["date", "event"]).filter("a < b")
+    ranked = pairs.withColumns({"ra": tie_rank(["a", "b"], "va"), "rb": tie_rank(["a", "b"], "vb")})
+    return ranked.groupBy("a", "b").agg(r6(correlation("ra", "rb")).alias("spearman"))
 
 
 @query(

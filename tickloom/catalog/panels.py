@@ -94,12 +94,12 @@ def event_set_contract(spark, sf_dir):
 
 @query(
     "calendar_intersection",
-    """SELECT CAST(o_orderdate AS DATE)::VARCHAR AS date FROM orders INTERSECT SELECT CAST(l_shipdate AS DATE)::VARCHAR FROM lineitem WHERE l_returnflag = 'A'""",
+    """SELECT CAST(o_orderdate AS DATE)::VARCHAR AS date FROM orders INTERSECT SELECT CAST(l_shipdate AS DATE)::VARCHAR FROM lineitem""",
 )
 def calendar_intersection(spark, sf_dir):
     """Dates present in both calendars."""
     a = fx.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("date"))
-    b = fx.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_shipdate").cast("date").cast("string").alias("date"))
+    b = fx.table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("date"))
     return a.intersect(b)
 
 
@@ -109,13 +109,11 @@ def calendar_intersection(spark, sf_dir):
 SELECT d.split, d.date, f.factor, c.event, c.universe, c.label FROM d, f, c EXCEPT SELECT split, date, factor, event, universe, label FROM metrics""",
 )
 def matrix_completeness(spark, sf_dir):
-    """Cells of the complete matrix that have no metric row (the grid comes from short name lists)."""
+    """Cells of the complete matrix that have no metric row; the names are those in the data."""
     m = fx.metrics(spark, sf_dir)
-    lists = {"factor": [f"f{i}" for i in range(6)], "universe": ["000906", "000985"], "label": ["raw926", "ease926"]}
     grid = m.select("split", "date").distinct()
-    for name, values in lists.items():
-        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    grid = grid.withColumn("event", F.explode(F.array(*[F.lit(e).cast("bigint") for e in fx.EVENTS[:7]])))
+    for name in ("factor", "universe", "label", "event"):
+        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, pn.names_of(m, name)))))
     keys = ["split", "date", "factor", "event", "universe", "label"]
     return grid.join(m.select(*keys), keys, "left_anti").select(*keys)
 
@@ -132,17 +130,18 @@ def metric_coverage_gate(spark, sf_dir):
 
 @query(
     "metric_wide_long",
-    f"""{M} SELECT date, event, universe, label, u.factor, u.metric, {r6s("u.value")} AS value FROM (
-  SELECT date, event, universe, label, max(RankIC) FILTER (WHERE factor = 'f0') AS a, max(LS) FILTER (WHERE factor = 'f0') AS b, max(RankIC) FILTER (WHERE factor = 'f1') AS c, max(LS) FILTER (WHERE factor = 'f1') AS d
-  FROM metrics GROUP BY ALL), LATERAL (VALUES ('f0', 'RankIC', a), ('f0', 'LS', b), ('f1', 'RankIC', c), ('f1', 'LS', d)) u(factor, metric, value)""",
+    f"""{M}, k AS (SELECT DISTINCT date, event, universe, label FROM metrics), f AS (SELECT DISTINCT factor FROM metrics),
+l AS (SELECT date, event, universe, label, factor, u.metric, u.value FROM metrics, LATERAL (VALUES ('RankIC', RankIC), ('IC', IC), ('LS', LS), ('Monotonicity', Monotonicity)) u(metric, value))
+SELECT k.date, k.event, k.universe, k.label, f.factor, n.metric, {r6s("l.value")} AS value FROM k, f, (VALUES ('RankIC'), ('IC'), ('LS'), ('Monotonicity')) n(metric)
+LEFT JOIN l ON l.date = k.date AND l.event = k.event AND l.universe = k.universe AND l.label = k.label AND l.factor = f.factor AND l.metric = n.metric""",
 )
 def metric_wide_long(spark, sf_dir):
     """Metric panel to ``factor|metric`` columns and back."""
     keys = ["date", "event", "universe", "label"]
     m = fx.metrics(spark, sf_dir)
-    cells = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("RankIC", "LS")])
+    cells = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in fx.CORE])
     long = m.select(*keys, "factor", F.explode(cells).alias("c")).select(*keys, "factor", "c.*")
-    back = pn.wide_to_long(pn.long_to_wide(long, keys, ["f0", "f1"], ["RankIC", "LS"]), keys)
+    back = pn.wide_to_long(pn.long_to_wide(long, keys, pn.names_of(m, "factor"), fx.CORE), keys)
     return back.withColumn("value", r6(F.col("value")))
 
 
@@ -257,7 +256,7 @@ def two_run_comparison(spark, sf_dir):
 
 @query(
     "inventory_join",
-    """WITH r AS (SELECT DISTINCT CAST(o_orderdate AS DATE)::VARCHAR AS date FROM orders), f AS (SELECT DISTINCT CAST(l_shipdate AS DATE)::VARCHAR AS date FROM lineitem WHERE l_partkey % 3 = 0),
+    """WITH r AS (SELECT DISTINCT CAST(o_orderdate AS DATE)::VARCHAR AS date FROM orders), f AS (SELECT DISTINCT CAST(l_shipdate AS DATE)::VARCHAR AS date FROM lineitem),
 l AS (SELECT DISTINCT CAST(ts AS DATE)::VARCHAR AS date FROM (SELECT ts - INTERVAL 28 YEAR AS ts FROM events))
 SELECT r.date, CASE WHEN f.date IS NULL THEN 'factor_missing' WHEN l.date IS NULL THEN 'label_missing' ELSE 'ready' END AS status FROM r LEFT JOIN f USING (date) LEFT JOIN l USING (date)""",
 )
@@ -265,7 +264,7 @@ def inventory_join(spark, sf_dir):
     """Requested dates against the factor and the label inventory."""
     day = lambda t, c: fx.table(spark, sf_dir, t).select(F.expr(c).cast("date").cast("string").alias("date"))
     r = day("orders", "o_orderdate").distinct()
-    f = fx.table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0").select(F.col("l_shipdate").cast("date").cast("string").alias("date")).distinct().withColumn("f", F.lit(1))
+    f = fx.table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("date")).distinct().withColumn("f", F.lit(1))
     lab = day("events", "ts - INTERVAL 28 YEAR").distinct().withColumn("l", F.lit(1))
     status = F.when(F.col("f").isNull(), "factor_missing").when(F.col("l").isNull(), "label_missing").otherwise("ready")
     return r.join(f, "date", "left").join(lab, "date", "left").select("date", status.alias("status"))

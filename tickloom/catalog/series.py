@@ -9,6 +9,7 @@ from tickloom.catalog import query
 from tickloom.fixtures import r6s
 from tickloom.functions.scalar import r6
 from tickloom.operators import series as sr
+from tickloom.sources.panels import names_of
 
 M = f"WITH {fx.METRICS_SQL}"
 _G = "factor, universe, label, event"
@@ -47,16 +48,16 @@ def equity_curve(spark, sf_dir):
 
 @query(
     "portfolio_turnover",
-    f"""{M}, s AS (SELECT universe, date, factor, sum(n) AS n FROM metrics GROUP BY ALL), w AS (SELECT universe, date, {", ".join(f"coalesce(sum(n) FILTER (WHERE factor = 'f{i}'), 0) / sum(n)::DOUBLE AS w{i}" for i in range(6))} FROM s GROUP BY ALL),
-t AS (SELECT universe, 0.5::DOUBLE * ({" + ".join(f"abs(w{i} - lag(w{i}) OVER (PARTITION BY universe ORDER BY date))" for i in range(6))}) AS t FROM w)
+    f"""{M}, s AS (SELECT universe, date, factor, sum(n) AS n FROM metrics GROUP BY ALL), w AS (SELECT d.universe, d.date, f.factor, coalesce(s.n, 0) / d.n::DOUBLE AS w FROM (SELECT universe, date, sum(n) AS n FROM s GROUP BY ALL) d, (SELECT DISTINCT factor FROM s) f LEFT JOIN s ON s.universe = d.universe AND s.date = d.date AND s.factor = f.factor),
+m AS (SELECT universe, date, abs(w - lag(w) OVER (PARTITION BY universe, factor ORDER BY date)) AS m FROM w),
+t AS (SELECT universe, date, 0.5::DOUBLE * sum(m) AS t FROM m GROUP BY ALL)
 SELECT universe, {r6s("avg(t)")} AS average_turnover FROM t WHERE t IS NOT NULL GROUP BY universe""",
 )
 def portfolio_turnover(spark, sf_dir):
     """Mean half L1 change of the factor weights of each universe."""
-    s = fx.metrics(spark, sf_dir).groupBy("universe", "date").agg(
-        F.sum("n").alias("t"), *[F.coalesce(F.sum(F.when(F.col("factor") == f"f{i}", F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(6)]
-    )
-    w = s.withColumn("weights", F.array(*[F.col(f"n{i}") / F.col("t") for i in range(6)]))
+    m = fx.metrics(spark, sf_dir)
+    own = [F.coalesce(F.sum(F.when(F.col("factor") == f, F.col("n"))), F.lit(0)) for f in names_of(m, "factor")]
+    w = m.groupBy("universe", "date").agg(F.array(*[n / F.sum("n") for n in own]).alias("weights"))
     return sr.average_turnover(w, ["universe"]).select("universe", r6(F.col("average_turnover")).alias("average_turnover"))
 
 

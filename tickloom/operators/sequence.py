@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tickloom.schema import ORDER_KEY
 
 #: width of a block in microseconds of arrival time
-BLOCK_US = 900_000_000
+BLOCK_US = 60_000_000
 
 
 def arrival_block(width_us: int = BLOCK_US) -> Column:

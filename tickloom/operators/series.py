@@ -85,6 +85,20 @@ def guard_holdout(df: DataFrame, authorised: bool = False) -> DataFrame:
     return df
 
 
+def chain_directions(cells: DataFrame, by_cell: DataFrame, by_factor: DataFrame, group: Sequence[str] = ("factor", "universe", "label", "event"), default: str = "positive") -> DataFrame:
+    """Direction of every cell: its own, else its factor's, else the default.  The two tables have ``direction``."""
+    own = by_cell.select(*group, F.col("direction").alias("_own"))
+    factor = by_factor.select("factor", F.col("direction").alias("_factor"))
+    found = cells.select(*group).distinct().join(own, list(group), "left").join(factor, "factor", "left")
+    return found.select(*group, F.coalesce("_own", "_factor", F.lit(default)).alias("direction"))
+
+
+def best_event_only(df: DataFrame, best: DataFrame, keys: Sequence[str] = ("factor", "universe", "label")) -> DataFrame:
+    """Rows of the frozen best event (``best_event``) of their cell; cells without one keep all their events."""
+    known = df.join(best.select(*keys, "best_event"), list(keys), "left")
+    return known.filter(F.col("best_event").isNull() | (F.col("event") == F.col("best_event"))).drop("best_event")
+
+
 def effect_series(df: DataFrame, directions: DataFrame, group: Sequence[str] = ("factor", "universe", "label", "event")) -> DataFrame:
     """Cumulative rank IC, long return and decile returns over ready, observed dates.
 

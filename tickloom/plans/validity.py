@@ -66,8 +66,8 @@ def classify_validity(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"status": status.otherwise("pass"), "reason": reason.otherwise("explicit_readiness_true"), "metric_coverage": coverage})
 
 
-def validity_cells(panel: DataFrame, date_counts: DataFrame, cross: DataFrame, metrics: Sequence[str] = tuple(CORE)) -> DataFrame:
-    """Validity matrix over the cells of ``panel``.
+def validity_cells(panel: DataFrame, date_counts: DataFrame, cross: DataFrame, metrics: Sequence[str] = tuple(CORE), grid: DataFrame | None = None) -> DataFrame:
+    """Validity matrix over the cells of ``panel``, or of ``grid`` (split and cell), where a cell without a row is a data error.
 
     ``date_counts`` is ``split, dates``; ``cross`` is the per (split, factor, event) cross-section
     roll-up with ``ready_dates, ready_null, ready_bad, factor_std, factor_unique, has_readiness``.
@@ -80,6 +80,9 @@ def validity_cells(panel: DataFrame, date_counts: DataFrame, cross: DataFrame, m
         F.sum("bad").alias("bad_metrics"), F.max("rows").alias("rows"),
         F.max(F.when(F.col("metric") == "RankIC", F.col("mean"))).alias("mean_rank_ic"),
     )
+    if grid is not None:
+        absent = {c: 0 for c in ("min_metric_count", "max_metric_count", "bad_metrics", "rows")}
+        per_cell = grid.select(*group).distinct().join(per_cell, group, "left").na.fill(absent)
     cells = per_cell.join(F.broadcast(date_counts), "split").join(cross, ["split", "factor", "event"], "left")
     cells = cells.withColumns(
         {"bad_factors": F.coalesce("bad_factors", F.lit(0)), "has_readiness": F.coalesce("has_readiness", F.lit(False))}

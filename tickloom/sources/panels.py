@@ -32,6 +32,75 @@ def read_labels(spark: SparkSession, path: str, value: str) -> DataFrame:
     return df.select(*KEYS, value)
 
 
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """Membership or tradability by ``code`` (six digits, a point, the exchange): the other columns must be 0 or 1."""
+    df = spark.read.parquet(path)
+    flags = [c for c in df.columns if c != "code"]
+    if "code" not in df.columns or not flags:
+        raise ValueError("a universe needs code and at least one column of flags")
+    bad = ~F.coalesce(F.col("code").rlike(r"^[0-9A-Za-z]+\.[A-Z]+$"), F.lit(False))
+    for c in flags:
+        bad = bad | ~F.coalesce(F.col(f"`{c}`").isin(0, 1), F.lit(False))
+    if df.filter(bad).limit(1).count():
+        raise ValueError("a universe has plain codes and flags of 0 or 1 only")
+    return df.select("code", *[F.col(f"`{c}`").cast("int").alias(c) for c in flags])
+
+
+def read_label_csv(spark: SparkSession, path: str, label: str = "label") -> DataFrame:
+    """The label column of CSV files with a header, as doubles; text that is no number fails the read."""
+    df = spark.read.option("header", True).csv(path)
+    if label not in df.columns:
+        raise ValueError(f"label CSV must contain {label!r}")
+    value = F.col(label).cast("double")
+    broken = F.assert_true(value.isNotNull(), F.lit("a label is no number"))
+    return df.select(*[c for c in df.columns if c != label], F.when(broken.isNull(), value).alias(label))
+
+
+def concat_panels(parts: dict[str, DataFrame], name: str = "split", keys: Sequence[str] = ("date", "event")) -> DataFrame:
+    """Panels of equal columns one below the other, named in ``name``; their dates must not overlap and no key may repeat."""
+    out = None
+    for part, df in parts.items():
+        if out is not None:
+            check_columns(df.columns, out.columns[:-1])
+            require_disjoint(out, df, "date")
+        df = df.withColumn(name, F.lit(part))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise ValueError("no panel to concatenate")
+    if duplicate_keys(out, [name, *keys]).limit(1).count():
+        raise ValueError("a key repeats")
+    return out
+
+
+def strict_frame(panel: DataFrame, dates: Sequence[str], events: Sequence[int], factors: Sequence[str], metrics: Sequence[str], threshold: float = 0.95, allow_partial: bool = False) -> DataFrame:
+    """A metric panel as it must be frozen: the whole grid once, columns in contract order, finite values, enough of them."""
+    check_columns(panel.columns, ["date", "event", *[f"{f}|{m}" for f in factors for m in metrics]])
+    check_dates(dates, dates)
+    cell = F.struct(F.col("date").cast("string").alias("date"), F.col("event").cast("bigint").alias("event"))
+    inside = F.col("date").cast("string").isin(*dates) & F.col("event").isin(*events)
+    columns = panel.columns[2:]
+    checks = [F.count_if(F.col(f"`{c}`").isNotNull() & ~finite(F.col(f"`{c}`"))).alias(f"bad{i}") for i, c in enumerate(columns)]
+    checks += [F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]
+    seen = panel.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(cell).alias("cells"), F.count_if(inside).alias("inside"), *checks).first()
+    expected = len(dates) * len(events)
+    if not seen["rows"] == seen["cells"] == seen["inside"] == expected:
+        raise ValueError("frozen date/event grid mismatch")
+    for i, c in enumerate(columns):
+        if seen[f"bad{i}"]:
+            raise ValueError(f"non-finite {c}")
+        if not allow_partial and seen[f"n{i}"] < threshold * expected:
+            raise ValueError(f"coverage below {threshold}: {c}")
+    return panel
+
+
+def names_of(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The distinct values of a name column, sorted: a catalogue's names, never data that grows with time."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} is no list of names")
+    return sorted(found)
+
+
 def read_strict_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Metric documents; NaN or Infinity literals and malformed text fail the read."""
     reader = spark.read.option("multiLine", True).option("allowNonNumericNumbers", False).option("mode", "FAILFAST")

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.cuts import market_cuts
 from tickloom.plans.registry import FAMILIES, Streams
-from tickloom.schema import CHECKPOINTS
+from tickloom.schema import CHECKPOINTS, ORDER_KEY
 from tickloom.streaming.lifecycle import event_time
 
 
@@ -36,11 +35,9 @@ def publish_checkpoints(stream: DataFrame, store: str, panel: str, family: str,
         ticks = spark.read.parquet(store).withColumn("date", F.col("date").cast("string"))
         ticks = ticks.join(F.broadcast(touched), "date", "left_semi").drop("batch")
         cuts = market_cuts([ticks], checkpoints)
-        try:
-            done = spark.read.parquet(panel).select(F.col("date").cast("string").alias("date"), F.col("event").cast("bigint").alias("event")).distinct()
-            cuts = cuts.join(done, ["date", "event"], "left_anti")
-        except AnalysisException:
-            pass
+        # what arrived may change every checkpoint whose cut does not lie before it, published or not
+        first = batch.groupBy(F.col("date").cast("string").alias("date")).agg(F.min(F.struct(*ORDER_KEY)).alias("_first"))
+        cuts = cuts.join(F.broadcast(first), "date").filter("cut >= _first").drop("_first")
         fired = FAMILIES[family].build(Streams(trades=ticks), cuts)
         _overwrite(fired, panel, "date", "event")
 
