@@ -161,3 +161,28 @@ def test_partition_count_does_not_matter(spark):
     b = ev.flow_pressure(Streams(trades=many), market_cuts([many], [100_000_000])).filter("symbol = '000001'").collect()[0]
     for c in FAMILIES["flow_pressure"].columns:
         assert a[c] == pytest.approx(b[c], abs=1e-12)
+
+
+def test_a_cross_sectional_family_reads_the_panel(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tickloom.plans.registry import with_readiness
+
+    @factor_family("rank_of_flow_test", ["flow_rank_test"], cross_sectional=True, events=[100_000_000])
+    def rank_of_flow(panel, cuts):
+        own = FAMILIES["flow_pressure"].columns[0]
+        ranked = panel.filter(F.col(own).isNotNull()).withColumn("flow_rank_test", F.rank().over(Window.partitionBy("date", "event").orderBy(own)).cast("double"))
+        return with_readiness(ranked.select(*KEYS, "flow_rank_test"), ["flow_rank_test"])
+
+    try:
+        rows = [("20240102", s, 34_000_000_000 + i, 34_000_000 + i, 0, i, side) for i in range(40) for s, side in ((1, "B"), (2, "S" if i % 2 else "B"))]
+        t = spark.createDataFrame(rows, "date string, symbol long, local_us long, exch_ms long, channel int, serial long, bsflag string")
+        t = t.selectExpr("*", "'F' AS trade_type", "100L AS volume", "1000L AS price", "1000L AS amount")
+        cuts = market_cuts([t.unionByName(t.filter("serial = 0").selectExpr("date", "symbol", "36000000000L AS local_us", "36000000L AS exch_ms", "channel", "99L AS serial", "bsflag", "trade_type", "volume", "price", "amount"))], [100_000_000])
+        panel = build_panel(Streams(trades=t), cuts, ["rank_of_flow_test", "flow_pressure"])
+        assert panel.columns[3] == "flow_rank_test"
+        got = {r.symbol: (r.flow_rank_test, r.ready_flow_rank_test) for r in panel.collect()}
+        assert got == {1: (2.0, True), 2: (1.0, True)}
+    finally:
+        del FAMILIES["rank_of_flow_test"]

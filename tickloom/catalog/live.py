@@ -13,6 +13,9 @@ from tickloom.session import checkpoint_dir
 from tickloom.streaming import checkpoints as cp
 from tickloom.streaming import lifecycle as sl
 
+#: the stand-in trades on after the close, so its last bars end with the day
+DAY_MS = 86_400_000
+
 T = f"WITH {fx.FEED_SQL}, {fx.TRADES_SQL}"
 
 
@@ -31,6 +34,13 @@ class _StreamReader:
         return self.spark.readStream.schema(self.source.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
 
 
+def heartbeats(spark, ticks, ms=sl.CLOSE_MS):
+    """A stream with a clock message after ``ms`` of each day of ``ticks``."""
+    path = f"{checkpoint_dir(spark)}/beat-{uuid.uuid4().hex}"
+    sl.session_ends(ticks.select("date").distinct(), ms).write.parquet(path)
+    return spark.readStream.schema("date string, exch_ms bigint").parquet(path)
+
+
 def finish(stream, spark):
     """Run what is there, then read the sink back."""
     folder = f"{checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
@@ -46,26 +56,23 @@ def finish(stream, spark):
     "live_bars",
     f"""{T}, t AS (SELECT *, epoch_ms(strptime(date, '%Y%m%d')) + exch_ms AS ms FROM trades), b AS (SELECT date, symbol, ms // 1800000 AS slot, arg_min(price, (local_us, serial)) AS open, max(price) AS high, min(price) AS low,
   arg_max(price, (local_us, serial)) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS ticks FROM t GROUP BY ALL)
-SELECT date, symbol, slot * 1800000 AS bar_ms, open, high, low, close, volume, ticks FROM b WHERE (slot + 1) * 1800000 <= (SELECT max(ms) FROM t) - 20000""",
+SELECT date, symbol, slot * 1800000 AS bar_ms, open, high, low, close, volume, ticks FROM b""",
 )
 def live_bars(spark, sf_dir):
-    """Half-hour bars from a trade stream; the last open bars stay in state."""
+    """Half-hour bars from a trade stream, the last closed by the heartbeat after the session."""
     trades = fx.trades(_StreamReader(spark, spark), sf_dir)
-    bars = finish(cp.bar_stream(trades, "price", "volume", 30), spark)
+    bars = finish(cp.bar_stream(trades, "price", "volume", 30, heartbeat=heartbeats(spark, fx.trades(spark, sf_dir), DAY_MS)), spark)
     return bars.select("date", "symbol", F.unix_millis("bar_start").alias("bar_ms"), "open", "high", "low", "close", "volume", "ticks")
 
 
 @query(
     "live_parent_orders",
-    f"""{LIFE} SELECT date, symbol, order_id, side, original, CAST(immediate AS BIGINT) AS immediate, CAST(passive AS BIGINT) AS passive, CAST(cancelled AS BIGINT) AS cancelled, estimated, close_reason FROM fin
-WHERE date < (SELECT max(date) FROM legs) AND original > 0""",
+    f"""{LIFE} SELECT date, symbol, order_id, side, original, CAST(immediate AS BIGINT) AS immediate, CAST(passive AS BIGINT) AS passive, CAST(cancelled AS BIGINT) AS cancelled, estimated, close_reason FROM fin""",
 )
 def live_parent_orders(spark, sf_dir):
-    """Closed parent orders of the stateful stream, for the days whose close the watermark has passed."""
+    """Closed parent orders of the stateful stream; a heartbeat ends every session."""
     reader = _StreamReader(spark, spark)
-    events = finish(sl.lifecycle_stream(fx.lifecycle_trades(reader, sf_dir), fx.lifecycle_orders(reader, sf_dir)), spark)
-    closed = events.filter("event = 'Closed' AND original > 0")
-    # one row per day
-    last = fx.lifecycle_orders(spark, sf_dir).agg(F.max("date").alias("last_date"))
-    closed = closed.join(F.broadcast(last), F.col("date") < F.col("last_date"))
+    beat = heartbeats(spark, fx.lifecycle_orders(spark, sf_dir))
+    events = finish(sl.lifecycle_stream(fx.lifecycle_trades(reader, sf_dir), fx.lifecycle_orders(reader, sf_dir), beat), spark)
+    closed = events.filter("event = 'Closed'")
     return closed.select("date", "symbol", "order_id", "side", "original", "immediate", "passive", "cancelled", "estimated", "close_reason")

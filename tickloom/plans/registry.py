@@ -34,7 +34,7 @@ class Streams:
 class Family:
     name: str
     columns: tuple[str, ...]
-    build: Callable[[Streams, DataFrame], DataFrame]
+    build: Callable[[Streams | DataFrame, DataFrame], DataFrame]
     cross_sectional: bool = False
     events: tuple[int, ...] | None = None
     inputs: tuple[str, ...] = field(default=())
@@ -56,7 +56,11 @@ def factor_family(
     events: Sequence[int] | None = None,
     inputs: Sequence[str] = (),
 ):
-    """Register a family; a second registration under the same name is refused."""
+    """Register a family; a second registration under the same name is refused.
+
+    ``build(streams, cuts)`` returns the keys, the columns and their readiness.  A cross-sectional family instead gets
+    the panel of all symbols, with the columns of the per-symbol families, as its first argument.
+    """
     names = default_names(name, columns) if isinstance(columns, int) else tuple(columns)
 
     def register(build: Callable[[Streams, DataFrame], DataFrame]):
@@ -97,11 +101,16 @@ def build_panel(streams: Streams, cuts: DataFrame, families: Sequence[str], code
 
         codes = reduce(DataFrame.union, [s.select("date", "symbol") for s in streams.present()]).distinct()
     panel = grid_at_cuts(codes, cuts)
-    columns: list[str] = []
-    for name in families:
+    columns = [c for name in families for c in FAMILIES[name].columns]
+    # a cross-sectional family reads the columns of the others at the same checkpoint, so it comes after them
+    for name in sorted(families, key=lambda n: FAMILIES[n].cross_sectional):
         family = FAMILIES[name]
-        panel = panel.join(family.build(streams, family_cuts(cuts, family.events)), KEYS, "left")
-        columns += family.columns
+        if family.cross_sectional:
+            there = panel if family.events is None else panel.filter(F.col("event").isin(*family.events))
+            built = family.build(there, cuts)
+        else:
+            built = family.build(streams, family_cuts(cuts, family.events))
+        panel = panel.join(built, KEYS, "left")
     fill = {f"reason_{c}": F.coalesce(F.col(f"reason_{c}"), F.lit(REASON["no_input"]).cast("short")) for c in columns}
     fill |= {f"ready_{c}": F.coalesce(F.col(f"ready_{c}"), F.lit(False)) for c in columns}
     panel = panel.withColumns(fill)

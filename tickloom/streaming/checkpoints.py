@@ -44,11 +44,14 @@ def publish_checkpoints(stream: DataFrame, store: str, panel: str, family: str,
     return stream.writeStream.foreachBatch(step)
 
 
-def bar_stream(ticks: DataFrame, price: str, volume: str, minutes: int = 1, delay: str = "20 seconds") -> DataFrame:
-    """Minute bars in append mode: a bar leaves when the watermark has passed its end."""
+def bar_stream(ticks: DataFrame, price: str, volume: str, minutes: int = 1, delay: str = "20 seconds", heartbeat: DataFrame | None = None) -> DataFrame:
+    """Minute bars in append mode: a bar leaves when the watermark has passed its end; heartbeats (date, exch_ms) move it on."""
+    if heartbeat is not None:
+        ticks = ticks.unionByName(heartbeat.select("date", "exch_ms"), allowMissingColumns=True)
     timed = ticks.withColumn("event_time", event_time(F.col("date"), F.col("exch_ms"))).withWatermark("event_time", delay)
     order = F.struct("local_us", "serial")
     bars = timed.groupBy("date", "symbol", F.window("event_time", f"{minutes} minutes")).agg(
-        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("ticks")
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"), F.count("local_us").alias("ticks")
     )
-    return bars.select("date", "symbol", F.col("window.start").alias("bar_start"), "open", "high", "low", "close", "volume", "ticks")
+    # by the count: a filter on the key would be pushed below the watermark and take the heartbeats away
+    return bars.filter("ticks > 0").select("date", "symbol", F.col("window.start").alias("bar_start"), "open", "high", "low", "close", "volume", "ticks")

@@ -147,6 +147,8 @@ class _Order:
 
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One call per order and micro-batch, or per timeout."""
+    if pd.isna(key[2]):  # heartbeats only move the watermark
+        return
     order = _Order(key, state.get if state.exists else None)
     base = midnight_ms(key[0])
     if state.hasTimedOut:
@@ -171,9 +173,21 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame(order.out, columns=names)
 
 
-def lifecycle_stream(trades: DataFrame, orders: DataFrame) -> DataFrame:
-    """Lifecycle events of two tick streams, in append mode."""
-    legs = order_legs(trades, orders).withColumn("event_time", event_time(F.col("date"), F.col("exch_ms")))
+def session_ends(dates: DataFrame, ms: int = CLOSE_MS) -> DataFrame:
+    """A heartbeat after ``ms`` of each ``date``, late enough to pass every watermark of the session."""
+    return dates.select("date", F.lit(ms + 2 * WATERMARK_MS).cast("bigint").alias("exch_ms"))
+
+
+def lifecycle_stream(trades: DataFrame, orders: DataFrame, heartbeat: DataFrame | None = None) -> DataFrame:
+    """Lifecycle events of two tick streams, in append mode.
+
+    ``heartbeat`` (date, exch_ms) is a stream of clock messages: without one the last day closes only when a record
+    of the next day arrives.
+    """
+    legs = order_legs(trades, orders)
+    if heartbeat is not None:
+        legs = legs.unionByName(heartbeat.select("date", "exch_ms"), allowMissingColumns=True)
+    legs = legs.withColumn("event_time", event_time(F.col("date"), F.col("exch_ms")))
     symbol = legs.schema["symbol"].dataType.simpleString()
     return (
         legs.withWatermark("event_time", f"{WATERMARK_MS // 1000} seconds")
