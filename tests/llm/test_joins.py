@@ -201,6 +201,12 @@ def test_stages_decide(staged):
     assert {r.doc_id for r in staged["packing"][1].collect()} == set(text)
 
 
+def test_cut_keeps_the_lines():
+    covered = np.array([False, True, True, False, False, True, False])
+    assert substrings._cut(b" a b\n c d  e\tf g ", covered) == b"a\nd  e g"
+    assert substrings._cut(b"a b", np.array([True, True])) == b"" and substrings._cut(b" a b\n", np.array([False, False])) == b"a b"
+
+
 def test_passages_leave_the_texts(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = frame(spark, [(1, f"{PROSE}{passage}"), (2, f"another beginning {passage} and an end"), (3, passage), (4, PROSE.replace("fox", "cat"))])

@@ -20,6 +20,7 @@ Nothing is compared pair by pair, and a passage in every document costs one row
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,6 +235,24 @@ def _kept(words: list[bytes], covered: np.ndarray) -> list[bytes]:
     return [x for x, gone in zip(words, covered.tolist()) if not gone] if covered.any() else words
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut(text: bytes, covered: np.ndarray) -> bytes:
+    """The text without its covered words: runs of kept words as they stand, with a line feed between them where one was removed, else a space."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    kept = np.flatnonzero(~covered).tolist()
+    out, last = [], None
+    for i in kept:
+        if last is not None and i != last + 1:
+            gap = b"\n" if b"\n" in text[at[last][1] : at[i][0]] else b" "
+            out += [text[begin : at[last][1]], gap]
+        if last is None or i != last + 1:
+            begin = at[i][0]
+        last = i
+    return b"".join(out) + (text[begin : at[last][1]] if kept else b"")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; a null text has no words."""
 
@@ -245,11 +264,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the struct of ``carry`` if given, n_removed and the text without its repeats; unchanged (null: null) where it has none, else its kept words joined by spaces."""
+    """doc_id, the struct of ``carry`` if given, n_removed and the text without its repeats; unchanged (null: null) where it has none."""
 
     def finish(text, words, covered):
         gone = int(covered.sum())
-        kept = b" ".join(_kept(words, covered)) if gone else text
+        kept = _cut(text, covered) if gone else text
         return gone, None if kept is None else kept.decode("utf-8", "replace")
 
     return remove_repeats(docs, finish, "n_removed long, cleaned string", id_col, text_col, length, carry=carry)
