@@ -70,7 +70,7 @@ def futures(spark: SparkSession, root: str, product: str, contracts: DataFrame,
     if dates is not None:
         df = df.filter(F.col("date").isin(*dates))
     wanted = contracts.filter(F.col("product") == product).select("date", "symbol")
-    return df.join(F.broadcast(wanted), ["date", "symbol"], "left_semi")
+    return df.join(wanted, ["date", "symbol"], "left_semi")
 
 
 def path_parts(path_column: str = "_metadata.file_path") -> list:
