@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom import fixtures as fx
-from tickloom.catalog import query
+from tickloom.catalog import ORACLES, query
 from tickloom.fixtures import r6s
 from tickloom.functions.scalar import quarter_bucket, r6, year_bucket
 from tickloom.operators.crosssection import correlation, tie_rank
 from tickloom.operators.series import rolling_mean, series_stats
 from tickloom.plans import validity as vd
+from tickloom.plans.portrait import portraits
 
 M = f"WITH {fx.METRICS_SQL}"
 #: pre-holdout part of the metric panel
@@ -356,3 +357,26 @@ def parameter_neighbours(spark, sf_dir):
         part = j.select("family", *[F.col(cols[k][i]).alias(f"{side}_{k}") for i, side in enumerate("ab") for k in ("shape", "size")], F.lit(changed).alias("changed"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _portrait_sql() -> str:
+    part = lambda name: f"({ORACLES[name]})"
+    return f"""WITH c AS (SELECT factor, count(*) AS cells, count(*) FILTER (WHERE status = 'pass') AS passed, count(*) FILTER (WHERE status = 'data_error') AS errors FROM {part("validity_matrix")} GROUP BY factor),
+s AS (SELECT factor, list("mean" ORDER BY split, slice, value) AS slice_means, list("count" ORDER BY split, slice, value) AS slice_counts FROM {part("ic_slices")} GROUP BY factor),
+t AS {part("rolling_stability")}, a AS (SELECT factor, list(date ORDER BY position) AS anomaly_dates FROM {part("anomaly_days")} GROUP BY factor),
+p AS (SELECT * FROM {part("ic_series_spearman")} WHERE spearman IS NOT NULL), b AS (SELECT a AS factor, b AS other, spearman AS r FROM p UNION ALL SELECT b, a, spearman FROM p),
+n AS (SELECT factor, list(other ORDER BY abs(r) DESC, other)[1:3] AS nearest FROM b GROUP BY factor)
+SELECT factor, cells, passed, errors, slice_means, slice_counts, positive_fraction, sign_disagreement, unstable, anomaly_dates, nearest
+FROM c LEFT JOIN s USING (factor) LEFT JOIN t USING (factor) LEFT JOIN a USING (factor) LEFT JOIN n USING (factor)"""
+
+
+@query("factor_portrait", _portrait_sql())
+def factor_portrait(spark, sf_dir):
+    """The portrait of every factor, with its arrays cut down to what can be compared."""
+    p = portraits(validity_matrix(spark, sf_dir), ic_slices(spark, sf_dir), rolling_stability(spark, sf_dir), anomaly_days(spark, sf_dir), ic_series_spearman(spark, sf_dir))
+    count = lambda s: F.coalesce(F.try_element_at("validity", F.lit(s)), F.lit(0))
+    return p.select(
+        "factor", F.aggregate(F.map_values("validity"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("cells"), count("pass").alias("passed"), count("data_error").alias("errors"),
+        F.col("slices.mean").alias("slice_means"), F.col("slices.count").alias("slice_counts"), "stability.positive_fraction", "stability.sign_disagreement", "stability.unstable",
+        F.col("anomalies.date").alias("anomaly_dates"), F.col("nearest.other").alias("nearest"),
+    )
