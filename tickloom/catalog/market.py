@@ -182,20 +182,21 @@ _MARKS = """marks AS (SELECT date, symbol, local_us, exch_ms, channel, serial, l
 
 @query(
     "demo_prices",
-    f"""{W}, {_MARKS}, {seen_sql("quotes", name="q")}, {seen_sql("trades", name="t")}, {seen_sql("ord", name="o")}, {seen_sql("marks", name="m")},
+    f"""{W}, {_MARKS}, {seen_sql("quotes", name="q")}, {seen_sql("trades", name="t")}, {seen_sql("ord", name="o")}, {seen_sql("marks", name="m")}, {seen_sql("quotes", "t.bp[1] > 0 AND t.ap[1] > 0", "mq")},
+mi AS (SELECT date, symbol, event, 0.5::DOUBLE * (bp[1] + ap[1]) AS mid_price FROM mq WHERE rn = 1),
 qa AS (SELECT date, symbol, event, {_PK} AS last_quote_time, n AS quote_count, bp[1]::DOUBLE AS best_bid, ap[1]::DOUBLE AS best_ask FROM q WHERE rn = 1),
 ta AS (SELECT date, symbol, event, max({_PK}) FILTER (WHERE rn = 1) AS last_trade_time, count(*) FILTER (WHERE trade_type <> 'C') AS trade_count FROM t GROUP BY ALL),
 oa AS (SELECT date, symbol, event, max({_PK}) FILTER (WHERE rn = 1) AS last_order_time, count(*) FILTER (WHERE NOT (market = 49 AND order_type = 'D')) AS order_count FROM o GROUP BY ALL),
 ma AS (SELECT date, symbol, event, p AS last_price FROM m WHERE rn = 1)
 SELECT date, symbol, event, coalesce(last_quote_time, 0) AS last_quote_time, coalesce(last_trade_time, 0) AS last_trade_time, coalesce(last_order_time, 0) AS last_order_time, coalesce(quote_count, 0) AS quote_count, coalesce(trade_count, 0) AS trade_count,
-  coalesce(order_count, 0) AS order_count, coalesce(last_price, 0) AS last_price, coalesce(best_bid, 0) AS best_bid, coalesce(best_ask, 0) AS best_ask, coalesce(best_ask - best_bid, 0) AS spread
-FROM qa FULL JOIN ta USING (date, symbol, event) FULL JOIN oa USING (date, symbol, event) FULL JOIN ma USING (date, symbol, event)""",
+  coalesce(order_count, 0) AS order_count, coalesce(last_price, 0) AS last_price, coalesce(best_bid, 0) AS best_bid, coalesce(best_ask, 0) AS best_ask, coalesce(best_ask - best_bid, 0) AS spread, coalesce(mid_price, 0) AS mid_price, event::DOUBLE AS "timestamp"
+FROM qa FULL JOIN ta USING (date, symbol, event) FULL JOIN oa USING (date, symbol, event) FULL JOIN ma USING (date, symbol, event) FULL JOIN mi USING (date, symbol, event)""",
 )
 def demo_prices(spark, sf_dir):
     """Clocks, counts, last price and touch of the demonstration family."""
     s, cuts = feed_setup(spark, sf_dir)
     p = df_.prices(s, cuts)
-    return p.select(*KEYS, "last_quote_time", "last_trade_time", "last_order_time", "quote_count", "trade_count", "order_count", "last_price", "best_bid", "best_ask", "spread")
+    return p.select(*KEYS, "last_quote_time", "last_trade_time", "last_order_time", "quote_count", "trade_count", "order_count", "last_price", "best_bid", "best_ask", "spread", "mid_price", "timestamp")
 
 
 @query(
@@ -235,13 +236,14 @@ def big_trade_at_cuts(spark, sf_dir):
     "id_statistics",
     f"""{W}, {seen_sql("trades", "trade_type <> 'C'")}, g AS (SELECT *, buy_id - lag(buy_id) OVER w AS gap, exch_ms - lag(exch_ms) OVER w AS tg FROM seen WINDOW w AS (PARTITION BY date, symbol, event ORDER BY rn DESC))
 SELECT date, symbol, event, {r6s("CASE WHEN count(gap) >= 2 AND avg(tg) > 0 THEN 1000 / avg(tg) ELSE 0 END")} AS velocity, {r6s("CASE WHEN count(gap) >= 2 THEN avg(gap) ELSE 0 END")} AS gap_mean,
-  {r6s("CASE WHEN count(*) >= 2 THEN avg(CASE WHEN bsflag = 'B' THEN 1.0 ELSE 0.0 END) ELSE 0 END")} AS pressure_buy FROM g GROUP BY ALL""",
+  {r6s("CASE WHEN count(*) >= 2 THEN avg(CASE WHEN bsflag = 'B' THEN 1.0 ELSE 0.0 END) ELSE 0 END")} AS pressure_buy,
+  {r6s("CASE WHEN count(*) >= 2 THEN avg(CASE WHEN bsflag = 'S' THEN 1.0 ELSE 0.0 END) ELSE 0 END")} AS pressure_sell FROM g GROUP BY ALL""",
 )
 def id_statistics(spark, sf_dir):
-    """Velocity, mean id gap and buy pressure."""
+    """Velocity, mean id gap and the pressure of both sides."""
     s, cuts = feed_setup(spark, sf_dir)
     t = df_.id_statistics(s.trades.filter(df_.counted_trade()), cuts, "buy_id")
-    return t.select(*KEYS, *[r6(F.col(c)).alias(c) for c in ("velocity", "gap_mean", "pressure_buy")])
+    return t.select(*KEYS, *[r6(F.col(c)).alias(c) for c in ("velocity", "gap_mean", "pressure_buy", "pressure_sell")])
 
 
 @query(

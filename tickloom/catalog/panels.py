@@ -238,9 +238,9 @@ def reproduction_check(spark, sf_dir):
 
 @query(
     "two_run_comparison",
-    f"""{P}, {_HIST}, k AS (SELECT date, event, symbol, p.fa AS pa, h.fa AS ha, p.fc AS pc, h.fc AS hc, p.n IS NOT NULL AS inp, h.hit IS NOT NULL AS inh FROM panel p FULL JOIN (SELECT *, 1 AS hit FROM hist) h USING (symbol, date, event))
+    f"""{P}, {_HIST}, k AS (SELECT date, event, symbol, p.fa AS pa, h.fa AS ha, p.fb AS pb, h.fb AS hb, p.fc AS pc, h.fc AS hc, p.n IS NOT NULL AS inp, h.hit IS NOT NULL AS inh FROM panel p FULL JOIN (SELECT *, 1 AS hit FROM hist) h USING (symbol, date, event))
 SELECT date, event, count(*) FILTER (WHERE inp AND NOT inh) AS only_first, count(*) FILTER (WHERE inh AND NOT inp) AS only_second,
-  count(*) FILTER (WHERE inp AND inh AND pa IS DISTINCT FROM ha) AS unequal_fa, count(*) FILTER (WHERE inp AND inh AND pc IS DISTINCT FROM hc) AS unequal_fc FROM k GROUP BY date, event""",
+  count(*) FILTER (WHERE inp AND inh AND pa IS DISTINCT FROM ha) AS unequal_fa, count(*) FILTER (WHERE inp AND inh AND pb IS DISTINCT FROM hb) AS unequal_fb, count(*) FILTER (WHERE inp AND inh AND pc IS DISTINCT FROM hc) AS unequal_fc FROM k GROUP BY date, event""",
 )
 def two_run_comparison(spark, sf_dir):
     """Rows on one side only and unequal values per column of two runs."""
@@ -250,7 +250,7 @@ def two_run_comparison(spark, sf_dir):
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
     return j.groupBy("date", "event").agg(
         F.count_if(F.col("in_b").isNull()).alias("only_first"), F.count_if(F.col("in_a").isNull()).alias("only_second"),
-        *[F.count_if(both & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))).alias(f"unequal_{f}") for f in ("fa", "fc")],
+        *[F.count_if(both & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))).alias(f"unequal_{f}") for f in ("fa", "fb", "fc")],
     )
 
 

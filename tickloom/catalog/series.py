@@ -82,7 +82,7 @@ e AS (SELECT {_G}, date, n >= 2 AS ready, IC AS rank_ic, {_QS}, coalesce(directi
 s AS (SELECT *, count(*) OVER (PARTITION BY {_G} ORDER BY date) AS seen, sum(CASE WHEN ready THEN 1 ELSE 0 END) OVER (PARTITION BY {_G} ORDER BY date) AS rc FROM e)
 SELECT {_G}, date, {r6s("rc / seen::DOUBLE")} AS coverage, {r6s(f"sum(coalesce(rank_ic, 0)) OVER w")} AS ic_cumulative,
   {r6s("exp(sum(ln(1 + CASE WHEN direction = 'negative' THEN q10 ELSE q1 END)) OVER w) - 1")} AS long_cumulative,
-  {r6s("exp(sum(ln(1 + q1)) OVER w) - 1")} AS q1_cumulative, {r6s("exp(sum(ln(1 + q10)) OVER w) - 1")} AS q10_cumulative
+  {", ".join(r6s(f"exp(sum(ln(1 + q{i})) OVER w) - 1") + f" AS q{i}_cumulative" for i in range(1, 11))}
 FROM s WHERE ready WINDOW w AS (PARTITION BY {_G} ORDER BY date)""",
 )
 def effect_time_series(spark, sf_dir):
@@ -93,5 +93,5 @@ def effect_time_series(spark, sf_dir):
     d = m.filter("split <> 'holdout'").groupBy(*cell).agg(F.when(total < 0, "negative").otherwise("positive").alias("direction"))
     e = m.withColumns({"ready": F.col("n") >= 2, "rank_ic": F.col("IC"), **{f"q{i}_return": F.col("LS") * i / 10.0 for i in range(1, 11)}})
     out = sr.effect_series(sr.guard_holdout(e, authorised=True), d, cell)
-    cols = ["coverage", "ic_cumulative", "long_cumulative", "q1_cumulative", "q10_cumulative"]
+    cols = ["coverage", "ic_cumulative", "long_cumulative", *[f"q{i}_cumulative" for i in range(1, 11)]]
     return out.select(*cell, "date", *[r6(F.col(c)).alias(c) for c in cols])
