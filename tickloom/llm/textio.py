@@ -25,8 +25,12 @@ SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session defaults and small Arrow batches."""
+    """Session defaults, small Arrow batches, and shuffle files that go when the execution they serve has ended.
+
+    What a later step reads of an earlier one is always a written table, so no shuffle is needed twice.
+    """
     apply_defaults(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
