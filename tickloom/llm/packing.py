@@ -10,6 +10,7 @@ its end is at most its open bins, a small share of the sequences it makes.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -69,7 +70,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
     def make():
         encoder = Encoder(tokenizer)
-        return encoder, Cache(lambda t: np.array(encoder.pre_token_ids(t), "<u4").tobytes(), CACHE_SIZE)
+        return encoder, Cache(lambda t: struct.pack(f"<{len(ids := encoder.pre_token_ids(t))}I", *ids), CACHE_SIZE)
 
     end = np.array([end_id], "<u4").tobytes()
 

@@ -49,6 +49,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.alphabet = self.tokenizer.model, _printable_bytes()
+        self.marks = {m: self.ids(m) for m in (b".", b",")}
         # plain words may skip the library's normaliser where that is known to change nothing
         self.direct = all(self._word(p.decode()) == self.ids(p) for p in _PROBES)
 
@@ -65,7 +66,7 @@ class Encoder:
         if _LETTERS.fullmatch(word):
             return self._word(word)
         if word[-1] in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha():
-            return self.pre_token_ids(token[:-1]) + self.ids(token[-1:])
+            return self.pre_token_ids(token[:-1]) + self.marks[token[-1:]]
         return self.ids(token)
 
     def split(self, text: bytes) -> list[bytes] | None:
