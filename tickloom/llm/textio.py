@@ -19,8 +19,8 @@ from tickloom.session import apply_defaults
 
 #: documents in an Arrow batch; long texts must not meet by the thousand
 BATCH_ROWS = 128
-#: bytes of text handled at once; one longer text is handled alone
-BATCH_BYTES = 4 << 20
+#: bytes of text handled at once, each of which takes some 60 bytes of arrays; one longer text is handled alone
+BATCH_BYTES = 1 << 20
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -118,7 +118,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, up to exponent n."""
     if len(_POWERS[0]) <= n:
-        size = max(n + 1, 2 * len(_POWERS[0]))
+        size = n + 1 + (n >> 3)
         for k, base in enumerate((_R, pow(_R, -1, 1 << 64))):
             run = np.full(size, base, np.uint64)
             run[0] = 1
