@@ -96,7 +96,7 @@ def _anchor_blocks(docs: DataFrame, reducers: int, length: int, k: int) -> DataF
             # marks ride along with any reducer
             own = np.flatnonzero(marked)
             if len(own):
-                rows.append((int(bucket[own[0]]), own))
+                rows.append((int(mix(keys[:1].view(np.uint64) ^ ids[:1].view(np.uint64))[0] % np.uint64(reducers)), own))
             out = [pa.array([r for r, _ in rows], pa.int32()), pa.array([len(own) > 0 and i == len(rows) - 1 for i in range(len(rows))], pa.bool_())]
             for values in (hashes, context, ids[doc], keys[doc], pos):
                 out.append(pa.array([values[x].tobytes() for _, x in rows], pa.binary()))
