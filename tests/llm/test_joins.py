@@ -108,6 +108,31 @@ def test_join_against_brute_force(spark, monkeypatch, block):
     assert got.keys() == links.keys() and all(abs(got[k] - links[k]) < 1e-9 for k in links)
 
 
+def long_copies(groups, copies, size):
+    """Groups of near copies of mutually different texts of ``size`` words; ids from 1."""
+    out = []
+    for g in range(groups):
+        base = [f"g{g}x{k}" for k in range(size)]
+        for c in range(copies):
+            w = list(base)
+            w[(c + 1) * size // (copies + 2)] = f"edit{c}"
+            out.append(" ".join(w))
+    return list(enumerate(out, 1))
+
+
+@pytest.mark.parametrize("groups, copies, size, most", [(12, 2, 150, 200), (6, 10, 250, 600), (1, 2, 110_000, None), (1, 10, 110_000, None)])
+def test_blocks_without_a_member(spark, monkeypatch, groups, copies, size, most):
+    # more blocks than members reach: few texts with more shingles than one block may have
+    if most:
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", most)
+    texts = long_copies(groups, copies, size)
+    join = ngram_join.Join(frame(spark, texts))
+    first = {i: (i - 1) // copies * copies + 1 for i, _ in texts}
+    assert {r.doc_id: (r.class_id, r.text_id, r.n_copies, r.n_links) for r in join.membership().collect()} == {i: (first[i], i, 1, copies - 1) for i in first}
+    got = {(r.left, r.right) for r in join.pairs().collect()}
+    assert got == {(a, b) for a in first for b in first if a < b and first[a] == first[b]}
+
+
 def test_pruning_drops_only_the_unlikely():
     least = ngram_join.least_matches(0.8, 1e-7)
     assert least[0] == 0 and all(a <= b <= a + 1 for a, b in zip(least, least[1:]))

@@ -174,8 +174,11 @@ def _compare(groups: DataFrame, threshold: float, pairs: bool) -> DataFrame:
 
     def run(batches):
         for (_, low, high), rows in _groups(batches):
-            a = _Side([(n, s) for n, b, s in rows if b == low])
-            b = None if low == high else _Side([(n, s) for n, b, s in rows if b == high])
+            left, right = ([(n, s) for n, b, s in rows if b == block] for block in (low, high))
+            if not left or not right:  # members are dealt by hash: a block may have none, and then nothing to meet
+                continue
+            a = _Side(left)
+            b = None if low == high else _Side(right)
             i, j, similarity = block_links(a, b, threshold, least)
             if not len(i):
                 continue
