@@ -7,7 +7,8 @@ different values different ones, and the key's holder can undo it. Rows are inde
 
 Kinds: card (13 to 19 digits, Luhn), iban (mod 97), ssn (US areas), phone (international or North American form), ip
 (v4), date (1900 to 2099: y-m-d, d.m.y, d/m/y or, where only that is a date, m/d/y), email (the part before the @)
-and secret (hexadecimal credentials that are assigned to a name). A null text stays null. Values of other formats,
+and secret (hexadecimal credentials that are assigned to a name). Where groups follow that a form could also take, an IBAN
+ends at its country's length and a phone at ten digits behind +1, else at 15 digits or before another value. A null text stays null. Values of other formats,
 and numbers that fail their check, stay as they are.
 """
 
@@ -192,28 +193,38 @@ class Pseudonyms:
             return f"{first:02d}{sep}{second:02d}{sep}{day.year}"
         return None
 
+    def _moved(self, kind: str, m: str) -> str | None:
+        key = (kind, m)
+        if key not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[key] = getattr(self, kind)(m)
+        return self.memo[key]
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with its values moved, and their kinds and places (in the result, whose length may differ in ip)."""
         taken: list[tuple[int, int, str, str]] = []
         used = np.zeros(0, bool)
-        for kind in KINDS:
+        for kind, ends in PASSES:
             if kind == "email" and "@" not in text:
                 continue
-            for m in PATTERNS[kind].finditer(text):
-                a, b = m.span(1)
-                key = (kind, m[1])
-                if key not in self.memo:
-                    if len(self.memo) > 100_000:
-                        self.memo.clear()
-                    self.memo[key] = getattr(self, kind)(m[1])
-                moved = self.memo[key]
-                if moved is None:
-                    continue
-                if not len(used):
-                    used = np.zeros(len(text), bool)
-                if not used[a:b].any():
-                    used[a:b] = True
-                    taken.append((a, b, kind, moved))
+            at = 0
+            while m := PATTERNS[kind].search(text, at):
+                a, at = m.start(1), m.end()
+                for b in ends(text, *m.span(1)) if ends else (m.end(1),):
+                    if len(used) and used[a:b].any():
+                        at = a + 1  # the rest may be a value
+                        continue
+                    moved = self._moved(kind, text[a:b])
+                    if moved is not None:
+                        if not len(used):
+                            used = np.zeros(len(text), bool)
+                        used[a:b] = True
+                        taken.append((a, b, kind, moved))
+                        at = b if ends else m.end()
+                        break
+                else:
+                    at = a + 1 if ends else at
         if not taken:
             return text, []
         out, spans, at, size = [], [], 0, 0
@@ -236,6 +247,52 @@ PATTERNS = {
     "ip": re.compile(r"(?<![0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])"),
     "date": re.compile(r"(?<![0-9./-])((?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|(?:19|20)[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2})(?![0-9/-]|\.[0-9])"),
 }
+#: characters of an IBAN by country, as registered
+IBAN_LENGTH = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FO,FI,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,XK,LT,LU,MN 21:HR,LV,LI,CH 22:BH,BG,CR,GE,DE,IE,ME,RS,GB,VA 23:TL,GI,IQ,IL,AE,OM,SO "
+        "24:AD,CZ,MD,PK,RO,SA,SK,ES,SE,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MR,MC,SM 28:AL,AZ,BY,CY,DO,SV,GT,HU,LB,NI,PL 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
+#: forms of values that may follow a number after a space; told by form alone, so that a pseudonym is cut where its value was
+_FOLLOWING = re.compile(r"(?<= )(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}|[0-9]{13,19}|(?<![0-9]{4} )[0-9]{4}(?:[ -][0-9]{4}){3}(?! [0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]|[./-][0-9])")
+
+
+def _group_ends(text: str, a: int, b: int, kind: str) -> list[int]:
+    """The ends of a match and of all its beginnings of whole groups that have the kind's form, the longest first."""
+    return [e for e in range(b, a, -1) if e == b or (not text[e].isalnum() and PATTERNS[kind].fullmatch(text, a, e))]
+
+
+def _iban_ends(text: str, a: int, b: int) -> list[int]:
+    """The end that gives the registered length of the country."""
+    length = IBAN_LENGTH.get(text[a : a + 2])
+    return [e for e in _group_ends(text, a, b, "iban") if sum(c.isalnum() for c in text[a:e]) == length]
+
+
+def _other_iban_ends(text: str, a: int, b: int) -> list[int]:
+    """The whole match, and the rest only where no length is registered."""
+    return [b] if text[a : a + 2] in IBAN_LENGTH else _group_ends(text, a, b, "iban")
+
+
+def _phone_ends(text: str, a: int, b: int) -> list[int]:
+    """The longest first, but those last that reach over a value of another form; none ends inside one. A number of
+    country code 1 has ten further digits where that can be."""
+    if text[a] != "+":
+        return [b]
+    others, at = [], a + 1
+    while (m := _FOLLOWING.search(text, at)) and m.start() < b:
+        others.append(m.span())
+        at = m.end()
+    ends = [e for e in _group_ends(text, a, b, "phone") if not any(s < e < t for s, t in others)]
+    first = min((s for s, _ in others), default=b)
+    north = lambda e: text[a + 1] == "1" and sum(c.isdigit() for c in text[a:e]) == 11
+    return sorted(ends, key=lambda e: (not north(e), e > first))
+
+
+#: kinds in their order, with the ends to try where a form also takes groups that follow
+PASSES = [p for kind in KINDS for p in {"iban": [(kind, _iban_ends), (kind, _other_iban_ends)], "phone": [(kind, _phone_ends)]}.get(kind, [(kind, None)])]
 _ANY_DIGIT = re.compile(rb"[0-9@]")
 _ASSIGNED = re.compile(rb"(?:key|token|secret|passw|pwd)")
 
