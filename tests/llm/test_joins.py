@@ -188,6 +188,36 @@ def test_repeats_against_brute_force(spark, vocabulary, length, k):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_repeats(texts, length)
 
 
+def test_reducers_follow_the_text_and_hot_anchors_are_spread(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(substrings, "REDUCER_BYTES", 4000)
+    monkeypatch.setattr(substrings, "HOT", 16)  # every document is in the sample
+    passage = " ".join(f"p{k}" for k in range(20))
+    texts = [(i, " ".join(rng.choices("abcdefgh", k=60)) + f" {passage} " + " ".join(rng.choices("abcdefgh", k=60))) for i in rng.sample(range(1000), 120)] + [(5000, passage), (5000, passage)]
+    docs = frame(spark, texts)
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(text) AS key")
+    reducers, hot = substrings._reducers(rows), substrings._hot(rows, 13, 5)
+    assert reducers == -(-sum(len(t) for _, t in texts) // 4000) and len(hot) >= 4
+    blocks = substrings._dealt(substrings._anchor_blocks(rows, reducers, hot, 13, 5), reducers).selectExpr("*", "spark_partition_id() AS place").collect()
+    assert all(r.place == r.reducer for r in blocks) and len({r.place for r in blocks}) == reducers
+    places = collections.defaultdict(set)
+    for r in blocks:
+        if r.block == substrings.BY_CONTEXT:
+            for x in np.frombuffer(r["hash"], np.uint64).tolist():
+                places[x].add(r.place)
+    assert places.keys() <= set(hot.tolist()) and max(map(len, places.values())) > reducers // 2
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(docs).collect())
+    assert got == brute_repeats(texts, 13)
+
+
+@pytest.mark.parametrize("vocabulary, length, k", [(2, 13, 5), (3, 6, 3), (4, 5, 2)])
+def test_repeats_with_hot_anchors(spark, monkeypatch, vocabulary, length, k):
+    monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "HITS", 2)
+    monkeypatch.setattr(substrings, "REDUCER_BYTES", 700)
+    test_repeats_against_brute_force(spark, vocabulary, length, k)
+
+
 def test_repeats_on_odd_rows(messy, nothing):
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(messy).collect())
     assert got == brute_repeats(TEXTS, 13)

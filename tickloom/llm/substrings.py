@@ -7,7 +7,8 @@ Anchors are K-word runs chosen by winnowing: of every LENGTH - K + 1 successive
 (the last of equals), so any repeated window has the same anchor, at the same place, wherever it stands. The context
 of an anchor is the anchor with the LENGTH - K words on either side. It takes three joins:
 
-1. Anchors meet on their hash, in packed blocks. Each batch of documents first combines its own: of equal contexts
+1. Anchors meet on their hash, in packed blocks; the few hot ones meet on their context, and the least document of each
+   context then on the hash, summed up before it is sent. Each batch of documents first combines its own: of equal contexts
    only the least document is sent. Where an earlier document has the same whole context, every window of the anchor
    repeats; where only the anchor is shared, the seed is left to be extended.
 2. Seeds of the second kind are extended word by word within the context: each of their windows is looked up by its
@@ -32,8 +33,8 @@ from tickloom.llm.textio import Words, carried, column_names, grams, hash_words,
 from tickloom.session import cut_lineage
 
 LENGTH, K = 13, 5
-#: documents for one packed block of a reducer; sets the number of reducers
-REDUCER_DOCS = 4000
+#: bytes of text for one reducer; anchors of about so many rows or more are dealt by their contexts, as told by so many hits in a sample
+REDUCER_BYTES, HOT, HITS = 16 << 20, 1 << 16, 16
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +65,31 @@ def contexts(w: Words, h: np.ndarray, at: np.ndarray, length: int = LENGTH, k: i
     return out
 
 
-def _anchor_blocks(docs: DataFrame, reducers: int, length: int, k: int) -> DataFrame:
+def _reducers(docs: DataFrame) -> int:
+    return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // REDUCER_BYTES))
+
+
+def _hot(docs: DataFrame, length: int, k: int) -> np.ndarray:
+    """Hashes of the anchors that HOT rows or more have, as a sample of the documents tells; they decide where rows meet, not what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch, texts in pieces(batches):
+            w = split_words(texts)
+            h = hash_words(w)
+            at = anchors(w, h, length, k)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(grams(h, k)[at].view(np.int64))], names=["hash"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(max(1, HOT // HITS))) == 0).select("doc_id", "text")
+    found = sample.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= HITS)
+    return np.sort(np.array([r.hash for r in found.select("hash").collect()], np.int64).view(np.uint64))
+
+
+#: blocks: anchors dealt by hash; by hash and context; those that are marks already
+PLAIN, BY_CONTEXT, MARKED = 0, 1, 2
+
+
+def _anchor_blocks(docs: DataFrame, reducers: int, hot: np.ndarray, length: int, k: int) -> DataFrame:
     """Packed anchors by reducer. An anchor whose context an earlier document of its batch has is marked at once."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -89,66 +114,89 @@ def _anchor_blocks(docs: DataFrame, reducers: int, length: int, k: int) -> DataF
             marked = least < ids[doc]
             sent = ~marked
             pos = (at - w.first[doc]).astype(np.int32)
-            bucket = (hashes >> np.uint64(33)) % np.uint64(reducers)
-            turn = np.flatnonzero(sent)[np.argsort(bucket[sent], kind="stable")]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[turn])) + 1, [len(turn)]])
-            rows = [(int(bucket[turn[a]]), turn[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+            spread = np.isin(hashes, hot)
+            bucket = (np.where(spread, mix(hashes * _R + context), hashes) >> np.uint64(33)) % np.uint64(reducers)
+            block = bucket * np.uint64(2) + spread
+            turn = np.flatnonzero(sent)[np.argsort(block[sent], kind="stable")]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[turn])) + 1, [len(turn)]])
+            rows = [(int(bucket[turn[a]]), BY_CONTEXT if spread[turn[a]] else PLAIN, turn[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
             # marks ride along with any reducer
             own = np.flatnonzero(marked)
             if len(own):
-                rows.append((int(mix(keys[:1].view(np.uint64) ^ ids[:1].view(np.uint64))[0] % np.uint64(reducers)), own))
-            out = [pa.array([r for r, _ in rows], pa.int32()), pa.array([len(own) > 0 and i == len(rows) - 1 for i in range(len(rows))], pa.bool_())]
+                rows.append((int(mix(keys[:1].view(np.uint64) ^ ids[:1].view(np.uint64))[0] % np.uint64(reducers)), MARKED, own))
+            out = [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([x for _, x, _ in rows], pa.int8())]
             for values in (hashes, context, ids[doc], keys[doc], pos):
-                out.append(pa.array([values[x].tobytes() for _, x in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=["reducer", "marked", "hash", "context", "doc", "dkey", "pos"])
+                out.append(pa.array([values[x].tobytes() for _, _, x in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=["reducer", "block", "hash", "context", "doc", "dkey", "pos"])
+
+    return docs.mapInArrow(run, "reducer int, block byte, hash binary, context binary, doc binary, dkey binary, pos binary")
+
+
+#: kinds of marks: all windows of the anchor repeat; its windows must be looked up; its windows are looked up by others; one of the last two, if any
+REPEATS, SEEDS, SOURCES, UNTOLD = 0, 1, 2, 3
+
 
-    return docs.mapInArrow(run, "reducer int, marked boolean, hash binary, context binary, doc binary, dkey binary, pos binary")
+def _dealt(blocks: DataFrame, reducers: int) -> DataFrame:
+    """Every reducer's blocks in a partition of its own."""
+    return blocks.repartitionById(reducers, F.col("reducer"))
 
 
-#: kinds of marks: all windows of the anchor repeat; its windows must be looked up; its windows are looked up by others
-REPEATS, SEEDS, SOURCES = 0, 1, 2
+def _told(found: list[np.ndarray], whole: bool) -> list[np.ndarray]:
+    """doc, key, pos, kind, hash and context of the anchors that matter; ``whole``: all rows of a hash are here, not only of a context."""
+    h, c, doc, key, pos = found
+    order = np.lexsort((doc, c, h))
+    h, c, doc, key, pos = (x[order] for x in (h, c, doc, key, pos))
+    new_hash = np.concatenate([[True], h[1:] != h[:-1]])
+    new_context = new_hash | np.concatenate([[True], c[1:] != c[:-1]])
+    by_hash, by_context = np.flatnonzero(new_hash), np.flatnonzero(new_context)
+    least_same = doc[by_context][np.cumsum(new_context) - 1]
+    repeats = least_same < doc
+    if not whole:
+        return [doc, key, pos, np.where(repeats, REPEATS, UNTOLD), h, c]
+    group = np.cumsum(new_hash) - 1
+    least, most = np.minimum.reduceat(doc, by_hash)[group], np.maximum.reduceat(doc, by_hash)[group]
+    # several contexts: the first document of each is a source, and a seed if an earlier document has the anchor
+    several = (np.diff(np.append(np.searchsorted(by_context, by_hash), len(by_context))) > 1)[group]
+    open_ = several & ~repeats & (least < most)
+    kind = np.where(repeats, REPEATS, np.where(least < doc, SEEDS, SOURCES))
+    told = repeats | open_
+    return [x[told] for x in (doc, key, pos, kind, h, c)]
 
 
-def _marks(blocks: DataFrame, reducers: int) -> DataFrame:
+def _marks(blocks: DataFrame, reducers: int, hot: bool) -> DataFrame:
     """(doc_id, dkey, pos, kind) of the anchors that more than one document has."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        parts: list[list[np.ndarray]] = []
+        parts: dict[int, list[list[np.ndarray]]] = {PLAIN: [], BY_CONTEXT: []}
         kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
 
-        def rows(doc, key, pos, kind):
+        def rows(doc, key, pos, kind, h, c):
             for i in range(0, len(doc), 65536):
                 s = slice(i, i + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(key[s]), pa.array(pos[s]), pa.array(kind[s], pa.int8())], names=["doc_id", "dkey", "pos", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(key[s]), pa.array(pos[s]), pa.array(kind[s], pa.int8()), *((pa.array(x[s].view(np.int64)) for x in (h, c)) if hot else ())], names=["doc_id", "dkey", "pos", "kind", *(("hash", "context") if hot else ())])
 
         for batch in batches:
-            for marked, *blobs in zip(*(batch.column(c).to_pylist() for c in ("marked", "hash", "context", "doc", "dkey", "pos"))):
+            for block, *blobs in zip(*(batch.column(c).to_pylist() for c in ("block", "hash", "context", "doc", "dkey", "pos"))):
                 own = [np.frombuffer(x, t) for x, t in zip(blobs, kinds)]
-                if marked:
-                    yield from rows(own[2], own[3], own[4], np.full(len(own[2]), REPEATS))
+                if block == MARKED:
+                    yield from rows(own[2], own[3], own[4], np.full(len(own[2]), REPEATS), own[0], own[1])
                 else:
-                    parts.append(own)
-        if not parts:
-            return
-        h, c, doc, key, pos = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.lexsort((doc, c, h))
-        h, c, doc, key, pos = (x[order] for x in (h, c, doc, key, pos))
-        new_hash = np.concatenate([[True], h[1:] != h[:-1]])
-        new_context = new_hash | np.concatenate([[True], c[1:] != c[:-1]])
-        by_hash, by_context = np.flatnonzero(new_hash), np.flatnonzero(new_context)
-        group = np.cumsum(new_hash) - 1
-        least, most = np.minimum.reduceat(doc, by_hash)[group], np.maximum.reduceat(doc, by_hash)[group]
-        least_same = doc[by_context][np.cumsum(new_context) - 1]
-        repeats = least_same < doc
-        # several contexts: the first document of each is a source, and a seed if an earlier document has the anchor
-        several = (np.diff(np.append(np.searchsorted(by_context, by_hash), len(by_context))) > 1)[group]
-        open_ = several & ~repeats & (least < most)
-        kind = np.where(repeats, REPEATS, np.where(least < doc, SEEDS, SOURCES))
-        told = repeats | open_
-        yield from rows(doc[told], key[told], pos[told], kind[told])
-
-    return blocks.repartition(reducers, "reducer").select("marked", "hash", "context", "doc", "dkey", "pos").mapInArrow(run, "doc_id long, dkey long, pos int, kind byte")
+                    parts[block].append(own)
+        for block in (PLAIN, BY_CONTEXT):
+            if own := parts.pop(block):
+                found = [np.concatenate(x) for x in zip(*own)]
+                del own
+                yield from rows(*_told(found, block == PLAIN))
+
+    found = _dealt(blocks, reducers).select("block", "hash", "context", "doc", "dkey", "pos").mapInArrow(run, "doc_id long, dkey long, pos int, kind byte" + ", hash long, context long" * hot)
+    if not hot:
+        return found
+    found = cut_lineage(found)
+    untold = found.where(F.col("kind") == UNTOLD)
+    # one row for each hot hash
+    open_ = untold.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("context").alias("one"), F.max("context").alias("other")).where("one < other and least < most").select("hash", "least")
+    decided = untold.join(F.broadcast(open_), "hash").select("doc_id", "dkey", "pos", F.when(F.col("least") < F.col("doc_id"), SEEDS).otherwise(SOURCES).cast("byte").alias("kind"))
+    return found.where(F.col("kind") != UNTOLD).select("doc_id", "dkey", "pos", "kind").unionByName(decided)
 
 
 def _windows(found: DataFrame, length: int, k: int) -> DataFrame:
@@ -194,8 +242,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     # rows without an id have no order among the others: they neither lose words nor cost others any
     known = rows.where("doc_id is not null and text is not null")
-    reducers = max(1, -(-docs.count() // REDUCER_DOCS))
-    marks = _marks(_anchor_blocks(known, reducers, length, k), reducers)
+    reducers, hot = _reducers(known), _hot(known, length, k)
+    marks = _marks(_anchor_blocks(known, reducers, hot, length, k), reducers, len(hot) > 0)
     at = marks.groupBy("doc_id", "dkey").agg(*(F.collect_set(F.when(F.col("kind") == kind, F.col("pos"))).alias(name) for name, kind in (("repeats", REPEATS), ("seeds", SEEDS), ("sources", SOURCES))))
     return rows, at
 
