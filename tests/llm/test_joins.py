@@ -153,6 +153,13 @@ def test_join_on_odd_rows(messy, nothing):
     assert ngram_join.Join(nothing).membership().count() == 0 and ngram_join.Join(nothing).pairs().count() == 0
 
 
+def test_losers_are_told_by_id_and_text(spark):
+    copied, clean = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    texts = [(1, copied), (2, copied), (2, clean), (None, copied), (None, "nobody else has these words"), (None, ""), (3, "another text of its own")]
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(frame(spark, texts)).collect())
+    assert got == collections.Counter([texts[0], texts[2], *texts[4:]])
+
+
 # ---------------------------------------------------------------- repeated passages
 
 

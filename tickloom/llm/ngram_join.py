@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
@@ -199,8 +199,8 @@ def _compare(groups: DataFrame, threshold: float, pairs: bool) -> DataFrame:
 class Join:
     """The stages of the join over the rows of ``docs``; written tables cut its lineage."""
 
-    def __init__(self, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE):
-        self.threshold, self.shingle = threshold, shingle
+    def __init__(self, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: dict[str, Column] | None = None):
+        self.threshold, self.shingle, self.carry = threshold, shingle, list(carry or {})
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
         def sign(texts):
@@ -209,9 +209,10 @@ class Join:
             bands = [band_keys(min_hashes(s)) if len(s) else None for s in sets]
             return [keys, pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
 
-        signed = per_text(self.docs, "class_key binary, size int, bands array<bigint>", sign).withColumn("node", F.xxhash64("class_key"))
+        with_more = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in (carry or {}).items()))
+        signed = per_text(with_more, "class_key binary, size int, bands array<bigint>", sign).withColumn("node", F.xxhash64("class_key"))
         signed = cut_lineage(signed.withColumn("node", F.when(F.col("class_key").isNotNull(), F.col("node"))))
-        self.signed = signed.select("doc_id", "node")
+        self.signed = signed.select("doc_id", "node", *self.carry)
         known = signed.where("node is not null and doc_id is not null")
         #: a row for each class: its least document, its rows, its shingles
         self.classes = cut_lineage(known.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
@@ -263,7 +264,7 @@ class Join:
         linked = joined.join(least, "component").join(links, "node").select("node", "class_id", "n_links")
         table = ids.join(linked, "node", "left").select("node", F.coalesce("class_id", "least_id").alias("class_id"), F.col("least_id").alias("text_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
         out = self.signed.join(table, "node", "left")
-        return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *self.carry)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +272,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
 
     Rows with a null id stay unless they are copies of a row with an id.
     """
-    found = Join(docs, threshold, id_col, text_col).membership()
-    losers = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_loser")).distinct()
-    kept = docs.join(losers, F.col(id_col) == F.col("_loser"), "left_anti")
-    return kept.withColumn("_same", F.xxhash64(text_col)).dropDuplicates([id_col, "_same"]).drop("_same")
+    same = F.xxhash64(text_col)
+    found = Join(docs, threshold, id_col, text_col, carry={"_text": same}).membership()
+    # an id may repeat with other texts: a loser is an id with its text
+    losers = found.where("doc_id <> class_id or doc_id is null and class_id is not null").select(F.col("doc_id").alias("_loser"), "_text").distinct()
+    kept = docs.withColumn("_same", same).join(losers, F.col(id_col).eqNullSafe(F.col("_loser")) & (F.col("_same") == F.col("_text")), "left_anti")
+    return kept.dropDuplicates([id_col, "_same"]).drop("_same")
