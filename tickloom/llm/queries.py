@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, language, media, ngram_join, packing, pii, quality_rules, rule_ensemble, substrings, token_counts
+from tickloom.llm import byte_bpe, language, media, ngram_join, oracles, packing, pii, quality_rules, rule_ensemble, secret_ledger, substrings, token_counts
 from tickloom.llm.textio import documents
+from tickloom.session import checkpoint_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,9 +62,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text, by a ledger of its own in the shared folder; a null text has none."""
+    docs = documents(spark, sf_dir)
+    return secret_ledger.digests(docs, f"{checkpoint_dir(spark)}/secrets-{uuid.uuid4().hex}")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_pseudonyms, op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips,
     op6_best_fit_packing, op7_rule_ensemble, op8_ngram_jaccard_join, op9_substring_dedup, op10_language,
+    op12_secret_ledger,
 )}
-#: no query of this folder can be said in SQL as a whole; each is tested against a brute-force version
-ORACLES: dict[str, str] = {}
+#: the others cannot be said in SQL as a whole; each is tested against a brute-force version
+ORACLES: dict[str, str] = oracles.SQL
