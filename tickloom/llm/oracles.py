@@ -27,4 +27,30 @@ FROM d LEFT JOIN s USING (nth) GROUP BY d.nth, d.doc_id"""
     return out
 
 
-SQL = {"op12_secret_ledger": _secrets()}
+LEXICAL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS nth,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms
+  FROM documents
+),
+a AS (SELECT count(*)::BIGINT AS total, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark)
+  GROUP BY item_id, term
+),
+p AS (
+  SELECT nth, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT nth, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q)
+  GROUP BY nth, doc_id, n, term
+),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, a GROUP BY term),
+s AS (
+  SELECT item_id, nth, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // l))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), a GROUP BY item_id, nth, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+SQL = {"op12_secret_ledger": _secrets(), "op13_ranked_search": LEXICAL}

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, language, media, ngram_join, oracles, packing, pii, quality_rules, rule_ensemble, secret_ledger, substrings, token_counts
+from tickloom.llm import byte_bpe, language, lexical, media, ngram_join, oracles, packing, pii, quality_rules, rule_ensemble, secret_ledger, substrings, token_counts
 from tickloom.llm.textio import documents
 from tickloom.session import checkpoint_dir
 
@@ -68,10 +68,16 @@ def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digests(docs, f"{checkpoint_dir(spark)}/secrets-{uuid.uuid4().hex}")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item; null texts have no terms."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.rank(documents(spark, sf_dir), items, f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_pseudonyms, op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips,
     op6_best_fit_packing, op7_rule_ensemble, op8_ngram_jaccard_join, op9_substring_dedup, op10_language,
-    op12_secret_ledger,
+    op12_secret_ledger, op13_ranked_search,
 )}
 #: the others cannot be said in SQL as a whole; each is tested against a brute-force version
 ORACLES: dict[str, str] = oracles.SQL
