@@ -53,4 +53,25 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
 """
 
-SQL = {"op12_secret_ledger": _secrets(), "op13_ranked_search": LEXICAL}
+NEGATIVES = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, embedding AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+x AS (SELECT vec_id, label, unnest(range(1, len(vec) + 1)) AS k, floor(256 * unnest(vec)::DOUBLE)::BIGINT AS v FROM e),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, any_value(a.label) = any_value(c.label) AS same, sum(a.v * c.v)::BIGINT AS score
+  FROM x a JOIN x c USING (k) WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id GROUP BY a.vec_id, c.vec_id
+),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS n FROM s WHERE same) WHERE n <= 5
+),
+r AS (
+  SELECT p.*, s.other_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS n
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+)
+SELECT anchor_id, positive_id, n::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE n <= 5
+"""
+
+SQL = {"op11_hard_negatives": NEGATIVES, "op12_secret_ledger": _secrets(), "op13_ranked_search": LEXICAL}

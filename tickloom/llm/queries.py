@@ -7,8 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, language, lexical, media, ngram_join, oracles, packing, pii, quality_rules, rule_ensemble, secret_ledger, substrings, token_counts
-from tickloom.llm.textio import documents
+from tickloom.llm import byte_bpe, hard_negatives, language, lexical, media, ngram_join, oracles, packing, pii, quality_rules, rule_ensemble, secret_ledger, substrings, token_counts
+from tickloom.llm.textio import documents, prepare
 from tickloom.session import checkpoint_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five negatives for each anchor and positive; rows without a label or a finite vector take no part."""
+    return hard_negatives.mine(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, by a ledger of its own in the shared folder; a null text has none."""
     docs = documents(spark, sf_dir)
@@ -77,7 +82,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_pii_pseudonyms, op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_avi_clips,
     op6_best_fit_packing, op7_rule_ensemble, op8_ngram_jaccard_join, op9_substring_dedup, op10_language,
-    op12_secret_ledger, op13_ranked_search,
+    op11_hard_negatives, op12_secret_ledger, op13_ranked_search,
 )}
 #: the others cannot be said in SQL as a whole; each is tested against a brute-force version
 ORACLES: dict[str, str] = oracles.SQL
