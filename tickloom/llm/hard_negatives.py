@@ -44,8 +44,7 @@ def strassen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n, m, p = a.shape[0], a.shape[1], b.shape[1]
     if min(n, m, p) <= LEAF:
         return _leaf(a, b)
-    a = np.pad(a, ((0, n & 1), (0, m & 1))) if (n | m) & 1 else a
-    b = np.pad(b, ((0, m & 1), (0, p & 1))) if (m | p) & 1 else b
+    a, b = _padded(a, n + (n & 1), m + (m & 1)), _padded(b, m + (m & 1), p + (p & 1))
     i, j, k = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
     a11, a12, a21, a22 = a[:i, :j], a[:i, j:], a[i:, :j], a[i:, j:]
     b11, b12, b21, b22 = b[:j, :k], b[:j, k:], b[j:, :k], b[j:, k:]
@@ -64,6 +63,14 @@ def strassen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out[:n, :p]
 
 
+def _padded(x: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    if x.shape == (rows, columns):
+        return x
+    out = np.zeros((rows, columns), x.dtype)
+    out[: x.shape[0], : x.shape[1]] = x
+    return out
+
+
 def _most(x: np.ndarray) -> int:
     return max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0
 
@@ -80,7 +87,7 @@ def scores(anchors: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     Sums inside of ``strassen`` may pass 64 bits and wrap; what they cancel to is right as long as the score itself fits.
     """
     dim = max(anchors.shape[1], candidates.shape[1])
-    anchors, candidates = (np.pad(x, ((0, 0), (0, dim - x.shape[1]))) if x.shape[1] < dim else x for x in (anchors, candidates))
+    anchors, candidates = _padded(anchors, len(anchors), dim), _padded(candidates, len(candidates), dim)
     right = np.ascontiguousarray(candidates.T)
     if _most(anchors) * _most(candidates) * dim < 1 << 63:
         return strassen(anchors, right)
