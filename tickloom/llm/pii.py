@@ -181,16 +181,16 @@ class Pseudonyms:
             if not 0 <= place < DAYS:
                 return None
             sep = m[4] if iso else re.search(r"[-/.]", m)[0]
-            # a pseudonym must be read in the order it is written in, or undoing it would take another
+            parts = m.split(sep)
+            wide_month, wide_day = (len(parts[1 if iso or k == 0 else 0]), len(parts[2 if iso else 0 if k == 0 else 1]))
+            # a pseudonym keeps the digits of each number, and must be read in the order it is written in, or undoing it would take another
             while True:
                 place = self._move(place, DAYS, b"date")
                 day = datetime.date.fromordinal(FIRST_DAY + place)
-                if iso or sep == "." or (k == 0) or day.day > 12:
+                if (iso or sep == "." or k == 0 or day.day > 12) and (wide_day == 2 or day.day < 10) and (wide_month == 2 or day.month < 10):
                     break
-            if iso:
-                return f"{day.year}{sep}{day.month:02d}{sep}{day.day:02d}"
-            first, second = (day.day, day.month) if k == 0 else (day.month, day.day)
-            return f"{first:02d}{sep}{second:02d}{sep}{day.year}"
+            month, number = f"{day.month:0{wide_month}d}", f"{day.day:0{wide_day}d}"
+            return sep.join([str(day.year), month, number] if iso else [number, month, str(day.year)] if k == 0 else [month, number, str(day.year)])
         return None
 
     def _moved(self, kind: str, m: str) -> str | None:
