@@ -97,6 +97,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
             seen.add(key)
             rules.append(path)
             columns.append(held)
+    if not columns:  # nothing tells the rows apart
+        return Rules(bias, [])
     r = np.column_stack(columns).astype(np.float32)
     w, b, momentum, t = np.zeros(r.shape[1]), bias, np.zeros(r.shape[1] + 1), 1.0
     rate = 4.0 * len(y) / np.linalg.norm(np.column_stack([r, np.ones(len(r), np.float32)]), 2) ** 2
