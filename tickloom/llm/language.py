@@ -1,12 +1,13 @@
 """Language of texts by multinomial naive Bayes over hashed character n-grams.
 
 Training rows are drawn per language by the hash of the id, so that rare languages are there too; their n-gram counts
-are summed by Spark. The matrix of log-probabilities has one row for each language and a fixed number of buckets; it
+are summed by Spark. The matrix of log-probabilities has one row of 128 KB for each language, all of which are kept; it
 is broadcast in whole thousandths, so that sums are exact and equal texts get equal scores.
 """
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 import numpy as np
@@ -20,8 +21,8 @@ from tickloom.llm.textio import carried, fold, held_out, per_text, pieces
 
 BITS = 15
 GRAMS = (1, 2, 3)
-#: training rows for each language (about), and the number of languages that may be learned
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 4000, 256
+#: training rows for each language (about)
+ROWS_PER_LANGUAGE = 4000
 SMOOTHING, UNIT = 0.5, 1000
 #: n-grams of the three lengths overlap; their joint evidence is that of one length
 TEMPER = 1 / len(GRAMS)
@@ -50,13 +51,12 @@ def _buckets(texts: list[bytes | None]):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from text and language of the rows outside the held-out fold."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col)) != 2))
-    sizes = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy("lang").collect()
     if not sizes:
         return Model([], np.zeros(0), np.zeros((0, 1 << BITS), np.int32))
     names = [r["lang"] for r in sizes]
-    every = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], -(-r["count"] // ROWS_PER_LANGUAGE))])
+    # one literal, however many languages there are
+    every = F.from_json(F.lit(json.dumps({r["lang"]: -(-r["count"] // ROWS_PER_LANGUAGE) for r in sizes})), "map<string,bigint>")
     lang = F.col(lang_col).cast("string")
     sample = known.where(F.pmod(F.xxhash64(id_col, F.lit("language")), every[lang]) == 0).select(lang.alias("_lang"), text_col)
 
@@ -88,7 +88,9 @@ def score(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndarra
     if not model.languages or not texts:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     grams, start, end, letters = _buckets(texts)
-    joint = np.stack([sum(span_sums(row[g], start, end) for g in grams) for row in model.log_prob], axis=1)
+    joint = np.empty((len(texts), len(model.languages)))
+    for k, row in enumerate(model.log_prob):  # a language at a time: only its row of the matrix is spread over the texts
+        joint[:, k] = sum(span_sums(row[g], start, end) for g in grams)
     joint = joint * (TEMPER / UNIT) + model.prior
     weight = np.exp(joint - joint.max(axis=1, keepdims=True))
     best = joint.argmax(axis=1)
