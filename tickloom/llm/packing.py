@@ -101,7 +101,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     n = max(1, -(-(pieces.count() if n_pieces is None else n_pieces) // packer_pieces))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = pieces.withColumn("packer", F.pmod(F.xxhash64(order), F.lit(n))).withColumn("_order", order)
-    dealt = dealt.repartition(n, "packer").sortWithinPartitions("packer", "_order", "doc_id", "piece")
+    dealt = dealt.repartitionById(n, F.col("packer").cast("int")).sortWithinPartitions("packer", "_order", "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]):
         packer, fit = None, None
