@@ -160,6 +160,47 @@ def test_losers_are_told_by_id_and_text(spark):
     assert got == collections.Counter([texts[0], texts[2], *texts[4:]])
 
 
+def test_one_of_each_keeps_the_columns_it_was_given(spark):
+    """Columns named like the operator's own stay, and of rows with one id and text always the same one is kept."""
+    from pyspark.sql import functions as F
+
+    texts = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, "another text of its own"), (4, None)]
+    df = frame(spark, texts)
+    for name in ("_same", "same", "_loser", "loser", "_text", "own_text", "row", "id", "place", "_salt", "node", "class_key"):
+        df = df.withColumn(name, F.col("doc_id") * 10)
+    df = df.withColumn("source", F.monotonically_increasing_id().cast("string"))
+    written = df.collect()
+    kept = []
+    for order in (1, 2, 3):
+        again = spark.createDataFrame(written[order:] + written[:order], df.schema).repartition(order)
+        out = ngram_join.one_of_each(again)
+        assert out.columns == df.columns
+        kept.append(sorted((tuple(r) for r in out.collect()), key=str))
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 3, 4] and all(r[5] == r[0] * 10 for r in kept[0])
+
+
+def test_unlike_texts_do_not_chain(spark):
+    """Texts that share half of their words have no link; hardly any is read a second time for them."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(60)]
+    texts = [(i, " ".join(shared + [f"t{i}x{rng.randrange(10**6)}" for _ in range(60)])) for i in range(2000)]
+    join = ngram_join.Join(frame(spark, texts))
+    assert join._block_groups().count() <= 2 * len(texts)
+    assert {(r.class_id == r.doc_id, r.n_links) for r in join.membership().collect()} == {(True, 0)}
+
+
+def test_walk_reaches_what_hangs_together():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (6, ngram_join.VALUES), dtype=np.uint8)
+    rows = np.repeat(base, 30, axis=0)
+    hit = rng.random(rows.shape) < 0.08
+    rows[hit] = rng.integers(0, 256, int(hit.sum()), dtype=np.uint8)
+    order = rng.permutation(len(rows))
+    root = ngram_join.reached(rows[order], ngram_join.least_matches(0.8, 1e-7))
+    groups = order // 30
+    assert all((root[i] == root[j]) == (groups[i] == groups[j]) for i in range(180) for j in range(i))
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
@@ -279,6 +320,8 @@ def test_passages_leave_the_texts(spark):
 def test_every_query_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "some item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, query in {**queries.QUERIES, **corpus_pipeline.QUERIES}.items():
         assert query(spark, str(tmp_path)).count() == 0, name
 

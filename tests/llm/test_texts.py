@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import datetime
 import re
 import struct
 import zlib
@@ -296,7 +297,21 @@ def test_values_move_within_their_format(text, kind):
     assert [f[0] for f in refound] == [kind] and again != new  # still valid
     if kind not in ("ip", "date", "email", "secret"):
         assert re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", new)) == re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", text))
-    assert pii.Pseudonyms(b"k", undo=True).replace(new)[0] == text or kind == "date"
+    assert pii.Pseudonyms(b"k", undo=True).replace(new)[0] == text
+
+
+@pytest.mark.parametrize("form", ["{d}.{m}.{y}", "{d:02d}.{m:02d}.{y}", "{d}.{m:02d}.{y}", "{d}/{m}/{y}", "{m:02d}/{d:02d}/{y}", "{y}-{m}-{d}", "{y}-{m:02d}-{d:02d}", "{y}/{m}/{d:02d}"])
+def test_dates_keep_their_form(form):
+    """Every number of a date keeps its count of digits, and every pseudonym leads back."""
+    forward, back, seen = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True), {}
+    for day in range(0, 9000, 37):
+        date = datetime.date(1987, 1, 1) + datetime.timedelta(day)
+        text = form.format(d=date.day, m=date.month, y=date.year)
+        new, found = forward.replace(text)
+        assert [f[0] for f in found] == ["date"] and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text)
+        assert back.replace(new)[0] == text
+        seen[text] = new
+    assert len(set(seen.values())) == len(seen)
 
 
 @pytest.mark.parametrize("text", ["4041894974608796", "3.0. 4.0. v1.2.3.4.5", "999.1.1.1", "000-12-3456", "1987-02-30", "DE89 3704 0044 0532 0130 01", "a@b", "no value at all"])
@@ -339,3 +354,27 @@ def test_pseudonyms_link_documents_and_can_be_undone(messy, nothing):
     back = {r.doc_id: r.text for r in pii.pseudonymise(new, b"k", undo=True).collect()}
     assert back[1] == dict(TEXTS)[1]
     assert pii.pseudonymise(nothing).count() == 0
+
+
+def test_rules_where_nothing_tells_the_rows_apart(spark):
+    """Labelled rows of both classes with equal statistics leave the share of the class alone."""
+    from pyspark.sql import functions as F
+
+    for text in ("the same words in every text", ""):
+        docs = prepare(spark).range(300).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+        model = rule_ensemble.train(docs, marks)
+        assert model.rules == []
+        assert {r.score for r in rule_ensemble.classify(docs, model).select(F.round("score", 1).alias("score")).collect()} == {0.5}
+
+
+def test_six_hundred_languages(spark):
+    """Every language is learned and told, however many there are."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(0x400 + i)}" for i in range(600)]
+    rows = [(k * 600 + i, f"{w} {w}{w} {w}", f"l{i:03d}") for k in range(4) for i, w in enumerate(words)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model.languages) >= 590
+    got = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    known = set(model.languages)
+    assert sum(r.lang_pred == r.lang for r in got) > 0.97 * sum(r.lang in known for r in got)
