@@ -171,9 +171,21 @@ def test_ledger_rules(spark):
     ok = {n: "x" for n in ledger.REQUIRED} | {"status": "promoted", "promotion_allowed": True}
     import json
 
-    lines = [json.dumps(ok), "not json", "", json.dumps(ok | {"promotion_allowed": False})]
-    got = [r.error for r in ledger.check_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
-    assert got[0] is None and got[1] == "not an object" and len(got) == 3 and got[2].startswith("promotion_allowed must be true")
+    lines = [json.dumps(ok), "not json", "", json.dumps(ok | {"promotion_allowed": False}), json.dumps(ok | {"status": "lost", "family_id": ""}), json.dumps(ok | {"status": "crash", "promotion_allowed": "maybe"}), json.dumps({k: v for k, v in ok.items() if k != "promotion_allowed"} | {"status": "crash"})]
+    got = [[(b.rule, b.fields) for b in r.broken] for r in ledger.check_lines(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)).collect()]
+    both = ["status", "promotion_allowed"]
+    assert got == [[], [("L0", [])], [("L4", both)], [("L1", ["family_id"]), ("L2", ["status"]), ("L4", both)], [("L3", ["promotion_allowed"])], []]
+
+
+#: next state for (state, shock, normal, direction of z and slope): +1 both up, -1 both down, 0 otherwise
+def walk(state, z, vz, slope):
+    shock, normal = abs(z) >= ofi.Z_SHOCK and vz >= ofi.V_SHOCK, abs(z) <= ofi.Z_NORMAL and vz <= ofi.V_NORMAL
+    way = (z > 0 and slope > 0) - (z < 0 and slope < 0)
+    if state == ofi.SHOCK:
+        return ofi.RECOVERY if normal else state
+    calm = {1: ofi.ACCUMULATION, -1: ofi.DISTRIBUTION, 0: ofi.CALM}
+    table = {ofi.CALM: calm[way], ofi.ACCUMULATION: ofi.ACCUMULATION if way > 0 else ofi.CALM, ofi.DISTRIBUTION: ofi.DISTRIBUTION if way < 0 else ofi.CALM, ofi.RECOVERY: ofi.CALM if normal else ofi.RECOVERY}
+    return ofi.SHOCK if shock else table[state]
 
 
 def test_state_machine_chunks_equal_a_sequential_walk(spark):
@@ -185,7 +197,7 @@ def test_state_machine_chunks_equal_a_sequential_walk(spark):
     got = ofi.state_series(spark.createDataFrame(pdf)).toPandas().sort_values("seq")
     state, want = ofi.CALM, []
     for r in pdf.itertuples():
-        state = ofi.step_state(state, r.z, r.vz, r.slope)
+        state = walk(state, r.z, r.vz, r.slope)
         want.append(state)
     assert got["state"].tolist() == want and got["prev_state"].tolist() == [0, *want[:-1]]
 
@@ -275,15 +287,48 @@ def test_principal_component_matches_numpy():
     assert abs(got) == pytest.approx(abs(top @ x[-1]), rel=1e-3)
 
 
-def test_ou_fit_recovers_the_mean_and_garch_stays_feasible():
+def bars_of(spark, days):
+    return spark.createDataFrame([("d", k, i, float(v)) for k, x in enumerate(days) for i, v in enumerate(x)], "date string, symbol int, bar long, close double").repartition(3)
+
+
+def test_ou_fit_is_the_discounted_least_squares_line(spark):
     rng = np.random.default_rng(4)
     x = [10.0]
-    for _ in range(3000):
+    for _ in range(1400):
         x.append(10.0 + 0.9 * (x[-1] - 10.0) + rng.normal(0, 0.1))
-    theta, mu, sigma = fits.ou_path(np.array(x), 60.0)
-    assert mu == pytest.approx(10.0, abs=0.2) and theta > 0 and sigma > 0
-    omega, alpha, beta, variance = fits.garch_path(rng.normal(0, 0.01, 2000), **fits.GARCH_START)
-    assert omega >= 1e-9 and alpha >= 0 and beta >= 0 and alpha + beta < 1 and variance > 0
+    got = {r.symbol: r for r in fits.ou_fit(bars_of(spark, [x, [5.0], [5.0, 6.0], [7.0] * 30, [1.0, 3.0, 2.0, 2.5]])).collect()}
+    a, b = np.array(x[:-1]), np.array(x[1:])
+    miss = []
+    for k in range(2, len(b)):
+        w = 0.995 ** np.arange(k - 1, -1, -1)
+        slope, level = np.linalg.lstsq(np.sqrt(w)[:, None] * np.column_stack([a[:k], np.ones(k)]), np.sqrt(w) * b[:k], rcond=None)[0]
+        miss.append(b[k] - slope * a[k] - level)
+    w = 0.995 ** np.arange(len(b) - 1, -1, -1)
+    slope, level = np.linalg.lstsq(np.sqrt(w)[:, None] * np.column_stack([a, np.ones(len(a))]), np.sqrt(w) * b, rcond=None)[0]
+    noise = (w[2:] * np.square(miss)).sum() / w[2:].sum()
+    dt = 60.0 / fits.YEAR_SECONDS
+    assert (got[0].theta, got[0].mu, got[0].last) == (pytest.approx(-np.log(slope) / dt), pytest.approx(level / (1 - slope)), pytest.approx(x[-1]))
+    assert got[0].sigma == pytest.approx(np.sqrt(-2 * np.log(slope) * noise / (dt * (1 - slope**2))))
+    assert 1 not in got and got[2].theta is None and got[3].theta is None and got[4].theta > 0
+
+
+def test_garch_fit_against_a_walk(spark):
+    rng = np.random.default_rng(6)
+    x = 100 * np.cumprod(1 + rng.normal(0, 0.01, 900))
+    got = {r.symbol: r for r in fits.garch_fit(bars_of(spark, [x, [4.0], [4.0, 5.0], [4.0, 0.0, 5.0, 6.0]]), rate=3e-4).collect()}
+    p, h, last = np.array([0.01, 0.1, 0.85]), 0.01 / 0.05, None
+    for r in x[1:] / x[:-1] - 1:
+        if last is not None:
+            g = np.array([1.0, last, h])
+            h = float(p @ g)
+            p = np.maximum(p + 3e-4 * (r * r - h) / h**2 * g, [1e-9, 0, 0])
+            over = p[1] + p[2] - 0.9999
+            if over > 0:
+                p[1] = min(max(p[1] - over / 2, 0), 0.9999)
+                p[2] = 0.9999 - p[1]
+        last = r * r
+    assert [got[0].omega, got[0].alpha, got[0].beta, got[0].variance] == pytest.approx([*p, h], rel=1e-6)
+    assert all((got[k].alpha, got[k].variance) == (0.1, 0.0) for k in (1, 2)) and got[3].variance > 0
 
 
 @pytest.mark.parametrize("change, status, reason", [

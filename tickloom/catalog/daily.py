@@ -99,29 +99,71 @@ def bars(spark, sf_dir):
     return tb.minute_bars(t, "price", "total", 1)
 
 
-@query("garch_fit")
+def _hundredths(c):
+    return F.floor(F.col(c) * 100 + 0.5001) / 100
+
+
+_BARS = f"""{fx.FEED_SQL}, {fx.TRADES_SQL},
+b AS (SELECT date, symbol, exch_ms // 60000 AS bar, last(price ORDER BY local_us, exch_ms, channel, serial)::DOUBLE AS y FROM trades GROUP BY ALL),
+l AS (SELECT *, lag(y) OVER w AS py, first_value(y) OVER w AS centre, row_number() OVER w - 1 AS k FROM b WINDOW w AS (PARTITION BY date, symbol ORDER BY bar))"""
+
+
+@query(
+    "garch_fit",
+    f"""WITH RECURSIVE {_BARS},
+r AS (SELECT date, symbol, y / py - 1 AS r, row_number() OVER (PARTITION BY date, symbol ORDER BY bar) AS n FROM l WHERE py <> 0),
+walk AS (
+  SELECT date, symbol, 0::BIGINT AS n, 0.01::DOUBLE AS omega, 0.1::DOUBLE AS alpha, 0.85::DOUBLE AS beta, (0.01::DOUBLE / (1 - 0.1::DOUBLE - 0.85::DOUBLE))::DOUBLE AS h, 0.0::DOUBLE AS square FROM (SELECT DISTINCT date, symbol FROM b)
+  UNION ALL
+  SELECT date, symbol, n, CASE WHEN n = 1 THEN omega ELSE greatest(omega + push, 1e-9) END,
+    CASE WHEN n = 1 THEN alpha WHEN a2 + b2 > 0.9999 THEN least(greatest(a2 - (a2 + b2 - 0.9999) / 2, 0), 0.9999) ELSE a2 END,
+    CASE WHEN n = 1 THEN beta WHEN a2 + b2 > 0.9999 THEN 0.9999 - least(greatest(a2 - (a2 + b2 - 0.9999) / 2, 0), 0.9999) ELSE b2 END,
+    CASE WHEN n = 1 THEN h ELSE hn END, r * r
+  FROM (SELECT *, greatest(alpha + push * square, 0) AS a2, greatest(beta + push * h, 0) AS b2
+        FROM (SELECT w.*  REPLACE (r.n AS n), r.r, omega + alpha * square + beta * h AS hn, 1e-6::DOUBLE * (r.r * r.r - (omega + alpha * square + beta * h)) / ((omega + alpha * square + beta * h) * (omega + alpha * square + beta * h)) AS push
+              FROM walk w JOIN r ON r.date = w.date AND r.symbol = w.symbol AND r.n = w.n + 1)))
+SELECT date, symbol, {r6s("omega")} AS omega, {r6s("alpha")} AS alpha, {r6s("beta")} AS beta, {r6s("CASE WHEN n > 1 THEN h ELSE 0 END")} AS variance
+FROM walk QUALIFY row_number() OVER (PARTITION BY date, symbol ORDER BY n DESC) = 1""",
+)
 def garch_fit(spark, sf_dir):
-    """Online GARCH(1,1) on the minute bars of each symbol-day."""
-    return fits.garch_fit(bars(spark, sf_dir))
+    """GARCH(1,1) on the minute bars of each symbol-day."""
+    g = fits.garch_fit(bars(spark, sf_dir))
+    return g.select("date", "symbol", *[r6(F.col(c)).alias(c) for c in ("omega", "alpha", "beta", "variance")])
 
 
-@query("ou_fit")
+@query(
+    "ou_fit",
+    f"""WITH {_BARS},
+p AS (SELECT date, symbol, bar, centre, k, y - centre AS y, py - centre AS x, pow(1 / 0.995::DOUBLE, k) AS w FROM l WHERE k > 0),
+s AS (SELECT *, sum(w) OVER o AS s1, sum(w * x) OVER o AS sx, sum(w * y) OVER o AS sy, sum(w * (x * x)) OVER o AS sxx, sum(w * (x * y)) OVER o AS sxy FROM p WINDOW o AS (PARTITION BY date, symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, CASE WHEN k > 1 AND s1 * sxx - sx * sx > 1e-9 * s1 * sxx THEN (s1 * sxy - sx * sy) / (s1 * sxx - sx * sx) END AS slope FROM s),
+g AS (SELECT *, (sy - slope * sx) / s1 AS lev FROM f),
+e AS (SELECT *, y - (lag(slope) OVER o * x + lag(lev) OVER o) AS miss FROM g WINDOW o AS (PARTITION BY date, symbol ORDER BY bar)),
+z AS (SELECT date, symbol, max(bar) AS bar, sum(w * miss * miss) / sum(CASE WHEN miss IS NOT NULL THEN w END) AS noise FROM e GROUP BY ALL),
+q AS (SELECT e.*, noise, CASE WHEN slope IS NOT NULL THEN least(greatest(slope, 1e-9), 0.999999) END AS a, 60.0::DOUBLE / (252.0::DOUBLE * 6.5 * 3600.0) AS dt FROM e JOIN z USING (date, symbol, bar))
+SELECT date, symbol, floor(-ln(a) / dt * 100 + 0.5001) / 100 AS theta, floor((centre + lev / (1 - a)) * 100 + 0.5001) / 100 AS mu,
+  floor(sqrt(-2 * ln(a) * noise / (dt * (1 - a * a))) * 100 + 0.5001) / 100 AS sigma, y + centre AS last FROM q""",
+)
 def ou_fit(spark, sf_dir):
-    """Recursive Ornstein-Uhlenbeck fit on the minute bars of each symbol-day."""
-    return fits.ou_fit(bars(spark, sf_dir))
+    """Ornstein-Uhlenbeck parameters of the minute bars of each symbol-day."""
+    o = fits.ou_fit(bars(spark, sf_dir))
+    return o.select("date", "symbol", *[_hundredths(c).alias(c) for c in ("theta", "mu", "sigma")], "last")
 
 
 @query(
     "ledger_quality",
-    """WITH l AS (SELECT event_id, event_type, json_extract_string(props, '$.k')::INTEGER AS k FROM events), s AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'crash' WHEN 'signup' THEN 'lost' ELSE 'compiled' END AS status FROM l)
-SELECT CASE WHEN k % 10 = 0 THEN 'missing required ledger fields: config_hash' WHEN status = 'lost' THEN 'unknown ledger status: lost' WHEN k % 7 = 0 AND status <> 'promoted' THEN 'promotion_allowed must be false for status ' || status
-  WHEN k % 7 <> 0 AND status = 'promoted' THEN 'promotion_allowed must be true for status promoted' END AS error, count(*) AS lines FROM s GROUP BY 1""",
+    """WITH l AS (SELECT event_id, event_type, json_extract_string(props, '$.k')::INTEGER AS k FROM events), s AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'crash' WHEN 'signup' THEN 'lost' ELSE 'compiled' END AS status FROM l),
+b AS (SELECT unnest([CASE WHEN k % 10 = 0 THEN 'L1 config_hash' END, CASE WHEN status = 'lost' THEN 'L2 status' END, CASE WHEN (status = 'promoted') <> (k % 7 = 0) THEN 'L4 status,promotion_allowed' END,
+  CASE WHEN k % 10 <> 0 AND status <> 'lost' AND (status = 'promoted') = (k % 7 = 0) THEN 'good' END]) AS finding FROM s)
+SELECT finding, count(*) AS lines FROM b WHERE finding IS NOT NULL GROUP BY 1""",
 )
 def ledger_quality(spark, sf_dir):
-    """Rule broken by each line of a JSON-lines log."""
+    """How often lines of a JSON-lines log break each rule, and how many break none."""
     k = F.get_json_object("props", "$.k").cast("int")
     e = fx.table(spark, sf_dir, "events").withColumn("k", k)
     status = F.when(F.col("event_type") == "purchase", "promoted").when(F.col("event_type") == "error", "crash").when(F.col("event_type") == "signup", "lost").otherwise("compiled")
     fields = {n: F.lit("x") for n in ledger.REQUIRED} | {"status": status, "config_hash": F.when(F.col("k") % 10 != 0, "h")}
     line = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()], (F.col("k") % 7 == 0).alias("promotion_allowed")))
-    return ledger.check_lines(e.select(line.alias("value"))).groupBy("error").agg(F.count(F.lit(1)).alias("lines"))
+    found = ledger.check_lines(e.select(line.alias("value"))).select(F.explode_outer("broken").alias("b"))
+    named = F.when(F.col("b").isNull(), "good").otherwise(F.concat_ws(" ", "b.rule", F.array_join("b.fields", ",")))
+    return found.groupBy(named.alias("finding")).agg(F.count(F.lit(1)).alias("lines"))
