@@ -1,9 +1,9 @@
 """Order reconstruction: scenario list, invariants, and stream against batch."""
 
 import json
-import tempfile
-from pathlib import Path
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,37 +99,83 @@ def test_price_is_rounded_half_away_from_zero(spark):
     assert got == [85700, 3333, -1250, 0]
 
 
-@pytest.mark.parametrize("slices", [1, 5])
-def test_stream_equals_batch(spark, slices):
-    """The stand-in feed, cut into arrival-ordered micro-batches, ends in the batch result."""
+def play(spark, folder, parts, schema):
+    """Micro-batches of records through both stateful streams; their sinks read back."""
+    (folder / "in").mkdir()
+    for i, part in enumerate(parts):
+        file = folder / "in" / f"{i:03d}.json"
+        file.write_text("\n".join(json.dumps(r) for r in part))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+
+    def sink(stream, name):
+        q = stream.writeStream.format("parquet").option("path", str(folder / name)).option("checkpointLocation", str(folder / f"{name}-state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(str(folder / name))
+
+    events = sink(sl.lifecycle_stream(raw.filter("what = 't'"), raw.filter("what = 'o'"), buckets=3), "events")
+    again = spark.readStream.schema(events.schema).parquet(str(folder / "events"))
+    return events, sink(sl.pair_stream(again, buckets=2), "pairs")
+
+
+@pytest.mark.parametrize("slices", [1, 5, 50])
+def test_stream_equals_batch(spark, slices, tmp_path):
+    """The stand-in feed, cut into arrival-ordered micro-batches, ends in the batch's orders and pairs."""
     sf = "/root/testdata/sf0.001"
-    t, o = fx.lifecycle_trades(spark, sf).filter("date = '20240103'"), fx.lifecycle_orders(spark, sf).filter("date = '20240103'")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    day = "date = '20240103'"
+    t, o = fx.lifecycle_trades(spark, sf).filter(day), fx.lifecycle_orders(spark, sf).filter(day)
     both = t.select(F.lit("t").alias("what"), "*").unionByName(o.select(F.lit("o").alias("what"), "*"), allowMissingColumns=True)
-    schema = both.schema
     rows = sorted((r.asDict() for r in both.collect()), key=lambda r: (r["local_us"], r["exch_ms"], r["channel"], r["serial"]))
-    Path(root, "in").mkdir()
     # a last record past the close moves the watermark over it
     tail = dict(rows[-1]) | {"what": "o", "symbol": -1, "exch_ms": 60_000_000, "local_us": 60_000_000_000, "order_type": "A", "market": 48, "order_index": 1, "orderorino": 1, "bsflag": "B", "volume": 1}
     parts = [rows[i * len(rows) // slices : (i + 1) * len(rows) // slices] for i in range(slices)] + [[tail]]
-    for i, part in enumerate(parts):
-        Path(root, "in", f"{i:03d}.json").write_text("\n".join(json.dumps(r) for r in part))
-        import os
-
-        os.utime(Path(root, "in", f"{i:03d}.json"), (1_700_000_000 + i, 1_700_000_000 + i))
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{root}/in")
-    stream = sl.lifecycle_stream(raw.filter("what = 't'"), raw.filter("what = 'o'"))
-    q = stream.writeStream.format("memory").queryName(f"life{slices}").option("checkpointLocation", f"{root}/cp").outputMode("append").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    closed = spark.table(f"life{slices}").filter("event = 'Closed' AND symbol >= 0")
-    got = {(r.symbol, r.order_id): (r.original, r.immediate, r.passive, r.cancelled, r.estimated, r.close_reason) for r in closed.collect()}
-    want = {
-        (r.symbol, r.order_id): (r.original, r.immediate, r.passive, r.cancelled, r.estimated, r.close_reason)
-        for r in lc.reconstruct(t, o)["finals"].collect()
-        if r.original > 0
-    }
-    got = {k: v for k, v in got.items() if v[0] > 0}
-    assert got == want and len(got) > 10
+    events, pairs = play(spark, tmp_path, parts, both.schema)
+    fields = ("original", "immediate", "passive", "cancelled", "estimated", "close_reason")
+    closed = events.filter("event = 'Closed' AND symbol >= 0").collect()
+    job = lc.reconstruct(t, o)
+    got = [((r.symbol, r.order_id), tuple(r[f] for f in fields)) for r in closed if r.original > 0]
+    want = {(r.symbol, r.order_id): tuple(r[f] for f in fields) for r in job["finals"].collect() if r.original > 0}
+    assert sorted(got) == sorted(want.items()) and len(got) > 10
+    key = ("symbol", "local_us", "serial", "buy_id", "sell_id")
+    told = {tuple(r[k] for k in key): (r.resolved, r.resolved_ms) for r in pairs.collect()}
+    assert told == {tuple(r[k] for k in key): (r.resolved, r.resolved_ms) for r in job["pairs"].collect()} and len(told) == pairs.count()
+    stood = lambda p: {tuple(r[k] for k in key): (r.resolved_ms, tuple(r.buy), tuple(r.sell)) for r in p.collect()}
+    assert stood(sl.resolved_pairs(pairs, events)) == stood(lc.pair_snapshots(job["pairs"], job["events"])) != {}
+
+
+def test_a_bucket_moves_all_its_orders_at_once():
+    """Legs of many orders in one call, or one by one, leave the same orders, waiting fills and events."""
+    rng = np.random.default_rng(8)
+    n = 600
+    legs = np.zeros(n, sl.LEG_T)
+    legs["local_us"], legs["serial"] = np.sort(rng.integers(34_200_000, 34_400_000, n)) * 1000, np.arange(n)
+    legs["exch_ms"] = legs["local_us"] // 1000 - rng.integers(0, 3000, n)
+    legs["order_id"], legs["kind"], legs["qty"], legs["biz"] = rng.integers(1, 60, n), rng.choice([0, 1, 3, 3, 3], n), rng.integers(1, 90, n), rng.permutation(n)
+    legs["market"], legs["incoming"], legs["paired"] = 48 + legs["order_id"] % 2, rng.random(n) < 0.4, rng.random(n) < 0.5
+    whole, single, cut = sl.Bucket(), sl.Bucket(), sl.Bucket()
+    whole.advance(legs)
+    for leg in legs:
+        single.advance(np.array([leg]))
+    for part in np.array_split(legs, 7):  # through packed state
+        kept, cut = cut.out, sl.Bucket(*cut.packed())
+        cut.out = kept
+        cut.advance(part)
+    for b in (whole, single, cut):
+        b.expire(34_300_000)
+        b.close()
+    rows = [sorted(map(tuple, np.concatenate(b.out).tolist())) for b in (whole, single, cut)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 200 and len(whole.halves) == 0
+    assert (whole.orders == single.orders).all() and (whole.orders["rest"] == 0).all()
+
+
+def test_snapshots_do_not_see_what_comes_later(spark):
+    """Fills after a pair was resolved leave its parents as they stood."""
+    orders = [sz_order(1, "B", 1000, OPEN), sz_order(2, "S", 500, OPEN)]
+    early = trade(48, 1, 2, "B", 100, 1, OPEN + 1000)
+    later = [trade(48, 1, 2, "B", 150, 2, OPEN + 1000, n=5), trade(48, 1, 2, "S", 250, 3, OPEN + 2000)]
+    seen = []
+    for trades in ([early], [early, *later]):
+        _, r = run(spark, orders, trades)
+        p = lc.pair_snapshots(r["pairs"], r["events"]).filter("serial = 1").first()
+        seen.append((tuple(p.buy), tuple(p.sell), p.resolved_ms))
+    assert seen[0] == seen[1] == ((1000, 100, 0, 0, 900), (500, 0, 100, 0, 400), OPEN + 1000)

@@ -141,13 +141,13 @@ g AS (SELECT *, (sy - slope * sx) / s1 AS lev FROM f),
 e AS (SELECT *, y - (lag(slope) OVER o * x + lag(lev) OVER o) AS miss FROM g WINDOW o AS (PARTITION BY date, symbol ORDER BY bar)),
 z AS (SELECT date, symbol, max(bar) AS bar, sum(w * miss * miss) / sum(CASE WHEN miss IS NOT NULL THEN w END) AS noise FROM e GROUP BY ALL),
 q AS (SELECT e.*, noise, CASE WHEN slope IS NOT NULL THEN least(greatest(slope, 1e-9), 0.999999) END AS a, 60.0::DOUBLE / (252.0::DOUBLE * 6.5 * 3600.0) AS dt FROM e JOIN z USING (date, symbol, bar))
-SELECT date, symbol, floor(-ln(a) / dt * 100 + 0.5001) / 100 AS theta, floor((centre + lev / (1 - a)) * 100 + 0.5001) / 100 AS mu,
-  floor(sqrt(-2 * ln(a) * noise / (dt * (1 - a * a))) * 100 + 0.5001) / 100 AS sigma, y + centre AS last FROM q""",
+SELECT date, symbol, floor(-ln(a) / dt * 100 + 0.5001) / 100 AS theta, CASE WHEN slope < 0.999999 THEN floor(centre + lev / (1 - a) + 0.5001) END AS mu,
+  {r6s("sqrt(-2 * ln(a) * noise / (dt * (1 - a * a))) / (y + centre)")} AS relative_sigma, y + centre AS last FROM q""",
 )
 def ou_fit(spark, sf_dir):
     """Ornstein-Uhlenbeck parameters of the minute bars of each symbol-day."""
     o = fits.ou_fit(bars(spark, sf_dir))
-    return o.select("date", "symbol", *[_hundredths(c).alias(c) for c in ("theta", "mu", "sigma")], "last")
+    return o.select("date", "symbol", _hundredths("theta").alias("theta"), F.floor(F.col("mu") + 0.5001).cast("double").alias("mu"), r6(F.col("sigma") / F.col("last")).alias("relative_sigma"), "last")
 
 
 @query(

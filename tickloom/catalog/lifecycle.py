@@ -68,15 +68,30 @@ def parent_orders(spark, sf_dir):
     return f.select(*lc.ORDER, F.col("market").cast("int").alias("market"), "side", "original", "immediate", "passive", "cancelled", "rest_at_close", "filled_amount", "estimated", "confirm_ms", "changes", "close_reason")
 
 
-@query(
-    "trade_pairs",
-    f"""{LIFE} SELECT date, symbol, serial, source, agg AS aggressor, b_orig AS buy_original, s_orig AS sell_original, b_est OR s_est AS estimated, resolved_ms FROM pr WHERE resolved""",
-)
+#: resolved pairs with both parents after all that had reached them when the pair was resolved
+PAIR_SQL = LIFE + """,
+prn AS (SELECT *, row_number() OVER () AS pid FROM pr WHERE resolved),
+req AS (SELECT pid, 'b' AS leg, date, symbol, buy_id AS order_id, resolved_ms, local_us, exch_ms, channel, serial FROM prn UNION ALL SELECT pid, 's', date, symbol, sell_id, resolved_ms, local_us, exch_ms, channel, serial FROM prn),
+sn AS (SELECT pid, leg, any_value(cf.original) AS original, CAST(any_value(cf.imm0) + coalesce(sum(CASE WHEN k.market = 48 AND k.incoming THEN k.filled ELSE 0 END), 0) AS BIGINT) AS immediate,
+  CAST(any_value(cf.pas0) + coalesce(sum(CASE WHEN k.market = 48 AND k.incoming THEN 0 ELSE k.filled END), 0) AS BIGINT) AS passive,
+  CAST(any_value(cf.can0) + coalesce(sum(CASE WHEN k.kind <> 'F' THEN k.applied ELSE 0 END), 0) AS BIGINT) AS cancelled, CAST(coalesce(min(k.rest), any_value(cf.rest0)) AS BIGINT) AS rest
+  FROM req r JOIN cf USING (date, symbol, order_id) LEFT JOIN kp k ON k.date = r.date AND k.symbol = r.symbol AND k.order_id = r.order_id AND (k.local_us // 1000 < r.resolved_ms OR k.local_us // 1000 = r.resolved_ms
+    AND (r.resolved_ms > r.local_us // 1000 OR (k.local_us, k.exch_ms, k.channel, k.serial) <= (r.local_us, r.exch_ms, r.channel, r.serial))) GROUP BY pid, leg)
+SELECT {columns}, b.original AS buy_original, b.immediate AS buy_immediate, b.passive AS buy_passive, b.cancelled AS buy_cancelled, b.rest AS buy_rest,
+  s.original AS sell_original, s.immediate AS sell_immediate, s.passive AS sell_passive, s.cancelled AS sell_cancelled, s.rest AS sell_rest
+FROM prn JOIN sn b ON b.pid = prn.pid AND b.leg = 'b' JOIN sn s ON s.pid = prn.pid AND s.leg = 's'"""
+
+
+def snapshot_columns():
+    return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("buy", "sell") for c in lc.SNAPSHOT]
+
+
+@query("trade_pairs", PAIR_SQL.format(columns="date, symbol, serial, source, agg AS aggressor, b_est OR s_est AS estimated, resolved_ms"))
 def trade_pairs(spark, sf_dir):
-    """Resolved trade pairs with both parent sizes and the moment both were known."""
-    p = job(spark, sf_dir)["pairs"].filter("resolved")
-    return p.select("date", "symbol", "serial", "source", "aggressor", F.col("buy.original").alias("buy_original"), F.col("sell.original").alias("sell_original"),
-                    (F.col("buy.estimated") | F.col("sell.estimated")).alias("estimated"), "resolved_ms")
+    """Resolved trade pairs with both parents as they stood at the moment both were known."""
+    j = job(spark, sf_dir)
+    p = j["pairs"].withColumn("estimated", F.col("buy.estimated") | F.col("sell.estimated"))
+    return lc.pair_snapshots(p, j["events"]).select("date", "symbol", "serial", "source", "aggressor", "estimated", "resolved_ms", *snapshot_columns())
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom import fixtures as fx
 from tickloom.catalog import query
-from tickloom.catalog.lifecycle import LIFE
+from tickloom.catalog.lifecycle import LIFE, PAIR_SQL, snapshot_columns
 from tickloom.session import checkpoint_dir
 from tickloom.streaming import checkpoints as cp
 from tickloom.streaming import lifecycle as sl
@@ -65,14 +65,28 @@ def live_bars(spark, sf_dir):
     return bars.select("date", "symbol", F.unix_millis("bar_start").alias("bar_ms"), "open", "high", "low", "close", "volume", "ticks")
 
 
+def live_events(spark, sf_dir):
+    """What the stateful stream says of the stand-in's orders."""
+    reader = _StreamReader(spark, spark)
+    beat = heartbeats(spark, fx.lifecycle_orders(spark, sf_dir))
+    return finish(sl.lifecycle_stream(fx.lifecycle_trades(reader, sf_dir), fx.lifecycle_orders(reader, sf_dir), beat), spark)
+
+
 @query(
     "live_parent_orders",
     f"""{LIFE} SELECT date, symbol, order_id, side, original, CAST(immediate AS BIGINT) AS immediate, CAST(passive AS BIGINT) AS passive, CAST(cancelled AS BIGINT) AS cancelled, estimated, close_reason FROM fin""",
 )
 def live_parent_orders(spark, sf_dir):
     """Closed parent orders of the stateful stream; a heartbeat ends every session."""
-    reader = _StreamReader(spark, spark)
-    beat = heartbeats(spark, fx.lifecycle_orders(spark, sf_dir))
-    events = finish(sl.lifecycle_stream(fx.lifecycle_trades(reader, sf_dir), fx.lifecycle_orders(reader, sf_dir), beat), spark)
-    closed = events.filter("event = 'Closed'")
+    closed = live_events(spark, sf_dir).filter("event = 'Closed'")
     return closed.select("date", "symbol", "order_id", "side", "original", "immediate", "passive", "cancelled", "estimated", "close_reason")
+
+
+@query("live_pairs", PAIR_SQL.format(columns="date, symbol, serial, b_est OR s_est AS estimated, resolved_ms"))
+def live_pairs(spark, sf_dir):
+    """Trade pairs of the two stateful streams, with both parents as they stood when the second one became known."""
+    events = live_events(spark, sf_dir)
+    path = events.inputFiles()
+    stream = spark.readStream.schema(events.schema).parquet(path[0].rsplit("/", 1)[0])
+    pairs = sl.resolved_pairs(finish(sl.pair_stream(stream), spark), events)
+    return pairs.select("date", "symbol", "serial", "estimated", "resolved_ms", *snapshot_columns())

@@ -306,16 +306,14 @@ mb AS (SELECT date, symbol, event, bin, sum(q) AS q, sum(p) AS p FROM cb GROUP B
 cd AS (SELECT date, symbol, event, abs(sum(q) OVER (w ROWS UNBOUNDED PRECEDING) - sum(p) OVER (w ROWS UNBOUNDED PRECEDING)) * (bin - lag(bin) OVER w) AS d FROM mb WINDOW w AS (PARTITION BY date, symbol, event ORDER BY bin)),
 ds AS (SELECT date, symbol, event, coalesce(sum(d), 0) AS w1 FROM cd GROUP BY ALL)
 SELECT c.date, c.symbol, c.event, a.bin - b.bin AS peak_shift, {r6s("w1")} AS wasserstein, {r6s("w1 / greatest(1e-9, (now_ms - pm) / 1000.0)")} AS speed FROM ch c JOIN ds USING (date, symbol, event)
-  JOIN sh a ON a.date = c.date AND a.symbol = c.symbol AND a.event = c.event AND a.pos = 1 JOIN sh b ON b.date = c.date AND b.symbol = c.symbol AND b.event = c.pe AND b.pos = 1 WHERE now_ms > pm""",
+  JOIN sh a ON a.date = c.date AND a.symbol = c.symbol AND a.event = c.event AND a.pos = 1 JOIN sh b ON b.date = c.date AND b.symbol = c.symbol AND b.event = c.pe AND b.pos = 1""",
 )
 def chip_migration(spark, sf_dir):
     """Move of the price distribution between successive checkpoints."""
     _, _, recent, bins = chip_bins(spark, sf_dir)
     now = recent.filter("rn = 1").select(*KEYS, "now_ms")
     m = hg.migration(bins, now)
-    w = Window.partitionBy("date", "symbol").orderBy("event")
-    fresh = now.withColumn("pm", F.lag("now_ms").over(w)).filter("now_ms > pm").select(*KEYS)
-    return m.join(fresh, KEYS, "left_semi").select(*KEYS, "peak_shift", r6(F.col("wasserstein")).alias("wasserstein"), r6(F.col("speed")).alias("speed"))
+    return m.select(*KEYS, "peak_shift", r6(F.col("wasserstein")).alias("wasserstein"), r6(F.col("speed")).alias("speed"))
 
 
 @query("ofi_status")

@@ -33,26 +33,28 @@ def cuts(spark, sf_dir):
 
 
 _V = "volume::DOUBLE"
-_SP = "(s2 - 2 * m * s1 + n * m * m)"
+# the guards: under two values, or without any spread, a statistic is 0
 _B = f"""{T}, p AS (SELECT date, symbol, count(*)::DOUBLE AS n, sum({_V}) AS s1, sum(pow({_V}, 2)) AS s2, sum(pow({_V}, 3)) AS s3, sum(pow({_V}, 4)) AS s4, sum(abs({_V})) AS sa, sum(ln({_V})) AS sl, sum(1 / {_V}) AS si FROM trades GROUP BY ALL),
-q AS (SELECT *, s1 / n AS m FROM p WHERE n >= 2), r AS (SELECT *, {_SP} AS sp FROM q WHERE {_SP} > 1e-9),
-b AS (SELECT *, sp / (n - 1) AS variance, (s3 - 3 * m * s2 + 3 * m * m * s1 - n * m * m * m) / pow(sp, 1.5) * sqrt(n) AS skew,
-  (s4 - 4 * m * s3 + 6 * m * m * s2 - 4 * m * m * m * s1 + n * m * m * m * m) / (sp * sp) * n - 3 AS kurt FROM r)"""
+q AS (SELECT *, s1 / n AS m FROM p), r AS (SELECT *, s2 - 2 * m * s1 + n * m * m AS sp, s4 - 4 * m * s3 + 6 * m * m * s2 - 4 * m * m * m * s1 + n * m * m * m * m AS f4 FROM q),
+b AS (SELECT *, n >= 2 AS enough, n >= 2 AND sp > 1e-9 AS varied, CASE WHEN n >= 2 AND sp > 1e-9 THEN sp / (n - 1) ELSE 0 END AS variance,
+  CASE WHEN n >= 2 AND abs(sp) > 1e-9 THEN (s3 - 3 * m * s2 + 3 * m * m * s1 - n * m * m * m) / pow(abs(sp), 1.5) * sqrt(n) ELSE 0 END AS skew,
+  CASE WHEN n >= 2 AND abs(sp) > 1e-9 AND abs(f4) > 1e-9 THEN f4 / (sp * sp) * n - 3 ELSE 0 END AS kurt FROM r)"""
 
 
 @query(
     "basic_statistics",
-    f"""{_B} SELECT date, symbol, {r6s("m")} AS mean, {r6s("variance")} AS variance, {r6s("sqrt(variance)")} AS std, {r6s("skew")} AS skew, {r6s("kurt")} AS kurt,
-  {r6s("(skew * skew + kurt * kurt / 4) * n / 6")} AS jarque_bera, {r6s("(skew * skew + 1) / (kurt - 3)")} AS bimodality_excess, {r6s("CASE WHEN kurt > 0 THEN skew / sqrt(kurt) END")} AS skew_kurt_ratio,
-  {r6s("sqrt(s2 / n)")} AS rms, {r6s("sqrt(variance) / abs(m)")} AS cv, {r6s("sqrt(variance) / sqrt(n)")} AS se, {r6s("sa / n")} AS mean_abs, {r6s("exp(sl / n)")} AS geometric_mean, {r6s("n / si")} AS harmonic_mean FROM b""",
+    f"""{_B} SELECT date, symbol, n::BIGINT AS n, {r6s("CASE WHEN enough THEN m ELSE 0 END")} AS mean, {r6s("variance")} AS variance, {r6s("sqrt(variance)")} AS std, {r6s("skew")} AS skew, {r6s("kurt")} AS kurt,
+  {r6s("CASE WHEN varied THEN (skew * skew + kurt * kurt / 4) * n / 6 ELSE 0 END")} AS jarque_bera, {r6s("CASE WHEN varied THEN (skew * skew + 1) / nullif(kurt - 3, 0) ELSE 0 END")} AS bimodality_excess,
+  {r6s("CASE WHEN varied AND kurt > 0 THEN skew / sqrt(kurt) END")} AS skew_kurt_ratio, {r6s("CASE WHEN enough THEN sqrt(s2 / n) ELSE 0 END")} AS rms, {r6s("CASE WHEN enough THEN sqrt(variance) / abs(m) ELSE 0 END")} AS cv,
+  {r6s("CASE WHEN enough THEN sqrt(variance) / sqrt(n) ELSE 0 END")} AS se, {r6s("CASE WHEN enough THEN sa / n ELSE 0 END")} AS mean_abs, {r6s("CASE WHEN enough THEN exp(sl / n) ELSE 0 END")} AS geometric_mean,
+  {r6s("CASE WHEN enough THEN n / si ELSE 0 END")} AS harmonic_mean FROM b""",
 )
 def basic_statistics(spark, sf_dir):
     """Moments and derived statistics of trade volume from one aggregate of power sums."""
     s = trades(spark, sf_dir).groupBy(*K).agg(*moments.power_sums(F.col("volume")))
     b, d = moments.basic(), moments.derived()
     names = ["jarque_bera", "bimodality_excess", "skew_kurt_ratio", "rms", "cv", "se", "mean_abs", "geometric_mean", "harmonic_mean"]
-    out = s.select(*K, "n", *[r6(e).alias(k) for k, e in b.items()], *[r6(d[k]).alias(k) for k in names])
-    return out.filter("n >= 2 AND variance > 1e-9").drop("n")
+    return s.select(*K, "n", *[r6(e).alias(k) for k, e in b.items()], *[r6(d[k]).alias(k) for k in names])
 
 
 @query(
@@ -131,11 +133,11 @@ def trailing_span_stats(spark, sf_dir):
   avg(volume::DOUBLE) AS my, avg((exch_ms - event_ms) / 1000.0::DOUBLE) AS mx FROM sp WHERE rn <= 200 GROUP BY ALL),
 z AS (SELECT *, n >= 5 AND n * vx > 1e-12 AND n * vy > 1e-9 AS ok, sqrt(greatest(0, n * (vy - cov * cov / nullif(vx, 0))) / greatest(1, n - 2)) AS rs FROM k)
 SELECT date, symbol, event, n, {r6s("CASE WHEN ok THEN cov / vx ELSE 0 END")} AS slope, {r6s("CASE WHEN ok THEN my - cov / vx * mx ELSE 0 END")} AS intercept,
-  {r6s("CASE WHEN ok THEN least(1, cov * cov / (vx * vy)) ELSE 0 END")} AS r2, {r6s("CASE WHEN ok THEN rs ELSE 0 END")} AS residual_std, {r6s("CASE WHEN ok AND rs > 1e-6 THEN cov / vx / rs ELSE 0 END")} AS slope_z FROM z WHERE n > 2""",
+  {r6s("CASE WHEN ok THEN least(1, cov * cov / (vx * vy)) ELSE 0 END")} AS r2, {r6s("CASE WHEN ok THEN rs ELSE 0 END")} AS residual_std, {r6s("CASE WHEN ok AND rs > 1e-6 THEN cov / vx / rs ELSE 0 END")} AS slope_z FROM z""",
 )
 def trailing_ols(spark, sf_dir):
     """Slope, fit and residual of volume on time over the trailing hour."""
-    o = tb.span_ols_at_cuts(trades(spark, sf_dir), cuts(spark, sf_dir), "volume", 3_600_000, 200).filter("n > 2")
+    o = tb.span_ols_at_cuts(trades(spark, sf_dir), cuts(spark, sf_dir), "volume", 3_600_000, 200)
     return o.select(*KE, "n", *[r6(F.col(c)).alias(c) for c in ("slope", "intercept", "r2", "residual_std", "slope_z")])
 
 

@@ -30,18 +30,18 @@ CLOSE_MS = 54_000_000
 
 
 def order_legs(trades: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per effect on a parent order: add (A), delete (D), cancel (C) or fill (F)."""
+    """One row per effect on a parent order: add (A), delete (D), cancel (C) or fill (F); ``paired`` fills name both parents."""
     base = ["date", "symbol", *ORDER_KEY, "market"]
     is_add = (F.col("market") == SZ) | (F.col("order_type") == "A")
     adds = orders.filter((is_add | (F.col("order_type") == "D")) & (canonical_order_id() != 0)).select(
         *base, canonical_order_id().alias("order_id"), F.when(is_add, "A").otherwise("D").alias("kind"),
         F.greatest(F.col("volume"), F.lit(0)).alias("qty"), F.lit(0).cast("bigint").alias("amount"), "biz_index",
-        F.when(F.upper("bsflag") == "B", 0).otherwise(1).alias("side"), F.lit(False).alias("incoming"), "price",
+        F.when(F.upper("bsflag") == "B", 0).otherwise(1).alias("side"), F.lit(False).alias("incoming"), "price", F.lit(False).alias("paired"),
     )
     target = F.when(F.col("buy_id") != 0, F.col("buy_id")).otherwise(F.col("sell_id"))
     cancels = trades.filter((F.col("trade_type") == "C") & (F.col("market") == SZ) & (F.col("volume") > 0)).select(
         *base, target.alias("order_id"), F.lit("C").alias("kind"), F.col("volume").alias("qty"), F.lit(0).cast("bigint").alias("amount"), "biz_index",
-        F.when(F.col("buy_id") != 0, 0).otherwise(1).alias("side"), F.lit(False).alias("incoming"), "price",
+        F.when(F.col("buy_id") != 0, 0).otherwise(1).alias("side"), F.lit(False).alias("incoming"), "price", F.lit(False).alias("paired"),
     )
     side = aggressor()["side"]
     legs = F.array(
@@ -53,7 +53,7 @@ def order_legs(trades: DataFrame, orders: DataFrame) -> DataFrame:
         .withColumn("_leg", F.explode(legs))
         .filter("_leg.id <> 0")
         .select(*base, F.col("_leg.id").alias("order_id"), F.lit("F").alias("kind"), F.col("volume").alias("qty"), "amount", "biz_index",
-                F.col("_leg.s").alias("side"), F.col("_leg.i").alias("incoming"), "price")
+                F.col("_leg.s").alias("side"), F.col("_leg.i").alias("incoming"), "price", ((F.col("buy_id") != 0) & (F.col("sell_id") != 0)).alias("paired"))
     )
     return adds.unionByName(cancels).unionByName(fills)
 
@@ -251,6 +251,45 @@ def trade_pairs(trades: DataFrame, finals: DataFrame, states: DataFrame | None =
     return pairs.withColumns({"resolved": ok, "resolved_ms": F.when(ok, resolved_ms)})
 
 
+#: what is known of a parent at a moment
+SNAPSHOT = ["original", "immediate", "passive", "cancelled", "rest"]
+
+
+def pair_snapshots(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """Resolved pairs with ``buy`` and ``sell`` replaced by the parents as they stood when the pair was resolved.
+
+    ``events`` are the versions of the orders, with the leg of each. A pair resolved by its own trade sees what its parents were once the trade was
+    counted; one resolved later, by a confirmation, sees all that had reached them by that millisecond. What happens
+    afterwards changes nothing. Versions and requests meet under their order: the group is one parent, never a stock.
+    """
+    keys = [F.col(c).cast("bigint") for c in ORDER_KEY]
+    zeros = [F.lit(0).cast("bigint") for _ in ORDER_KEY]
+
+    def moment(ms: Column, part: Column, key: list[Column], asks: bool) -> Column:
+        return F.struct(ms.cast("bigint").alias("ms"), part.cast("int").alias("part"), *[k.alias(c) for k, c in zip(key, ORDER_KEY)], F.lit(asks).alias("asks"))
+
+    born = F.col("at_confirmation")
+    at = moment(F.col("event_ms"), F.when(born, 0).otherwise(1), [F.when(born, z).otherwise(k) for z, k in zip(zeros, keys)], False)
+    state = F.struct(*[F.col(c).cast("bigint").alias(c) for c in SNAPSHOT])
+    late = F.col("resolved_ms") > F.floor(F.col("local_us") / 1000)
+    asked = moment(F.col("resolved_ms"), F.when(late, 2).otherwise(1), [F.when(late, z).otherwise(k) for z, k in zip(zeros, keys)], True)
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("order_id")) for s in ("buy", "sell")])).alias("leg")
+    plain = [c for c in pairs.columns if c not in ("buy", "sell", "date", "symbol")]
+    resolved = pairs.filter("resolved")
+    pair = F.struct(*plain)
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in resolved.select(*plain).schema)
+    versions = events.select(*ORDER, at.alias("at"), state.alias("state"), F.lit(None).cast("string").alias("leg_side"), F.lit(None).cast(f"struct<{kinds}>").alias("pair"))
+    unknown = F.lit(None).cast(versions.schema["state"].dataType).alias("state")
+    requests = resolved.select("date", "symbol", sides, asked.alias("at"), pair.alias("pair")).select("date", "symbol", F.col("leg.order_id").alias("order_id"), "at", unknown, F.col("leg.side").alias("leg_side"), "pair")
+    met = versions.union(requests)
+    upto = Window.partitionBy(*ORDER).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = met.withColumn("state", F.last("state", ignorenulls=True).over(upto)).filter("at.asks")
+    whole = seen.groupBy("date", "symbol", *[F.col(f"pair.{c}").alias(f"_{c}") for c in (*ORDER_KEY, "buy_id", "sell_id")]).agg(
+        F.first("pair").alias("pair"), *[F.max(F.when(F.col("leg_side") == s, F.col("state"))).alias(s) for s in ("buy", "sell")]
+    )
+    return whole.select("date", "symbol", "pair.*", "buy", "sell")
+
+
 def reconstruct(trades: DataFrame, orders: DataFrame, watermark_ms: int = WATERMARK_MS) -> dict[str, DataFrame]:
     """The whole reconstruction as named DataFrames."""
     states = order_states(order_legs(trades, orders), watermark_ms)
