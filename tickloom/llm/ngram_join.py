@@ -36,7 +36,7 @@ VALUES = BANDS * BAND_ROWS
 #: posterior below which a pair is dropped, and how many values are compared at a time
 TOLERANCE, STEP = 1e-7, 32
 #: bounds of one block: classes and shingles; and classes of a bucket that are looked at together
-BLOCK_CLASSES, BLOCK_SHINGLES, BUCKET_CLASSES = 256, 200_000, 2048
+BLOCK_CLASSES, BLOCK_SHINGLES, BUCKET_CLASSES = 256, 200_000, 512
 
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULTIPLY = (_SEEDS[:VALUES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
