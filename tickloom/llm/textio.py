@@ -6,6 +6,8 @@ bytes. Hashes have 64 bits and are the same on every worker.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -58,8 +60,15 @@ def once(key, make: Callable):
     return _KEPT[key]
 
 
+def release() -> None:
+    """Gives freed memory back: workers outlive their tasks, and several of them share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches with at most BATCH_BYTES of text, and the texts as UTF-8."""
+    """Slices of the batches with at most BATCH_BYTES of text, and the texts as UTF-8; freed memory goes back at the end."""
     for batch in batches:
         texts = batch.column(text).cast(pa.binary()).to_pylist()
         begin = size = 0
@@ -71,6 +80,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[p
             size += n
         if begin < len(texts):
             yield batch.slice(begin), texts[begin:]
+    release()
 
 
 def column_names(schema: str) -> list[str]:
