@@ -266,12 +266,13 @@ def test_clip_and_winsorise_keep_null(spark):
     assert sum(r.w for r in got if r.w is not None) == pytest.approx(0)
 
 
-@pytest.mark.parametrize("chunk", [50_000, 17])
-def test_above_past_quantile_against_numpy(spark, chunk):
+@pytest.mark.parametrize("chunk, most", [(50_000, 40), (17, 40), (17, 10**9), (40, 2)])
+def test_above_past_quantile_against_numpy(spark, chunk, most):
+    """Few and many chunks, volumes that all differ, and one volume that most trades have."""
     from tickloom.operators.quantile import above_past_quantile
 
     rng = np.random.default_rng(3)
-    v = rng.integers(1, 40, 300)
+    v = np.where(rng.random(300) < (0.7 if most == 2 else 0), 20, rng.integers(1, max(most, 40), 300))
     df = spark.createDataFrame([("d", i % 2, i, i, 0, i, int(x)) for i, x in enumerate(v)], "date string, symbol int, local_us long, exch_ms long, channel int, serial long, volume long")
     got = {r.local_us: r.above for r in above_past_quantile(df, ["date", "symbol"], "volume", least=5, rows_per_chunk=chunk).collect()}
     for i, x in enumerate(v):
@@ -279,6 +280,55 @@ def test_above_past_quantile_against_numpy(spark, chunk):
         assert got[i] == (len(past) >= 5 and x > np.quantile(past, 0.9) + 1e-9), i
 
 
+def test_rows_of_the_grid_do_not_grow_with_the_values(spark):
+    """What earlier chunks hold is kept by chunk and bucket, however many values there are."""
+    from tickloom.operators import quantile as qt
+
+    df = spark.range(4000).select(F.lit("d").alias("date"), F.lit(1).alias("symbol"), (F.col("id") + 1).alias("_seq"), F.expr("id div 200").alias("_chunk"), F.xxhash64("id").alias("volume"))
+    rows = qt._bucketed(df, ["date", "symbol"], "volume", 200)
+    grid = qt._grid(rows, ["date", "symbol"], "volume")
+    assert rows.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 500 and grid.count() <= 20 * 40
+
+
+@pytest.mark.parametrize("interval", [1, 3])
+def test_closing_bars_against_a_walk(spark, interval):
+    """Bars by a plain walk over arrivals, of which some come late."""
+    from tickloom.operators.bars import closing_bars
+
+    rng = np.random.default_rng(12)
+    n = 400
+    local = np.sort(rng.integers(0, 90 * 60_000, n))
+    exch = np.maximum(local - rng.integers(0, 150_000, n), 0)
+    ticks = pd.DataFrame({"date": "d", "symbol": np.where(rng.random(n) < 0.8, 1, 2), "local_us": local * 1000, "exch_ms": exch, "channel": 0, "serial": range(n), "price": rng.integers(90, 110, n)})
+    for name in ("total_volume", "total_turnover", "open_interest", "upper_limit", "lower_limit"):
+        ticks[name] = rng.integers(0, 50, n).cumsum()
+    got = {(r.symbol, r.bar): tuple(r[2:]) for r in closing_bars(spark.createDataFrame(ticks).repartition(3), interval).select("date", "symbol", "bar", "minute", "open", "high", "low", "close", "volume", "turnover", "open_interest", "upper_limit", "lower_limit").collect()}
+    want = {}
+    for symbol, own in ticks.groupby("symbol"):
+        last, bar, number = None, [], 0
+        for t in own.itertuples():
+            bar.append(t)
+            minute = t.exch_ms // 60_000
+            if last is None:
+                last = minute
+            elif minute - last >= interval:
+                prices = [b.price for b in bar]
+                o = bar[0]
+                want[symbol, number] = (number, minute, o.price, max(prices), min(prices), t.price, t.total_volume - o.total_volume, t.total_turnover - o.total_turnover, t.open_interest, o.upper_limit, o.lower_limit)
+                last, bar, number = minute, [], number + 1
+    assert got == want and len(want) > 30
+
+
+def test_peak_of_changes_against_a_walk(spark):
+    from tickloom.operators.sequence import peak_of_changes
+
+    rng = np.random.default_rng(13)
+    rows = [(int(rng.integers(0, 4)), i, int(rng.choice([-1, 1, 2, -2]))) for i in range(500)] + [(9, 1, -3), (9, 2, 1)]
+    df = spark.createDataFrame(rows, "k int, at long, d long").repartition(3)
+    got = {r.k: r.peak for r in peak_of_changes(df, ["k"], "d", ["at"], F.expr("at div 37")).collect()}
+    assert got == {k: max(0, max(np.cumsum([d for g, _, d in sorted(rows, key=lambda r: r[1]) if g == k]))) for k in got} and set(got) == {r[0] for r in rows} and got[9] == 0
+
+
 def test_principal_component_matches_numpy():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 4)) * np.array([5.0, 1.0, 0.5, 0.1])

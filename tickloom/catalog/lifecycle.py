@@ -100,12 +100,17 @@ def trade_pairs(spark, sf_dir):
 lt2 AS (SELECT date, symbol, count(*) FILTER (WHERE late) AS late_events FROM lv GROUP BY ALL),
 fo AS (SELECT date, symbol, count(*) AS confirmed, count(*) FILTER (WHERE close_reason <> 'SessionClose') AS closed, count(*) FILTER (WHERE original <> immediate + passive + cancelled) AS conservation_failures,
   count(*) FILTER (WHERE rest_at_close < 0) AS negative_rest FROM fin GROUP BY ALL),
-pp AS (SELECT date, symbol, count(*) FILTER (WHERE resolved) AS pairs, count(*) FILTER (WHERE NOT resolved) AS unresolved FROM pr GROUP BY ALL)
-SELECT date, symbol, inputs, cancels, orphans, coalesce(late_events, 0) AS late_events, confirmed, closed, conservation_failures, negative_rest, coalesce(pairs, 0) AS pairs, coalesce(unresolved, 0) AS unresolved
-FROM lg JOIN fo USING (date, symbol) LEFT JOIN lt2 USING (date, symbol) LEFT JOIN pp USING (date, symbol)""",
+pp AS (SELECT date, symbol, count(*) FILTER (WHERE resolved) AS pairs, count(*) FILTER (WHERE NOT resolved) AS unresolved FROM pr GROUP BY ALL),
+sa AS (SELECT f.date, f.symbol, f.confirm_ms AS a, CASE WHEN f.close_key IS NOT NULL THEN f.close_key[1] // 1000 WHEN cf.rest0 = 0 AND f.market = 49 THEN f.confirm_ms ELSE 54000000 END AS b FROM fin f JOIN cf USING (date, symbol, order_id)),
+sp AS (SELECT p.date, p.symbol, min(p.local_us) // 1000 AS a, coalesce(any_value(cf.confirm_ms), 54000000) AS b FROM ph p LEFT JOIN cf USING (date, symbol, order_id) WHERE p.market = 49 GROUP BY p.date, p.symbol, p.order_id),
+ev AS (SELECT 'a' AS kind, date, symbol, a AS ms, 1 AS d FROM sa WHERE a < b UNION ALL SELECT 'a', date, symbol, b, -1 FROM sa WHERE a < b UNION ALL SELECT 'p', date, symbol, a, 1 FROM sp WHERE a < b UNION ALL SELECT 'p', date, symbol, b, -1 FROM sp WHERE a < b),
+ek AS (SELECT kind, date, symbol, max(n) AS peak FROM (SELECT *, sum(d) OVER (PARTITION BY kind, date, symbol ORDER BY ms RANGE UNBOUNDED PRECEDING) AS n FROM ev) GROUP BY ALL)
+SELECT date, symbol, inputs, cancels, orphans, coalesce(late_events, 0) AS late_events, confirmed, closed, conservation_failures, negative_rest, coalesce(pairs, 0) AS pairs, coalesce(unresolved, 0) AS unresolved,
+  CAST(coalesce(ka.peak, 0) AS BIGINT) AS max_active, CAST(coalesce(kp2.peak, 0) AS BIGINT) AS max_pending
+FROM lg JOIN fo USING (date, symbol) LEFT JOIN lt2 USING (date, symbol) LEFT JOIN pp USING (date, symbol) LEFT JOIN (SELECT * FROM ek WHERE kind = 'a') ka USING (date, symbol) LEFT JOIN (SELECT * FROM ek WHERE kind = 'p') kp2 USING (date, symbol)""",
 )
 def replay_audit(spark, sf_dir):
-    """Counts of the whole reconstruction per stock-day: late events, unresolved pairs, conservation."""
+    """Counts of the whole reconstruction per stock-day: late events, unresolved pairs, conservation, most orders open and waiting at once."""
     j = job(spark, sf_dir)
     k = ["date", "symbol"]
     legs = j["states"].groupBy(*k).agg(
@@ -118,8 +123,8 @@ def replay_audit(spark, sf_dir):
         F.count_if(broken).alias("conservation_failures"), F.count_if(F.col("rest_at_close") < 0).alias("negative_rest"),
     )
     p = j["pairs"].groupBy(*k).agg(F.count_if("resolved").alias("pairs"), F.count_if(~F.col("resolved")).alias("unresolved"))
-    out = legs.join(fin, k).join(p, k, "left")
-    return out.na.fill(0, ["late_events", "pairs", "unresolved"])
+    out = legs.join(fin, k).join(p, k, "left").join(lc.replay_peaks(j["states"], f), k, "left")
+    return out.na.fill(0, ["late_events", "pairs", "unresolved", "max_active", "max_pending"])
 
 
 @query(

@@ -124,8 +124,8 @@ sr AS (SELECT sx.*, greatest(-5.0, least(5.0, sign * coalesce(added, 0) / (volum
   FROM sx LEFT JOIN so USING (date, symbol, local_us, exch_ms, channel, serial) LEFT JOIN sd USING (date, symbol, local_us, exch_ms, channel, serial))"""
 
 
-#: flagged trades before a shock: the stand-in's stocks have few trades a day
-FEW = 3
+#: flagged trades before a shock
+FEW = 30
 
 
 @query("execution_shocks", f"""{LC}, {_shock_sql(FEW)} SELECT date, symbol, local_us, exch_ms, channel, serial, volume, sign, {r6s("o")} AS order_response, {r6s("v")} AS quote_response FROM sr""")

@@ -9,6 +9,7 @@ from tickloom.catalog import query
 from tickloom.fixtures import r6s
 from tickloom.functions import moments
 from tickloom.functions.scalar import r6
+from tickloom.operators import bars
 from tickloom.operators import toolbox as tb
 from tickloom.operators.cuts import market_cuts
 from tickloom.operators.sequence import number_rows, running
@@ -222,3 +223,26 @@ def minute_bars(spark, sf_dir):
     """Thirty-minute bars from ticks with a day-to-date volume."""
     t = running(trades(spark, sf_dir), K, {"total": ("sum", F.col("volume"))})
     return tb.minute_bars(t, "price", "total", 30)
+
+
+_TICKS = """k AS (SELECT *, exch_ms // 60000 AS minute, (local_us, exch_ms, channel, serial) AS key, CAST(sum(volume) OVER d AS BIGINT) AS total_volume, CAST(sum(amount) OVER d AS BIGINT) AS total_turnover, price % 100003 AS open_interest
+  FROM trades WINDOW d AS (PARTITION BY date, symbol ORDER BY local_us, exch_ms, channel, serial ROWS UNBOUNDED PRECEDING))"""
+#: minutes that a bar lasts at least
+BAR = 20
+
+
+@query(
+    "closing_bars",
+    f"""WITH RECURSIVE {fx.FEED_SQL}, {fx.TRADES_SQL}, {_TICKS},
+z AS (SELECT date, symbol, -1::BIGINT AS bar, min(key) AS pos, arg_min(minute, key) AS last FROM k GROUP BY ALL
+  UNION ALL SELECT * FROM (SELECT z.date, z.symbol, z.bar + 1, min(k.key) AS pos, arg_min(k.minute, k.key) AS last FROM z JOIN k ON k.date = z.date AND k.symbol = z.symbol AND k.key > z.pos AND k.minute >= z.last + {BAR} GROUP BY z.date, z.symbol, z.bar)),
+c AS (SELECT date, symbol, bar, pos, lag(pos) OVER (PARTITION BY date, symbol ORDER BY bar) AS prev FROM z),
+t AS (SELECT k.*, bar FROM c JOIN k ON k.date = c.date AND k.symbol = c.symbol AND k.key <= c.pos AND (k.key > c.prev OR c.bar = 0) WHERE bar >= 0)
+SELECT date, symbol, bar, arg_max(minute, key) AS minute, arg_min(price, key) AS open, max(price) AS high, min(price) AS low, arg_max(price, key) AS close, arg_max(total_volume, key) - arg_min(total_volume, key) AS volume,
+  arg_max(total_turnover, key) - arg_min(total_turnover, key) AS turnover, arg_max(open_interest, key) AS open_interest, arg_min(price, key) + 1000 AS upper_limit, arg_min(price, key) - 1000 AS lower_limit, count(*) AS ticks FROM t GROUP BY date, symbol, bar""",
+)
+def closing_bars(spark, sf_dir):
+    """Bars of twenty minutes or more, each closed by the tick that reaches them, with turnover, open interest and limits."""
+    t = running(trades(spark, sf_dir), K, {"total_volume": ("sum", F.col("volume")), "total_turnover": ("sum", F.col("amount"))})
+    t = t.withColumns({"open_interest": F.col("price") % 100003, "upper_limit": F.col("price") + 1000, "lower_limit": F.col("price") - 1000})
+    return bars.closing_bars(t, BAR)

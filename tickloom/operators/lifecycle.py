@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import SH, SZ, aggressor, canonical_order_id
+from tickloom.operators.sequence import peak_of_changes
 from tickloom.schema import ORDER_KEY
 
 ORDER = ["date", "symbol", "order_id"]
@@ -297,6 +298,29 @@ def reconstruct(trades: DataFrame, orders: DataFrame, watermark_ms: int = WATERM
     return {"states": states, "finals": finals, "events": lifecycle_events(states), "pairs": trade_pairs(trades, finals)}
 
 
+def _peak(spans: DataFrame, name: str) -> DataFrame:
+    """By stock-day, the most spans (``from_ms``, ``to_ms``, the end not included) that are open at once."""
+    ends = F.explode(F.array(F.struct(F.col("from_ms").alias("ms"), F.lit(1).alias("change")), F.struct(F.col("to_ms").alias("ms"), F.lit(-1).alias("change")))).alias("e")
+    changes = spans.where("from_ms < to_ms").select("date", "symbol", ends).select("date", "symbol", "e.ms", "e.change")
+    # what happens in one millisecond is one change: its order inside says nothing
+    moments = changes.groupBy("date", "symbol", "ms").agg(F.sum("change").alias("change"))
+    return peak_of_changes(moments, ["date", "symbol"], "change", ["ms"], F.expr("ms div 60000"), name)
+
+
+def replay_peaks(states: DataFrame, finals: DataFrame) -> DataFrame:
+    """Most orders open at once, and most Shanghai orders waiting for their confirmation at once, in each stock-day.
+
+    An order is open from its confirmation to the leg that closes it, or the session's close; it waits from its first
+    leg's arrival to its confirmation, for ever if it never comes.
+    """
+    leg_ms = F.floor(F.col("close_key.local_us") / 1000).cast("bigint")
+    closed = F.when(F.col("close_key").isNotNull(), leg_ms).when((F.col("rest0") == 0) & (F.col("market") == SH), F.col("confirm_ms")).otherwise(F.lit(CLOSE_MS))
+    active = _peak(finals.select("date", "symbol", F.col("confirm_ms").alias("from_ms"), closed.alias("to_ms")), "max_active")
+    first = states.where(F.col("market") == SH).groupBy(*ORDER).agg(F.floor(F.min("local_us") / 1000).cast("bigint").alias("from_ms"), F.max(F.when(F.col("confirmed"), F.col("confirm_ms"))).alias("confirm_ms"))
+    waiting = _peak(first.select("date", "symbol", "from_ms", F.coalesce("confirm_ms", F.lit(CLOSE_MS)).alias("to_ms")), "max_pending")
+    return active.join(waiting, ["date", "symbol"], "full").na.fill(0, ["max_active", "max_pending"])
+
+
 def conservation_violations(finals: DataFrame) -> DataFrame:
     return finals.filter(F.col("original") != F.col("immediate") + F.col("passive") + F.col("cancelled") + F.col("rest"))
 

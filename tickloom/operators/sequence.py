@@ -194,3 +194,16 @@ def islands(
 ) -> DataFrame:
     """Number runs: a new island begins on each row where ``starts`` is true."""
     return running(df, keys, {name: ("sum", F.when(starts, 1).otherwise(0))}, order, block)
+
+
+def peak_of_changes(changes: DataFrame, keys: Sequence[str], change: str, order: Sequence[str], block: Column, name: str = "peak") -> DataFrame:
+    """By key, the largest value that the running sum of ``change`` reaches; 0 where it never rises above 0.
+
+    A block of the order is summed up as its total and the largest of its own running sums; these compose, so no key has to
+    be walked through in one task.
+    """
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = changes.withColumn("_block", block).withColumn("_sum", F.sum(change).over(inside)).groupBy(*keys, "_block").agg(F.sum(change).alias("_t_sum"), F.max("_sum").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocks.withColumn("_top", F.coalesce(F.sum("_t_sum").over(before), F.lit(0)) + F.col("_top"))
+    return tops.groupBy(*keys).agg(F.greatest(F.max("_top"), F.lit(0)).cast("bigint").alias(name))
