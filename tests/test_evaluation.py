@@ -319,6 +319,36 @@ def test_closing_bars_against_a_walk(spark, interval):
     assert got == want and len(want) > 30
 
 
+def test_big_orders_against_a_walk(spark):
+    """Spans that end with the order before, both gates and the fallback, over bursts inside one millisecond."""
+    from tickloom.operators.toolbox import big_orders
+
+    rng = np.random.default_rng(14)
+    n, width = 500, 4000
+    ms = np.sort(rng.integers(0, 60_000, n) // 7 * 7)
+    o = pd.DataFrame({"date": "d", "symbol": np.where(rng.random(n) < 0.8, 1, 2), "local_us": ms * 1000 + rng.integers(0, 3, n), "exch_ms": ms, "channel": 0, "serial": range(n), "price": rng.integers(95, 106, n), "volume": np.where(rng.random(n) < 0.9, 10, rng.integers(1, 90, n)), "bsflag": rng.choice(["B", "S"], n)})
+    o.loc[o.symbol == 2, "volume"] = 10
+    o = o.sort_values(["local_us", "serial"])
+    q = spark.createDataFrame([("d", s, 0, 0, 0, -1, [99], [101]) for s in (1, 2)], "date string, symbol long, local_us long, exch_ms long, channel long, serial long, bp array<long>, ap array<long>")
+    df = spark.createDataFrame(o).repartition(3)
+    for need_m, need_t, fallback in ((False, False, None), (True, False, 10.0), (False, True, 10.0)):
+        got = {r.serial: (r.ref_n, round(r.threshold, 6), r.is_big) for r in big_orders(df, q, width, min_n=8, fallback=fallback, need_marketable=need_m, need_touch=need_t).collect()}
+        want = {}
+        for _, own in o.groupby("symbol"):
+            rows = list(own.itertuples())
+            for i, r in enumerate(rows):
+                past = [b.volume for b in rows[:i] if b.local_us // 1000 > rows[i - 1].local_us // 1000 - width]
+                std = np.std(past, ddof=1) if len(past) > 1 else 0.0
+                usable, flat = len(past) >= 8 and std > 1e-12, len(past) >= 8 and not std > 1e-12
+                limit = np.mean(past) + 2 * std if usable else fallback if flat and fallback else 0.0
+                crosses = r.price >= 101 if r.bsflag == "B" else r.price <= 99
+                gap = max(0, 101 - r.price if r.bsflag == "B" else r.price - 99)
+                big = (usable or flat and fallback is not None) and r.volume >= limit and (crosses or not need_m) and (gap == 0 or not need_t)
+                want[r.serial] = (len(past), round(float(limit), 6), bool(big))
+        assert got == want
+        assert sum(w[2] for w in want.values()) > 3
+
+
 def test_peak_of_changes_against_a_walk(spark):
     from tickloom.operators.sequence import peak_of_changes
 

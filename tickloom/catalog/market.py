@@ -232,6 +232,19 @@ def big_trade_at_cuts(spark, sf_dir):
     return b.select(*KEYS, "big_trade_flag", *[r6(F.col(c)).alias(c) for c in ("big_trade_zscore", "big_trade_threshold")])
 
 
+@query(
+    "big_order_at_cuts",
+    f"""{W}, {seen_sql("ord", "NOT (market = 49 AND order_type = 'D')")}, r AS (SELECT date, symbol, event, max(volume) FILTER (WHERE rn = 1) AS v, count(*) FILTER (WHERE rn > 1) AS n, avg(volume) FILTER (WHERE rn > 1) AS m, stddev_samp(volume) FILTER (WHERE rn > 1) AS s FROM seen WHERE rn <= 201 GROUP BY ALL)
+SELECT date, symbol, event, CASE WHEN n >= 30 AND s > 1e-12 AND v >= m + 2 * s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS big_order_flag, {r6s("CASE WHEN n >= 30 AND s > 1e-12 THEN greatest(-8, least(8, (v - m) / s)) ELSE 0 END")} AS big_order_zscore,
+  {r6s("CASE WHEN n >= 30 AND s > 1e-12 THEN m + 2 * s ELSE 0 END")} AS big_order_threshold FROM r""",
+)
+def big_order_at_cuts(spark, sf_dir):
+    """Is the last order large against the two hundred before it."""
+    s, cuts = feed_setup(spark, sf_dir)
+    b = df_.big_at_cuts(s.orders.filter(df_.counted_order()), cuts, "big_order")
+    return b.select(*KEYS, "big_order_flag", *[r6(F.col(c)).alias(c) for c in ("big_order_zscore", "big_order_threshold")])
+
+
 @query(
     "id_statistics",
     f"""{W}, {seen_sql("trades", "trade_type <> 'C'")}, g AS (SELECT *, buy_id - lag(buy_id) OVER w AS gap, exch_ms - lag(exch_ms) OVER w AS tg FROM seen WINDOW w AS (PARTITION BY date, symbol, event ORDER BY rn DESC))

@@ -246,3 +246,29 @@ def closing_bars(spark, sf_dir):
     t = running(trades(spark, sf_dir), K, {"total_volume": ("sum", F.col("volume")), "total_turnover": ("sum", F.col("amount"))})
     t = t.withColumns({"open_interest": F.col("price") % 100003, "upper_limit": F.col("price") + 1000, "lower_limit": F.col("price") - 1000})
     return bars.closing_bars(t, BAR)
+
+
+#: milliseconds of orders that an order is compared with; the stand-in's stocks have few orders a minute
+SPAN = 14_400_000
+
+
+@query(
+    "big_orders",
+    f"""{W}, u AS (SELECT date, symbol, local_us, exch_ms, channel, serial, NULL AS bid, NULL AS ask, price, bsflag, volume FROM ord
+  UNION ALL SELECT date, symbol, local_us, exch_ms, channel, serial, bp[1], ap[1], NULL, NULL, NULL FROM quotes),
+j AS (SELECT *, last_value(CASE WHEN bid IS NOT NULL THEN (bid, ask) END IGNORE NULLS) OVER (PARTITION BY date, symbol ORDER BY local_us, exch_ms, channel, serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM u),
+o AS (SELECT *, local_us // 1000 AS ms, row_number() OVER w AS i, lag(local_us // 1000) OVER w AS before_ms,
+  coalesce(CASE WHEN bsflag = 'B' AND q[2] > 0 THEN price >= q[2] WHEN bsflag = 'S' AND q[1] > 0 THEN price <= q[1] END, false) AS marketable,
+  greatest(0, coalesce(CASE WHEN bsflag = 'B' AND q[2] > 0 THEN q[2] - price WHEN bsflag = 'S' AND q[1] > 0 THEN price - q[1] END, 0)) AS gap FROM j WHERE price IS NOT NULL WINDOW w AS (PARTITION BY date, symbol ORDER BY local_us, exch_ms, channel, serial)),
+r AS (SELECT a.date, a.symbol, a.serial, a.volume, a.marketable, a.gap, count(b.i) AS n, sum(b.volume)::DOUBLE / nullif(count(b.i), 0) AS m,
+  sqrt(greatest(0, (count(b.i)::HUGEINT * sum(b.volume::HUGEINT * b.volume) - sum(b.volume::HUGEINT) * sum(b.volume::HUGEINT))::DOUBLE / nullif((count(b.i) * (count(b.i) - 1))::DOUBLE, 0))) AS s
+  FROM o a LEFT JOIN o b ON b.date = a.date AND b.symbol = a.symbol AND b.i < a.i AND b.ms > a.before_ms - {SPAN} GROUP BY a.date, a.symbol, a.serial, a.i, a.volume, a.marketable, a.gap),
+f AS (SELECT *, n >= 30 AND coalesce(s, 0) > 1e-12 AS usable, n >= 30 AND NOT coalesce(s, 0) > 1e-12 AS flat FROM r)
+SELECT date, symbol, serial, n AS ref_n, {r6s("CASE WHEN usable THEN m + 1.5 * s WHEN flat THEN 300 ELSE 0 END")} AS threshold, {r6s("CASE WHEN usable THEN greatest(-8, least(8, (volume - m) / s)) ELSE 0 END")} AS z, marketable, gap AS touch_distance,
+  (usable AND volume >= m + 1.5 * s OR flat AND volume >= 300) AND marketable AS is_big FROM f""",
+)
+def big_orders(spark, sf_dir):
+    """Orders large against those of the four hours before them, that cross the quote; a fixed threshold where those are all alike."""
+    s = fx.streams(spark, sf_dir)
+    b = tb.big_orders(s.orders, s.quotes, SPAN, k=1.5, fallback=300.0, need_marketable=True)
+    return b.select(*K, "serial", "ref_n", r6(F.col("threshold")).alias("threshold"), r6(F.col("z")).alias("z"), "marketable", "touch_distance", "is_big")

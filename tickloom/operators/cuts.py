@@ -103,7 +103,15 @@ def last_at_cuts(
 
 
 def latest_at_cuts(events: DataFrame, cuts: DataFrame, columns: Sequence[str], keys: Sequence[str] = tuple(STOCK_DAY)) -> DataFrame:
-    return last_at_cuts(events, cuts, 1, columns, keys).drop("rn")
+    """The last record of each key before every checkpoint: the newest of each segment, combined map-side, then the newest of the segments seen."""
+    order = [c for c in ORDER_KEY if c not in columns]
+    row = F.struct(*order, *columns)
+    seg = assign_segment(events.select(*keys, *order, *columns), cuts)
+    newest = seg.groupBy(*keys, "_seg").agg(F.max_by(row, F.struct(*ORDER_KEY)).alias("_row"))
+    # one row per key and segment from here on; attach the few cuts of a date again
+    spread = newest.join(F.broadcast(_by_date(cuts)), "date").select(*keys, _spread(), "_row")
+    latest = spread.groupBy(*keys, "event").agg(F.max_by("_row", F.struct(*[F.col(f"_row.{c}") for c in ORDER_KEY])).alias("_row"))
+    return latest.select(*keys, "event", "_row.*")
 
 
 def totals_at_cuts(

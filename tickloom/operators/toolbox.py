@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import moments
-from tickloom.operators.cuts import assign_segment, last_at_cuts, window_at_cuts
-from tickloom.operators.sequence import frame, islands, last_rows, number_rows, overlapping_chunks, previous, running
+from tickloom.functions.scalar import marketable, touch_distance
+from tickloom.operators.cuts import as_of_quote, assign_segment, last_at_cuts, window_at_cuts
+from tickloom.operators.sequence import BLOCK_US, carry_forward, frame, islands, last_rows, number_rows, overlapping_chunks, previous, running
 from tickloom.schema import ORDER_KEY, STOCK_DAY
 from tickloom.session import cut_lineage
 
@@ -195,6 +196,49 @@ def big_decision(rows: DataFrame, value: str, min_n: int = 30, k: float = 2.0, z
     return rows.withColumn("is_big", decided & (x >= F.col("threshold")))
 
 
+def span_reference(events: DataFrame, value: str, width_ms: int) -> DataFrame:
+    """Add ref_n, ref_mean and ref_std: the ``width_ms`` that end with the event before, as arrivals tell the time.
+
+    The event before belongs to its span, one exactly ``width_ms`` older does not. The span is a difference of two
+    prefix sums: each event asks for the prefix at the moment its span begins, and finds it in the
+    union of events and questions, by blocks. So no frame has to be held, however many events a minute has. ``value`` is a whole number.
+    """
+    x = F.col(value).cast("decimal(38,0)")
+    names = events.columns
+    sums = {"_n": ("sum", F.lit(1).cast("decimal(38,0)")), "_s1": ("sum", x), "_s2": ("sum", x * x)}
+    rows = running(events, STOCK_DAY, sums).withColumn("_ms", F.floor(F.col("local_us") / 1000).cast("bigint"))
+    rows = rows.withColumns({f"_a{k}": F.col(k) for k in ORDER_KEY} | {"_asks": F.lit(0)})
+    known = rows.select(*STOCK_DAY, "_ms", "_asks", *[f"_a{k}" for k in ORDER_KEY], F.struct(*sums).alias("_at"))
+    # a question stands behind all events of its millisecond: those have left the span
+    asked = rows.withColumns({"_ms": F.col("_ms") - width_ms, "_asks": F.lit(1)})
+    order = ["_ms", "_asks", *[f"_a{k}" for k in ORDER_KEY]]
+    met = carry_forward(asked.unionByName(known, allowMissingColumns=True), STOCK_DAY, F.col("_at"), "_gone", order, F.expr(f"_ms div {BLOCK_US // 1000}"))
+    inside = {k: F.col(k) - F.coalesce(F.col(f"_gone.{k}"), F.lit(0)) for k in sums}
+    spans = met.filter("_asks = 1").select(*names, *[e.cast("decimal(38,0)").alias(f"_w{k}") for k, e in inside.items()])
+    spans = previous(spans, STOCK_DAY, {f"_w{k}": f"_p{k}" for k in sums})
+    n, s1, s2 = (F.coalesce(F.col(f"_p{k}"), F.lit(0)).cast("decimal(19,0)") for k in sums)
+    spread = (n * s2 - s1 * s1).cast("double") / F.nullif((n * (n - 1)).cast("double"), F.lit(0.0))
+    return spans.select(*names, n.cast("bigint").alias("ref_n"), (s1.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))).alias("ref_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("ref_std"))
+
+
+def big_orders(
+    orders: DataFrame, quotes: DataFrame, width_ms: int = 60_000, min_n: int = 30, k: float = 2.0, z_clip: float = 8.0, fallback: float | None = None, need_marketable: bool = False, need_touch: bool = False
+) -> DataFrame:
+    """Decision per order against those of the time before it: threshold, clipped z and flag.
+
+    With ``need_marketable`` only an order that crosses the last quote before it can be big, with ``need_touch`` only
+    one at no distance from the touch. ``fallback`` is the threshold where the orders before are all alike.
+    """
+    seen = as_of_quote(orders, quotes.withColumns({"bid": F.get("bp", 0), "ask": F.get("ap", 0)}), ["bid", "ask"])
+    bid, ask = F.coalesce("quote.bid", F.lit(0)), F.coalesce("quote.ask", F.lit(0))
+    seen = seen.withColumns({"marketable": marketable(bid, ask), "touch_distance": touch_distance(bid, ask)}).drop("quote")
+    rows = big_decision(span_reference(seen, "volume", width_ms), "volume", min_n, k, z_clip, fallback)
+    gate = F.lit(True)
+    gate = gate & F.col("marketable") if need_marketable else gate
+    gate = gate & (F.col("touch_distance") == 0) if need_touch else gate
+    return rows.withColumn("is_big", F.col("is_big") & gate)
+
+
 def entropy_bits(events: DataFrame, category: str, keys: Sequence[str] = tuple(STOCK_DAY)) -> DataFrame:
     """Shannon entropy of the categories of a key, from counts combined map-side."""
     counts = events.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("_c"))
