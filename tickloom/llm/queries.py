@@ -1,4 +1,8 @@
-"""Registered queries over whole tables, with production parameters."""
+"""Registered queries over whole tables, with production parameters.
+
+All of them read texts of any length in slices or whole, give nothing for an empty table, and look at no other columns
+than those named, so that further ones may have any names.
+"""
 
 from __future__ import annotations
 
@@ -20,44 +24,54 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its personal data moved; null and empty texts stay as they are, rows that repeat move alike."""
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every whole text; a null text counts as empty, equal texts get equal verdicts, without labels every score is even."""
     docs = documents(spark, sf_dir)
     return quality_rules.judge(docs, quality_rules.train(docs, _labels(spark, sf_dir)))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text; a null text has none."""
     return token_counts.token_counts(documents(spark, sf_dir), WORD_TOKENIZER)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of the bytes they decode to; a null text is empty."""
     return byte_bpe.round_trip(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
 def op5_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every payload as stored and read back, and the clips' feature; a null text is a payload of spaces."""
     return media.digests(media.store(documents(spark, sf_dir)))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; a null or empty text is its end id alone, rows that repeat are packed each."""
     return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER)
 
 
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and class of every whole text; a null text is an empty one, equal texts score equally, a class alone or equal texts leave the prior."""
     docs = documents(spark, sf_dir)
     return rule_ensemble.classify(docs, rule_ensemble.train(docs, _labels(spark, sf_dir)))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, copies and links of every row; texts without a word and null texts are alone, a null id gets the class of its copies or null."""
     return ngram_join.Join(documents(spark, sf_dir)).membership()
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of what is left of every text; a null text has no words, a row without an id loses none, rows that repeat lose alike."""
     return substrings.digests(documents(spark, sf_dir))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and posterior of every whole text; `und` for null texts and those without a letter, and where nothing was learned."""
     docs = documents(spark, sf_dir)
     return language.identify(docs, language.train(docs))
 
