@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
 from tickloom.llm.skew import salted_join
-from tickloom.llm.textio import gram_starts, grams, hash_words, mix, per_text, split_words
+from tickloom.llm.textio import gram_starts, grams, hash_words, mix, per_text, release, split_words
 from tickloom.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -221,6 +221,7 @@ def _compare(groups: DataFrame, threshold: float, pairs: bool) -> DataFrame:
             number = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
             at = np.flatnonzero(number)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[_roots(len(nodes), i, j)][at]), pa.array(number[at])], names=["u", "v", "links"])
+        release()
 
     schema = "u long, v long, similarity double" if pairs else "u long, v long, links long"
     return groups.sortWithinPartitions("cluster", "low", "high").select("cluster", "low", "high", "node", "block", "signature", "shingles").mapInArrow(run, schema)
@@ -238,6 +239,7 @@ def _candidates(groups: DataFrame, threshold: float) -> DataFrame:
             moved = root != nodes
             if moved.any():
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(root[moved])], names=["u", "v"])
+        release()
 
     return groups.sortWithinPartitions("cluster", "low", "high").select("cluster", "low", "high", "node", "signature").mapInArrow(run, "u long, v long")
 

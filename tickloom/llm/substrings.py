@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.textio import Words, carried, column_names, grams, hash_words, mix, pieces, split_words
+from tickloom.llm.textio import carried, column_names, grams, hash_words, mix, pieces, release, split_words, Words
 from tickloom.session import cut_lineage
 
 LENGTH, K = 13, 5
@@ -187,6 +187,8 @@ def _marks(blocks: DataFrame, reducers: int, hot: bool) -> DataFrame:
                 found = [np.concatenate(x) for x in zip(*own)]
                 del own
                 yield from rows(*_told(found, block == PLAIN))
+                del found
+        release()
 
     found = _dealt(blocks, reducers).select("block", "hash", "context", "doc", "dkey", "pos").mapInArrow(run, "doc_id long, dkey long, pos int, kind byte" + ", hash long, context long" * hot)
     if not hot:
