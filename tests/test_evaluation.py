@@ -349,6 +349,34 @@ def test_big_orders_against_a_walk(spark):
         assert sum(w[2] for w in want.values()) > 3
 
 
+def affine(pdf):
+    return pdf[["a", "b"]].to_numpy(float)
+
+
+def after(x, y):
+    """x -> a x + b, and then the other: the order matters."""
+    return np.stack([x[..., 0] * y[..., 0], y[..., 0] * x[..., 1] + y[..., 1]], axis=-1)
+
+
+def test_ordered_fold_over_many_chunks(spark):
+    """A fold whose steps do not commute, on a key of many chunks, against the plain walk."""
+    from tickloom.operators.fold import Fold, check_associative, ordered_fold
+
+    fold = Fold(affine, after, lambda s, x: s[:, :1] * x[0] + s[:, 1:], (2.0,))
+    rng = np.random.default_rng(15)
+    pdf = pd.DataFrame({"key": np.repeat([1, 2], [700, 5]), "seq": [*range(1, 701), *range(1, 6)], "a": rng.uniform(-1, 1, 705), "b": rng.normal(size=705)})
+    pdf["chunk"] = (pdf["seq"] - 1) // 13
+    check_associative(fold, pdf.head(50))
+    with pytest.raises(ValueError):
+        check_associative(fold._replace(compose=lambda x, y: x - y), pdf.head(50))
+    got = ordered_fold(spark.createDataFrame(pdf).repartition(4), ["key"], fold, ["x"]).toPandas().set_index(["key", "seq"])
+    for key, own in pdf.groupby("key"):
+        x = 2.0
+        for r in own.itertuples():
+            before, x = x, r.a * x + r.b
+            assert got.loc[(key, r.seq), "x"] == pytest.approx(x) and got.loc[(key, r.seq), "prev_x"] == pytest.approx(before)
+
+
 def test_peak_of_changes_against_a_walk(spark):
     from tickloom.operators.sequence import peak_of_changes
 
