@@ -21,35 +21,37 @@ from tickloom.schema import ORDER_KEY, STOCK_DAY
 from tickloom.session import cut_lineage
 
 KEYS = [*STOCK_DAY, "event"]
+#: positions that are discounted together
+RUN = 256
 
 
 def decayed_sums_at_cuts(events: DataFrame, cuts: DataFrame, value: str, ratios: dict[str, float]) -> DataFrame:
     """``n``, ``x1``, ``x2`` and, per ratio r, ``sum r^(n - i) x_i`` over the events seen at each checkpoint.
 
-    ``events`` carry their position ``seq``.  Each segment is summed relative to its own end and
-    the few segments of a key are then discounted to the checkpoint.
+    ``events`` carry their position ``seq``. Runs of ``RUN`` positions of a segment are summed relative to the run's end, which
+    their number tells; runs are discounted to the segment's end and the few segments of a key to the checkpoint. No event meets another table.
     """
     seg = assign_segment(events.select(*STOCK_DAY, *ORDER_KEY, "seq", value), cuts)
-    ends = seg.groupBy(*STOCK_DAY, "_seg").agg(F.max("seq").alias("_end"))
-    joined = seg.join(ends, [*STOCK_DAY, "_seg"])
-    age = (F.col("_end") - F.col("seq")).cast("double")
-    x = F.col(value).cast("double")
-    part = joined.groupBy(*STOCK_DAY, "_seg", "_end").agg(
-        *[F.sum(F.pow(F.lit(r), age) * x).alias(k) for k, r in ratios.items()],
+    x, run = F.col(value).cast("double"), F.expr(f"(seq - 1) div {RUN}")
+    runs = seg.groupBy(*STOCK_DAY, "_seg", run.alias("_run")).agg(
+        F.max("seq").alias("_last"),
+        *[F.sum(F.pow(F.lit(r), ((run + 1) * RUN - F.col("seq")).cast("double")) * x).alias(k) for k, r in ratios.items()],
         F.max(F.when(F.col("seq") == 1, x)).alias("x1"),
         F.max(F.when(F.col("seq") == 2, x)).alias("x2"),
     )
+
+    def discounted(rows: DataFrame, keys: list[str], end: str, own_end: Column) -> DataFrame:
+        return rows.groupBy(*keys, end).agg(
+            *[F.sum(F.pow(F.lit(r), (F.col(end) - own_end).cast("double")) * F.col(k)).alias(k) for k, r in ratios.items()], F.max("x1").alias("x1"), F.max("x2").alias("x2")
+        )
+
+    in_segment = [*STOCK_DAY, "_seg"]
+    part = discounted(runs.withColumn("_end", F.max("_last").over(Window.partitionBy(*in_segment))), in_segment, "_end", (F.col("_run") + 1) * RUN)
     names = cuts.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("cut", "event"))).alias("_cuts"))
     spread = part.join(F.broadcast(names), "date").select(
         *STOCK_DAY, "_end", *ratios, "x1", "x2", F.explode(F.slice("_cuts", F.col("_seg") + 1, F.size("_cuts"))["event"]).alias("event")
     )
-    total = spread.groupBy(*KEYS).agg(F.max("_end").alias("n"))
-    left = (F.col("n") - F.col("_end")).cast("double")
-    return (
-        spread.join(total, KEYS)
-        .groupBy(*KEYS, "n")
-        .agg(*[F.sum(F.pow(F.lit(r), left) * F.col(k)).alias(k) for k, r in ratios.items()], F.max("x1").alias("x1"), F.max("x2").alias("x2"))
-    )
+    return discounted(spread.withColumn("n", F.max("_end").over(Window.partitionBy(*KEYS))), KEYS, "n", F.col("_end"))
 
 
 def seeded_ema(alpha: float, decayed: str, n: str = "n", first: str = "x1") -> Column:
