@@ -349,6 +349,21 @@ def test_big_orders_against_a_walk(spark):
         assert sum(w[2] for w in want.values()) > 3
 
 
+def test_parameter_neighbours_over_maps(spark):
+    """Any number of parameters; other key sets, equal definitions and two changes are no neighbours."""
+    from tickloom.plans.portrait import parameter_neighbours
+
+    rng = np.random.default_rng(16)
+    docs = [(f"c{i}", f"f{i % 2}", {f"p{k}": str(rng.integers(0, 2)) for k in range(6)}) for i in range(60)] + [("e1", "f0", {}), ("e2", "f0", {"p0": "1"}), ("e3", "f0", {"p0": "2"}), ("e4", "f0", {"q": "1"}), ("n", "f0", None)]
+    got = {tuple(r) for r in parameter_neighbours(spark.createDataFrame(docs, "id string, family string, parameters map<string,string>")).select("family", "changed", "a", "a_value", "b", "b_value").collect()}
+    want = set()
+    for a, f, x in docs:
+        for b, g, y in docs:
+            if f == g and x and y and x.keys() == y.keys() and len(d := [k for k in x if x[k] != y[k]]) == 1 and x[d[0]] < y[d[0]]:
+                want.add((f, d[0], a, x[d[0]], b, y[d[0]]))
+    assert got == want and ("f0", "p0", "e2", "1", "e3", "2") in got and len(got) > 10
+
+
 def affine(pdf):
     return pdf[["a", "b"]].to_numpy(float)
 

@@ -12,6 +12,7 @@ from tickloom.functions.scalar import quarter_bucket, r6, year_bucket
 from tickloom.operators.crosssection import correlation, tie_rank
 from tickloom.operators.series import rolling_mean, series_stats
 from tickloom.plans import validity as vd
+from tickloom.plans import portrait
 from tickloom.plans.portrait import portraits
 
 M = f"WITH {fx.METRICS_SQL}"
@@ -337,26 +338,18 @@ def ic_series_spearman(spark, sf_dir):
 
 @query(
     "parameter_neighbours",
-    """WITH c AS (SELECT p_partkey AS id, p_brand AS family, p_type AS shape, p_size AS size FROM part),
-n AS (SELECT family, shape, size, count(*) AS n FROM c GROUP BY ALL)
-SELECT a.family, a.shape AS a_shape, a.size AS a_size, b.shape AS b_shape, b.size AS b_size,
-  CASE WHEN a.shape <> b.shape THEN 'shape' ELSE 'size' END AS changed FROM n a JOIN n b ON a.family = b.family AND ((a.shape <> b.shape) <> (a.size <> b.size)) AND (a.shape, a.size) < (b.shape, b.size)""",
+    """WITH c AS (SELECT p_brand AS family, p_type AS shape, p_size::VARCHAR AS size, floor(p_retailprice / 200)::BIGINT::VARCHAR AS tier, min(p_partkey) AS id FROM part GROUP BY ALL),
+v AS (SELECT a.family, a.id AS x, b.id AS y, a.shape <> b.shape AS ds, a.size <> b.size AS dz, a.tier <> b.tier AS dt, a.shape AS s1, b.shape AS s2, a.size AS z1, b.size AS z2, a.tier AS t1, b.tier AS t2 FROM c a JOIN c b USING (family) WHERE ds::INT + dz::INT + dt::INT = 1)
+SELECT * FROM (SELECT family, CASE WHEN ds THEN 'shape' WHEN dz THEN 'size' ELSE 'tier' END AS changed, x AS a, CASE WHEN ds THEN s1 WHEN dz THEN z1 ELSE t1 END AS a_value, y AS b, CASE WHEN ds THEN s2 WHEN dz THEN z2 ELSE t2 END AS b_value FROM v) WHERE a_value < b_value""",
 )
 def parameter_neighbours(spark, sf_dir):
-    """Definitions of a family that differ in exactly one parameter.
-
-    Each definition is keyed once per left-out parameter, so neighbours meet on an equi-join.
-    """
-    d = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), F.col("p_type").alias("shape"), F.col("p_size").alias("size")).distinct()
-    out = None
-    for changed, same in (("shape", "size"), ("size", "shape")):
-        a = d.select("family", F.col(same).alias("same"), F.col(changed).alias("a"))
-        b = d.select("family", F.col(same).alias("same"), F.col(changed).alias("b"))
-        j = a.join(b, ["family", "same"]).filter("a < b")
-        cols = {changed: ("a", "b"), same: ("same", "same")}
-        part = j.select("family", *[F.col(cols[k][i]).alias(f"{side}_{k}") for i, side in enumerate("ab") for k in ("shape", "size")], F.lit(changed).alias("changed"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Definitions of a family that differ in exactly one of their parameters."""
+    p = fx.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("family"), F.col("p_type").alias("shape"), F.col("p_size").cast("string").alias("size"), F.floor(F.col("p_retailprice") / 200).cast("string").alias("tier"), "p_partkey"
+    )
+    d = p.groupBy("family", "shape", "size", "tier").agg(F.min("p_partkey").alias("id"))
+    names = ("shape", "size", "tier")
+    return portrait.parameter_neighbours(d.select("id", "family", F.create_map(*[c for n in names for c in (F.lit(n), F.col(n))]).alias("parameters")))
 
 
 def _portrait_sql() -> str:

@@ -34,3 +34,19 @@ def portraits(cells: DataFrame, slices: DataFrame, stability: DataFrame, anomali
     for part in (*parts, near.withColumn("nearest", F.slice("nearest", 1, NEIGHBOURS))):
         out = out.join(part, "factor", "left")
     return out
+
+
+def parameter_neighbours(definitions: DataFrame) -> DataFrame:
+    """Definitions (id, family, parameters as a map) of a family that have the same parameters and differ in the value of exactly one.
+
+    Each is keyed once for every parameter, by all others; so neighbours meet on an equi-join, however many parameters
+    there are, and no two that differ elsewhere. Returns family, changed, a, b (ids) and a_value, b_value, with
+    a_value before b_value. Equal definitions are no neighbours; one without parameters has none.
+    """
+    entries = F.array_sort(F.map_entries("parameters"))
+    keyed = definitions.select("family", "id", entries.alias("entries")).select("family", "id", "entries", F.explode("entries").alias("own"))
+    rest = F.to_json(F.filter("entries", lambda e: e["key"] != F.col("own.key")))
+    keyed = keyed.select("family", F.col("own.key").alias("changed"), rest.alias("rest"), "id", F.col("own.value").alias("value"))
+    meet = ["family", "changed", "rest"]
+    a, b = (keyed.select(*meet, F.col("id").alias(side), F.col("value").alias(f"{side}_value")) for side in "ab")
+    return a.join(b, meet).where("a_value < b_value").drop("rest")
