@@ -402,12 +402,15 @@ def test_peak_of_changes_against_a_walk(spark):
     assert got == {k: max(0, max(np.cumsum([d for g, _, d in sorted(rows, key=lambda r: r[1]) if g == k]))) for k in got} and set(got) == {r[0] for r in rows} and got[9] == 0
 
 
-def test_principal_component_matches_numpy():
+def test_principal_components_match_numpy():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(200, 4)) * np.array([5.0, 1.0, 0.5, 0.1])
-    got = ofi._power_iteration(len(x), x.sum(0), x.T @ x, x[-1])
-    top = np.linalg.eigh(np.cov(x.T))[1][:, -1]
-    assert abs(got) == pytest.approx(abs(top @ x[-1]), rel=1e-3)
+    x = np.stack([rng.normal(size=(300, 4)) @ np.linalg.qr(rng.normal(size=(4, 4)))[0] * np.array([5.0, 1.5, 0.5, 0.1]) for _ in range(5)])
+    n, sums, cross = np.array([300.0] * 4 + [1.0]), x.sum(1), np.einsum("nai,naj->nij", x, x)
+    got = ofi.projections(n, sums, cross, x[:, -1], k=3, steps=400, tol=0.0)
+    for m in range(4):
+        top = np.linalg.eigh(np.cov(x[m].T))[1][:, ::-1][:, :3]
+        assert np.abs(got[m]) == pytest.approx(np.abs(x[m, -1] @ top), rel=1e-6)
+    assert (got[4] == 0).all()
 
 
 def bars_of(spark, days):

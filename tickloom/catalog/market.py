@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom import fixtures as fx
 from tickloom.catalog import query
+from tickloom.catalog.book import OFI_CTE
 from tickloom.catalog.lifecycle import LIFE
 from tickloom.fixtures import r6s
 from tickloom.functions.scalar import r6
@@ -337,11 +338,35 @@ def ofi_status(spark, sf_dir):
     return ofi.status_at_cuts(states, cut_lineage(cuts))
 
 
-@query("ofi_principal_component")
+def _steps(q: int, source: str) -> str:
+    """At most thirty power steps from axis q on every covariance of ``source``, then what is left of it."""
+    axis = ", ".join("1.0" if i == q else "0.0" for i in range(1, 11))
+    return f"""z{q} AS (
+  SELECT date, symbol, event, n, x, cov, [{axis}]::DOUBLE[] AS v, 0.0::DOUBLE AS before, 0 AS k, false AS done FROM {source}
+  UNION ALL SELECT date, symbol, event, n, x, cov, CASE WHEN size > 0 THEN [a / size for a in av] ELSE av END, value, k + 1, abs(value - before) <= 1e-6 * greatest(1, abs(before))
+  FROM (SELECT *, list_dot_product(v, av) AS value, sqrt(list_dot_product(av, av)) AS size FROM (SELECT *, [list_dot_product(r, v) for r in cov] AS av FROM z{q} WHERE NOT done AND k < 30))),
+e{q} AS (SELECT *, list_dot_product(v, [list_dot_product(r, v) for r in cov]) AS explained FROM z{q} QUALIFY row_number() OVER (PARTITION BY date, symbol, event ORDER BY k DESC) = 1),
+m{q} AS (SELECT date, symbol, event, n, x, [[cov[i][j] - explained * v[i] * v[j] for j in range(1, 11)] for i in range(1, 11)] AS cov FROM e{q})"""
+
+
+_LEVELS = "[" + ", ".join(f"o{i} / avg_depth" for i in range(1, 11)) + "]"
+
+
+@query(
+    "ofi_principal_component",
+    f"""{W.replace("WITH ", "WITH RECURSIVE ", 1)},{OFI_CTE}, f AS (SELECT *, {_LEVELS}::DOUBLE[] AS o FROM ofi), {seen_sql("f")},
+t AS (SELECT date, symbol, event, count(*)::DOUBLE AS n, max(o) FILTER (WHERE rn = 1) AS x, [{", ".join(f"sum(o[{i}])" for i in range(1, 11))}] AS s,
+  [{", ".join("[" + ", ".join(f"sum(o[{i}] * o[{j}])" for j in range(1, 11)) + "]" for i in range(1, 11))}] AS c FROM seen GROUP BY ALL),
+b AS (SELECT date, symbol, event, n, x, [[(c[i][j] - s[i] * s[j] / greatest(n, 2)) / greatest(n - 1, 1) for j in range(1, 11)] for i in range(1, 11)] AS cov FROM t),
+{_steps(1, "b")}, {_steps(2, "m1")}
+SELECT e1.date, e1.symbol, e1.event, {r6s("CASE WHEN e1.n >= 2 AND e1.explained > 1e-9 * list_sum([e1.cov[i][i] for i in range(1, 11)]) THEN list_dot_product(e1.v, e1.x) ELSE 0 END")} AS ofi_pca,
+  {r6s("CASE WHEN e1.n >= 2 AND e2.explained > 1e-9 * list_sum([e1.cov[i][i] for i in range(1, 11)]) THEN list_dot_product(e2.v, e2.x) ELSE 0 END")} AS second FROM e1 JOIN e2 USING (date, symbol, event)""",
+)
 def ofi_principal_component(spark, sf_dir):
-    """Latest level-flow vector projected on its first principal component."""
+    """Latest level-flow vector projected on its first two principal components."""
     s, cuts = feed_setup(spark, sf_dir)
-    return rounded(ofi.pca_at_cuts(ofi.flow_series(s.quotes), cuts), ["ofi_pca"])
+    c = ofi.components_at_cuts(ofi.flow_series(s.quotes), cuts, 2)
+    return c.select(*KEYS, r6(F.element_at("components", 1)).alias("ofi_pca"), r6(F.element_at("components", 2)).alias("second"))
 
 
 @query("state_transitions")
