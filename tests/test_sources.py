@@ -82,3 +82,22 @@ def test_disjoint_dates_and_saved_events(spark):
     with pytest.raises(ValueError):
         panels.require_disjoint(a, a.unionByName(b), "date")
     assert [r.event for r in panels.save_times(a, [2]).collect()] == [2] and panels.save_times(a, None).count() == 2
+
+
+def test_incomplete_matrices_are_refused(spark):
+    rows = [(x, u, f, 0.1) for x in ("l1", "l2") for u in ("u1", "u2") for f in ("a", "b")]
+    df = lambda own: spark.createDataFrame(own, "label string, universe string, factor string, IC double")
+    labels, universes = ["l1", "l2"], ["u1", "u2"]
+    assert panels.require_complete(df(rows), labels, universes, 2).count() == 8
+    for own, n in ((rows[:-2], None), (rows[:-1], None), (rows, 3), ([], None)):
+        with pytest.raises(ValueError):
+            panels.require_complete(df(own), labels, universes, n)
+
+
+def test_coverage_counts_what_is_finite(spark):
+    rows = [("a", 0.1, 1.0), ("a", None, 2.0), ("a", float("nan"), 3.0), ("a", float("inf"), None), ("b", 0.5, 0.5)]
+    c = panels.metric_coverage(spark.createDataFrame(rows, "factor string, IC double, LS double"), ["factor"], ["IC", "LS"])
+    assert sorted(map(tuple, c.collect())) == [("a", 0.25, 0.75, 2, True), ("b", 1.0, 1.0, 0, False)]
+    with pytest.raises(ValueError):
+        panels.require_finite(c)
+    assert panels.require_finite(c.where("factor = 'b'")).count() == 1

@@ -118,14 +118,19 @@ def matrix_completeness(spark, sf_dir):
     return grid.join(m.select(*keys), keys, "left_anti").select(*keys)
 
 
+_METRICS = ("IC", "RankIC", "LS", "Monotonicity")
+
+
 @query(
     "metric_coverage_gate",
-    f"""{M} SELECT split, factor, universe, label, {r6s("count(IC) / count(*)")} AS coverage, count(IC) / count(*) < 0.95 AS below_gate FROM metrics GROUP BY ALL""",
+    f"""{M}, c AS (SELECT split, factor, universe, label, {", ".join(f"count(*) FILTER (isfinite({m})) / count(*) AS {m.lower()}" for m in _METRICS)}, CAST({" + ".join(f"count(*) FILTER (NOT isfinite({m}))" for m in _METRICS)} AS BIGINT) AS non_finite FROM metrics GROUP BY ALL)
+SELECT split, factor, universe, label, {", ".join(f"{r6s(m.lower())} AS coverage_{m}" for m in _METRICS)}, non_finite, least({", ".join(m.lower() for m in _METRICS)}) < 0.95 AS below_gate FROM c""",
 )
 def metric_coverage_gate(spark, sf_dir):
-    """Non-null share of a metric against the 95 % gate."""
-    share = F.count("IC") / F.count(F.lit(1))
-    return fx.metrics(spark, sf_dir).groupBy("split", "factor", "universe", "label").agg(r6(share).alias("coverage"), (share < 0.95).alias("below_gate"))
+    """Share of rows that have each metric, against the 95 % gate, and values that are not finite."""
+    keys = ["split", "factor", "universe", "label"]
+    c = pn.metric_coverage(fx.metrics(spark, sf_dir), keys, _METRICS)
+    return c.select(*keys, *[r6(F.col(f"coverage_{m}")).alias(f"coverage_{m}") for m in _METRICS], "non_finite", "below_gate")
 
 
 @query(
@@ -319,8 +324,9 @@ f AS (SELECT date, label, universe, count(*) AS factor_count FROM s GROUP BY ALL
 SELECT date, label, universe, factor, event_count, rank_ic_count, {r6s("a")} AS mean_rank_ic, {r6s("b")} AS mean_ic, {r6s("c")} AS mean_long_short, {r6s("d")} AS mean_monotonicity, factor_count FROM s JOIN f USING (date, label, universe)""",
 )
 def scorecard(spark, sf_dir):
-    """Single-date scorecard of every label, universe and factor, with the factor count of the combination."""
+    """Single-date scorecard of every label, universe and factor, with the factor count of the combination; an incomplete matrix is refused."""
     m = fx.metrics(spark, sf_dir)
+    m = pn.require_complete(m, pn.names_of(m, "label"), pn.names_of(m, "universe"))
     s = m.groupBy("date", "label", "universe", "factor").agg(
         F.count(F.lit(1)).alias("event_count"), F.count("RankIC").alias("rank_ic_count"),
         *[r6(F.avg(c)).alias(f"mean_{k}") for c, k in {"RankIC": "rank_ic", "IC": "ic", "LS": "long_short", "Monotonicity": "monotonicity"}.items()],

@@ -234,6 +234,44 @@ def require_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:
         raise ValueError(f"{key} lists overlap")
 
 
+def require_complete(metrics: DataFrame, labels: Sequence[str], universes: Sequence[str], n_factors: int | None = None) -> DataFrame:
+    """The rows of a scorecard's input, if every wanted label and universe has them for the very same factors.
+
+    Refuses a pair without rows, pairs that differ in their factors, and another number of factors than ``n_factors``.
+    One row for each pair comes to the driver.
+    """
+    wanted = {(x, u) for x in labels for u in universes}
+    sets = metrics.where(F.col("label").isin(*labels) & F.col("universe").isin(*universes)).groupBy("label", "universe")
+    mark = F.sha2(F.array_join(F.sort_array(F.collect_set(F.col("factor").cast("string"))), "\n"), 256)
+    found = {(r.label, r.universe): (r.mark, r.n) for r in sets.agg(mark.alias("mark"), F.countDistinct("factor").alias("n")).collect()}
+    if missing := sorted(wanted - found.keys()):
+        raise ValueError(f"no metrics for {missing}")
+    if len({m for m, _ in found.values()}) > 1:
+        raise ValueError("labels and universes differ in their factors")
+    if n_factors is not None and any(n != n_factors for _, n in found.values()):
+        raise ValueError(f"{n_factors} factors wanted")
+    return metrics
+
+
+def metric_coverage(metrics: DataFrame, keys: Sequence[str], names: Sequence[str], gate: float = 0.95) -> DataFrame:
+    """By key, the share of rows in which each metric is there, how many values are not finite, and whether any metric stays under the gate.
+
+    A value that is not finite is not there.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    odd = lambda c: F.col(c).isNotNull() & ~finite(c)
+    out = metrics.groupBy(*keys).agg(*[(F.count_if(finite(c)) / F.count(F.lit(1))).alias(f"coverage_{c}") for c in names], sum(F.count_if(odd(c)) for c in names).alias("non_finite"))
+    low = F.least(*[F.col(f"coverage_{c}") for c in names]) if len(names) > 1 else F.col(f"coverage_{names[0]}")
+    return out.withColumn("below_gate", low < gate)
+
+
+def require_finite(coverage: DataFrame) -> DataFrame:
+    """The result of ``metric_coverage``, unless some metric is not finite."""
+    if bad := coverage.where("non_finite > 0").limit(1).count():
+        raise ValueError(f"metrics that are not finite in {bad} or more cells")
+    return coverage
+
+
 def check_dates(dates: Sequence[str], frozen: Sequence[str]) -> None:
     """Eight digits, sorted, unique, inside the frozen list and before the holdout."""
     if not dates or list(dates) != sorted(set(dates)):
