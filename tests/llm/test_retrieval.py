@@ -150,6 +150,13 @@ def test_secrets_against_brute_force(spark, monkeypatch, tmp_path, hot, messy):
     assert got == collections.Counter((i, *brute_secrets(t)) for i, t in rows)
 
 
+def test_positions_are_counted_in_characters():
+    text = "é漢😀a" * 50
+    data = text.encode()
+    starts = [len(text[:i].encode()) for i in range(len(text) + 1)]
+    assert secret_ledger.characters_before(data, starts, 7) == {b: i for i, b in enumerate(starts)}
+
+
 def test_secrets_are_scanned_once(spark, tmp_path):
     """Copies, versions seen before and rules that have not changed are not scanned again."""
     prepare(spark)
