@@ -101,3 +101,16 @@ def test_coverage_counts_what_is_finite(spark):
     with pytest.raises(ValueError):
         panels.require_finite(c)
     assert panels.require_finite(c.where("factor = 'b'")).count() == 1
+
+
+def test_coverage_after_the_warm_up(spark):
+    """Warm-up rows neither cover nor lower the coverage; a column that is constant with them is constant."""
+    rows = [(i, None if i < 3 else float(i), True, 5.0 if i < 9 else None, True) for i in range(10)]
+    df = spark.createDataFrame(rows, "at int, a double, ready_a boolean, b double, ready_b boolean").withColumn("g", F.lit(1))
+    got = {r.factor: r for r in panels.column_quality(df, ["a", "b"], ["g"], warm_up=F.col("at") < 3).collect()}
+    assert (got["a"].row_count, got["a"].finite_count, got["a"].coverage, got["a"].unique_count, got["a"].status) == (10, 7, 1.0, 7, "technical_pass")
+    assert got["b"].coverage == pytest.approx(6 / 7) and "constant_column" in got["b"].reject_reasons and got["b"].zero_count == 0
+    plain = {r.factor: r for r in panels.column_quality(df, ["a"], ["g"]).collect()}
+    assert plain["a"].coverage == 0.7 and "post_warmup_coverage_below_threshold" in plain["a"].reject_reasons
+    nothing = panels.column_quality(df, ["a"], ["g"], warm_up=F.lit(True)).first()
+    assert nothing.coverage == 0.0 and nothing.status == "technical_reject"

@@ -282,30 +282,36 @@ def check_dates(dates: Sequence[str], frozen: Sequence[str]) -> None:
 
 
 def column_quality(
-    panel: DataFrame, factors: Sequence[str], group: Sequence[str], min_coverage: float = 0.8, min_std: float = 0.0, min_unique: int = 2, min_nonzero: float = 0.0
-) -> DataFrame:
-    """Technical acceptance of every factor column of every group, with the list of reject reasons."""
+    panel: DataFrame, factors: Sequence[str], group: Sequence[str], min_coverage: float = 0.8, min_std: float = 0.0, min_unique: int = 2, min_nonzero: float = 0.0,
+    warm_up: Column | None = None,
+) -> DataFrame:
+    """Technical acceptance of every factor column of every group, with the list of reject reasons.
+
+    Rows where ``warm_up`` is true count as rows and for a constant column, but not for coverage and what follows from it; a group that
+    has no others is not covered.
+    """
     cells = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x"), F.col(f"ready_{f}").alias("ready")) for f in factors])
-    long = panel.select(*group, F.explode(cells).alias("_c")).select(*group, "_c.*")
+    warm = F.lit(False) if warm_up is None else F.coalesce(warm_up, F.lit(False))
+    long = panel.select(*group, warm.alias("_warm"), F.explode(cells).alias("_c")).select(*group, "_warm", "_c.*")
     ok = F.col("ready") & finite(F.col("x"))
-    v = F.when(ok, F.col("x"))
-    n = F.count(F.lit(1))
+    any_, v = F.when(ok, F.col("x")), F.when(ok & ~F.col("_warm"), F.col("x"))
+    n, after = F.count(F.lit(1)), F.count_if(~F.col("_warm"))
     q = long.groupBy(*group, "factor").agg(
-        n.alias("row_count"), F.count(v).alias("finite_count"), F.count_if("ready").alias("ready_count"),
+        n.alias("row_count"), F.count(any_).alias("finite_count"), (F.min(any_) == F.max(any_)).alias("_constant"), F.count_if("ready").alias("ready_count"),
         F.count_if(~F.col("ready")).alias("not_ready_count"), F.count_if(~F.col("ready") & (F.col("x") == 0)).alias("not_ready_zero_count"),
-        F.count_if(F.isnan("x")).alias("nan_count"), F.count_if(F.abs("x") == float("inf")).alias("inf_count"), F.count_if(v == 0).alias("zero_count"),
-        (F.count(v) / n).alias("coverage"), F.stddev_pop(v).alias("cross_section_std"), F.count_distinct(v).alias("unique_count"),
+        F.count_if(F.isnan("x")).alias("nan_count"), F.count_if(F.abs("x") == float("inf")).alias("inf_count"), F.count_if(any_ == 0).alias("zero_count"),
+        F.coalesce(F.count(v) / F.nullif(after, F.lit(0)), F.lit(0.0)).alias("coverage"), F.stddev_pop(v).alias("cross_section_std"), F.count_distinct(v).alias("unique_count"),
         F.coalesce(F.avg(F.when(v != 0, 1.0).when(v.isNotNull(), 0.0)), F.lit(0.0)).alias("nonzero_ratio"),
     )
     reasons = [
         (F.col("coverage") < min_coverage, "post_warmup_coverage_below_threshold"),
-        ((F.col("finite_count") >= 2) & (F.col("unique_count") == 1), "constant_column"),
+        ((F.col("finite_count") >= 2) & F.col("_constant"), "constant_column"),
         (F.col("cross_section_std").isNull() | (F.col("cross_section_std") < min_std), "cross_section_std_below_threshold"),
         (F.col("unique_count") < min_unique, "cross_section_unique_count_below_threshold"),
         (F.col("nonzero_ratio") < min_nonzero, "cross_section_nonzero_ratio_below_threshold"),
         (F.col("unique_count") < min_unique, "cross_section_effective_rank_count_below_threshold"),
     ]
-    q = q.withColumn("reject_reasons", F.array_compact(F.array(*[F.when(c, r) for c, r in reasons])))
+    q = q.withColumn("reject_reasons", F.array_compact(F.array(*[F.when(c, r) for c, r in reasons]))).drop("_constant")
     return q.withColumn("status", F.when(F.size("reject_reasons") > 0, "technical_reject").otherwise("technical_pass"))
 
 
