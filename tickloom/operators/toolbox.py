@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import moments
 from tickloom.functions.scalar import marketable, touch_distance
 from tickloom.operators.cuts import as_of_quote, assign_segment, last_at_cuts, window_at_cuts
-from tickloom.operators.sequence import BLOCK_US, carry_forward, frame, islands, last_rows, number_rows, overlapping_chunks, previous, running
+from tickloom.operators.sequence import BLOCK_US, carry_forward, crowded, frame, islands, last_rows, number_rows, overlapping_chunks, previous, running
 from tickloom.schema import ORDER_KEY, STOCK_DAY
 from tickloom.session import cut_lineage
 
@@ -202,13 +202,19 @@ def span_reference(events: DataFrame, value: str, width_ms: int) -> DataFrame:
     """Add ref_n, ref_mean and ref_std: the ``width_ms`` that end with the event before, as arrivals tell the time.
 
     The event before belongs to its span, one exactly ``width_ms`` older does not. The span is a difference of two
-    prefix sums: each event asks for the prefix at the moment its span begins, and finds it in the
-    union of events and questions, by blocks. So no frame has to be held, however many events a minute has. ``value`` is a whole number.
+    prefix sums. Where no key is crowded both are growing frames of one window; else each event asks for the prefix at the
+    moment its span begins, and finds it in the union of events and questions, by blocks. So no frame has to be held,
+    however many events a minute has. ``value`` is a whole number.
     """
     x = F.col(value).cast("decimal(38,0)")
     names = events.columns
     sums = {"_n": ("sum", F.lit(1).cast("decimal(38,0)")), "_s1": ("sum", x), "_s2": ("sum", x * x)}
-    rows = running(events, STOCK_DAY, sums).withColumn("_ms", F.floor(F.col("local_us") / 1000).cast("bigint"))
+    crowd = crowded(events, STOCK_DAY)
+    rows = running(events, STOCK_DAY, sums, crowd=crowd).withColumn("_ms", F.floor(F.col("local_us") / 1000).cast("bigint"))
+    if not crowd:
+        left = Window.partitionBy(*STOCK_DAY).orderBy("_ms").rangeBetween(Window.unboundedPreceding, -width_ms)
+        inside = {k: F.col(k) - F.coalesce(F.sum(e).over(left), F.lit(0)) for k, (_, e) in sums.items()}
+        return _span_moments(rows.select(*names, *[e.cast("decimal(38,0)").alias(f"_w{k}") for k, e in inside.items()]), names, list(sums), crowd)
     rows = rows.withColumns({f"_a{k}": F.col(k) for k in ORDER_KEY} | {"_asks": F.lit(0)})
     known = rows.select(*STOCK_DAY, "_ms", "_asks", *[f"_a{k}" for k in ORDER_KEY], F.struct(*sums).alias("_at"))
     # a question stands behind all events of its millisecond: those have left the span
@@ -217,7 +223,12 @@ def span_reference(events: DataFrame, value: str, width_ms: int) -> DataFrame:
     met = carry_forward(asked.unionByName(known, allowMissingColumns=True), STOCK_DAY, F.col("_at"), "_gone", order, F.expr(f"_ms div {BLOCK_US // 1000}"))
     inside = {k: F.col(k) - F.coalesce(F.col(f"_gone.{k}"), F.lit(0)) for k in sums}
     spans = met.filter("_asks = 1").select(*names, *[e.cast("decimal(38,0)").alias(f"_w{k}") for k, e in inside.items()])
-    spans = previous(spans, STOCK_DAY, {f"_w{k}": f"_p{k}" for k in sums})
+    return _span_moments(spans, names, list(sums), crowd)
+
+
+def _span_moments(spans: DataFrame, names: list[str], sums: list[str], crowd: list) -> DataFrame:
+    """Count, mean and deviation that the event before had in its span."""
+    spans = previous(spans, STOCK_DAY, {f"_w{k}": f"_p{k}" for k in sums}, crowd=crowd)
     n, s1, s2 = (F.coalesce(F.col(f"_p{k}"), F.lit(0)).cast("decimal(19,0)") for k in sums)
     spread = (n * s2 - s1 * s1).cast("double") / F.nullif((n * (n - 1)).cast("double"), F.lit(0.0))
     return spans.select(*names, n.cast("bigint").alias("ref_n"), (s1.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))).alias("ref_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("ref_std"))
