@@ -89,9 +89,9 @@ ofi AS (SELECT date, symbol, local_us, exch_ms, channel, serial, bp, ap, {", ".j
 )
 def order_flow_imbalance(spark, sf_dir):
     """Per-level order-flow imbalance against the previous snapshot, level 1 and depth-normalised sum."""
-    q = fx.quotes(spark, sf_dir).withColumn("book", F.struct("bp", "bv", "ap", "av"))
-    j = previous(q, ["date", "symbol"], {"book": "before"}).filter(F.col("before").isNotNull())
-    flows = bk.level_flow(("bp", "bv", "ap", "av"), F.col("before"))
+    sides = ("bp", "bv", "ap", "av")
+    j = previous(fx.quotes(spark, sf_dir), ["date", "symbol"], {c: f"before_{c}" for c in (*sides, "serial")}).filter(F.col("before_serial").isNotNull())
+    flows = bk.level_flow(sides, F.struct(*[F.col(f"before_{c}").alias(c) for c in sides]))
     total = flows[0]
     for f in flows[1:]:
         total = total + f
