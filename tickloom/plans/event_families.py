@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from tickloom.functions import book
 from tickloom.functions.scalar import clip, signed_volume, valid_trade
 from tickloom.operators.cuts import last_at_cuts, latest_at_cuts, totals_at_cuts
+from tickloom.operators.sequence import crowded
 from tickloom.plans.registry import KEYS, Streams, factor_family, with_readiness
-from tickloom.schema import REASON
+from tickloom.schema import REASON, STOCK_DAY
 
 #: longest window plus its lag
 HISTORY = 130
@@ -292,7 +293,7 @@ def _resilience(streams: Streams, cuts: DataFrame, table: list[tuple]) -> DataFr
     ).withColumn("l5", F.when(F.col("l5") > 0, F.col("l5")).otherwise(F.col("l1")))
     valid = depth.filter("l1 > 0")
     # bounded: at most HISTORY rows per key reach the array
-    recent = last_at_cuts(valid, cuts, HISTORY, ["l1", "l5"])
+    recent = last_at_cuts(valid, cuts, HISTORY, ["l1", "l5"], crowd=crowded(streams.quotes, STOCK_DAY))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("pos"), "l1", "l5")))
     series = recent.groupBy(*KEYS).agg(rows.alias("_rows"))
     current = latest_at_cuts(depth, cuts, ["l1"]).select(*KEYS, (F.col("l1") > 0).alias("_valid"))
