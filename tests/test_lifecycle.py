@@ -179,3 +179,22 @@ def test_snapshots_do_not_see_what_comes_later(spark):
         p = lc.pair_snapshots(r["pairs"], r["events"]).filter("serial = 1").first()
         seen.append((tuple(p.buy), tuple(p.sell), p.resolved_ms))
     assert seen[0] == seen[1] == ((1000, 100, 0, 0, 900), (500, 0, 100, 0, 400), OPEN + 1000)
+
+
+def windows_planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+
+
+@pytest.mark.parametrize("name", ["replay_audit", "trade_pairs", "pair_mismatch"])
+def test_orders_are_reconstructed_once(spark, name):
+    import __spark_entry__ as e
+
+    once = windows_planned(lc.order_states(lc.order_legs(*(f(spark, "/root/testdata/sf0.001") for f in (fx.lifecycle_trades, fx.lifecycle_orders)))))
+    # what is left works on written parents and states
+    assert 1 <= once <= 5 and windows_planned(e.queries()[name](spark, "/root/testdata/sf0.001")) <= 5
+
+
+def test_results_count_the_legs_of_parents_that_never_confirm(spark):
+    _, r = run(spark, [], [trade(49, 20001, 9101, "B", 300, 200, OPEN)])
+    got = {x.order_id: (x.confirmed, x.legs, x.late_legs) for x in lc.order_results(r["states"]).collect()}
+    assert got == {20001: (True, 1, 0), 9101: (False, 1, 0)}
