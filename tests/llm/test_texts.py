@@ -78,6 +78,13 @@ def test_byte_bpe(messy, nothing, codec):
     assert byte_bpe.round_trip(nothing, queries.BYTE_RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_short_pieces_merge_as_long_ones_do(codec, monkeypatch):
+    pieces = [b"", b"a", b"aaaa", b"internationalisation", "éèê ñandú".encode(), bytes(range(256))[100:148], b"ab" * 24, b"\xff\xfe the"]
+    short = [byte_bpe._merge_short(p, codec.ranks) for p in pieces]
+    monkeypatch.setattr(byte_bpe, "SHORT", -1)
+    assert short == [byte_bpe.merge(p, codec.ranks) for p in pieces]
+
+
 def test_merge_against_library(codec):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = np.random.default_rng(3)

@@ -3,7 +3,8 @@
 A text is split by the published pattern and each match is looked up in two tiers. A minimal perfect hash over the
 vocabulary (hash and displace) resolves pre-tokens that are vocabulary entries, with one probe and one comparison.
 Others are merged with a heap over linked bytes: the pair of the lowest rank, leftmost first, is taken from the heap
-and its neighbours are ranked anew, in n log n steps. Pre-tokens never cross texts, so nothing is shuffled.
+and its neighbours are ranked anew, in n log n steps. The heap of a piece of at most ``SHORT`` bytes is a flat list whose
+least entry is looked up: it has no links to keep. Pre-tokens never cross texts, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tickloom.llm.textio import once, per_text
 from tickloom.llm.token_counts import Cache
 
 CACHE_SIZE = 300_000
+#: bytes of a piece whose pairs are scanned for the least one
+SHORT = 48
 #: vocabulary entries per bucket of the perfect hash
 BUCKET = 4
 
@@ -81,6 +84,8 @@ def _halves(key: bytes) -> tuple[int, int]:
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of the piece: always the pair of adjacent parts with the lowest rank is joined, the leftmost of equals."""
     n = len(piece)
+    if n <= SHORT:
+        return _merge_short(piece, ranks)
     end = list(range(1, n + 1))  # of the part that starts here
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -104,6 +109,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+_NO_RANK = 1 << 62
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """``merge`` on lists of the parts' borders and of the ranks of neighbours; the first of the least ranks is the leftmost."""
+    n, rank = len(piece), ranks.get
+    borders = list(range(n + 1))
+    pairs = [rank(piece[i : i + 2], _NO_RANK) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) != _NO_RANK:
+        i = pairs.index(least)
+        del borders[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(piece[borders[i] : borders[i + 2]], _NO_RANK)
+        if i:
+            pairs[i - 1] = rank(piece[borders[i - 1] : borders[i + 1]], _NO_RANK)
+    return [ranks[piece[a:b]] for a, b in zip(borders, borders[1:])]
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
