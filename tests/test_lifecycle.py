@@ -185,7 +185,7 @@ def windows_planned(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
 
 
-@pytest.mark.parametrize("name", ["replay_audit", "trade_pairs", "pair_mismatch"])
+@pytest.mark.parametrize("name", ["replay_audit", "trade_pairs", "pair_mismatch", "execution_shocks"])
 def test_orders_are_reconstructed_once(spark, name):
     import __spark_entry__ as e
 
