@@ -57,3 +57,11 @@ def test_the_prices_read_each_stream_once(spark, tmp_path):
     cuts = cuts_of(spark, [(300_000_000, 0, 0, 0), (10**12, 0, 0, 0)])
     out = prices(Streams(df, df, df), cuts)
     assert reads(out) == 3 and out.filter("quote_count > 0 AND last_trade_time >= 0 AND last_price > 0").count() == out.count() == 4
+
+
+def test_the_commitment_reads_its_events_once(spark, tmp_path):
+    from tickloom.plans.order_flow_family import commitment
+
+    cols = {"order_id": "serial", "estimated": "false", "original": "v", "event_ms": "local_us div 1000", "rest": "v", "side": "int(v % 2)"}
+    df = market(spark, tmp_path).selectExpr("*", "v AS order_price", *[f"{e} AS {n}" for n, e in cols.items()])
+    assert reads(commitment(df, df, cuts_of(spark, [(10**12, 0, 0, 0)]))) == 2
