@@ -65,3 +65,21 @@ def test_the_commitment_reads_its_events_once(spark, tmp_path):
     cols = {"order_id": "serial", "estimated": "false", "original": "v", "event_ms": "local_us div 1000", "rest": "v", "side": "int(v % 2)"}
     df = market(spark, tmp_path).selectExpr("*", "v AS order_price", *[f"{e} AS {n}" for n, e in cols.items()])
     assert reads(commitment(df, df, cuts_of(spark, [(10**12, 0, 0, 0)]))) == 2
+
+
+@pytest.mark.parametrize("crowd", [10, 10**6])
+def test_bars_do_not_depend_on_the_crowd(spark, monkeypatch, crowd):
+    from tickloom.operators.bars import closing_bars
+
+    monkeypatch.setattr(seq, "CROWD", crowd)
+    df = ticks(spark)[0].selectExpr("*", "v AS price", *[f"serial AS {c}" for c in ("total_volume", "total_turnover", "open_interest", "upper_limit", "lower_limit")])
+    out = closing_bars(df, 3)
+    windows = len(re.findall(r"\bWindow \[", plan(out)))
+    assert (windows == 0) == (crowd == 10**6)
+    bars = [tuple(r) for r in out.orderBy("symbol", "bar").collect()]
+    for symbol in (1, 2):
+        own = [b for b in bars if b[1] == symbol]
+        assert [b[2] for b in own] == list(range(len(own))) and own
+    if crowd == 10:
+        monkeypatch.setattr(seq, "CROWD", 10**6)
+        assert bars == [tuple(r) for r in closing_bars(df, 3).orderBy("symbol", "bar").collect()]
