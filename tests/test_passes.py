@@ -83,3 +83,17 @@ def test_bars_do_not_depend_on_the_crowd(spark, monkeypatch, crowd):
     if crowd == 10:
         monkeypatch.setattr(seq, "CROWD", 10**6)
         assert bars == [tuple(r) for r in closing_bars(df, 3).orderBy("symbol", "bar").collect()]
+
+
+def test_macd_reads_its_events_once(spark, tmp_path):
+    from tickloom.operators.toolbox import macd_at_cuts
+
+    df = seq.number_rows(market(spark, tmp_path), ["date", "symbol"])
+    out = macd_at_cuts(df, cuts_of(spark, [(10**12, 0, 0, 0)]), "v")
+    assert reads(out) == 1
+    for row in out.collect():
+        x = [r["v"] for r in df.filter(F.col("symbol") == row["symbol"]).orderBy("seq").collect()]
+        velocity = x[1] - x[0]
+        for i in range(2, len(x)):
+            velocity = 0.2 * (x[i] - x[i - 1]) + 0.8 * velocity
+        assert np.isclose(row["smoothed_velocity"], velocity)
