@@ -97,3 +97,11 @@ def test_macd_reads_its_events_once(spark, tmp_path):
         for i in range(2, len(x)):
             velocity = 0.2 * (x[i] - x[i - 1]) + 0.8 * velocity
         assert np.isclose(row["smoothed_velocity"], velocity)
+
+
+def test_the_book_family_reads_its_quotes_once(spark, tmp_path):
+    from tickloom.plans.event_families import book_imbalance
+    from tickloom.plans.registry import Streams
+
+    df = market(spark, tmp_path)
+    assert reads(book_imbalance(Streams(df, df, df), cuts_of(spark, [(10**12, 0, 0, 0)]))) == 1

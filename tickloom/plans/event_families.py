@@ -16,7 +16,7 @@ from tickloom.functions.scalar import clip, signed_volume, valid_trade
 from tickloom.operators.cuts import last_at_cuts, latest_at_cuts, totals_at_cuts
 from tickloom.operators.sequence import crowded
 from tickloom.plans.registry import KEYS, Streams, factor_family, with_readiness
-from tickloom.schema import REASON, STOCK_DAY
+from tickloom.schema import ORDER_KEY, REASON, STOCK_DAY
 
 #: longest window plus its lag
 HISTORY = 130
@@ -218,11 +218,12 @@ def combine_signal(raw: Column, window: int, variant: int, lag: int, op: str, co
 @factor_family("book_imbalance", _names(BOOK), inputs=("quotes",))
 def book_imbalance(streams: Streams, cuts: DataFrame) -> DataFrame:
     """Depth, microprice and spread-conditioned imbalance of the latest book."""
-    latest = latest_at_cuts(streams.quotes, cuts, ["bp", "bv", "ap", "av"])
-    counts = totals_at_cuts(streams.quotes, cuts, {"_count": ("sum", F.lit(1).cast("bigint"))})
     raw = {f"_{k}": e for k, e in book_signals().items()}
-    latest = book.with_side_depths(latest, BOOK_VARIANTS)
-    base = latest.join(counts, KEYS).select(*KEYS, "_count", book.valid_touch().alias("_ok"), *[e.alias(k) for k, e in raw.items()])
+    # one pass for the book and its count; the arrival key leads the row, so that the largest is the latest
+    levels = ["bp", "bv", "ap", "av"]
+    seen = totals_at_cuts(streams.quotes, cuts, {"_row": ("max", F.struct(*ORDER_KEY, *levels)), "_count": ("sum", F.lit(1).cast("bigint"))})
+    latest = book.with_side_depths(seen.select(*KEYS, "_count", *[F.col("_row")[c].alias(c) for c in levels]), BOOK_VARIANTS)
+    base = latest.select(*KEYS, "_count", book.valid_touch().alias("_ok"), *[e.alias(k) for k, e in raw.items()])
     values = [
         combine_signal(F.col("_micro" if k == "micro" else f"_{k}{v}"), w, v, lag, op, F.col("_count")).alias(n)
         for n, k, w, v, lag, op in BOOK
