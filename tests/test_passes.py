@@ -105,3 +105,15 @@ def test_the_book_family_reads_its_quotes_once(spark, tmp_path):
 
     df = market(spark, tmp_path)
     assert reads(book_imbalance(Streams(df, df, df), cuts_of(spark, [(10**12, 0, 0, 0)]))) == 1
+
+
+@pytest.mark.parametrize("marked", [False, True])
+def test_events_of_written_states_need_no_window(spark, marked):
+    names = ["date", "symbol", "order_id", *ORDER_KEY, "market", "kind", "qty", "amount", "biz_index", "side", "price"]
+    rows = [("d", 1, 1, i, i, 0, i, 48, k, q, 0, i, 0, 10, k == "F") for i, (k, q) in enumerate([("A", 10), ("F", 4), ("F", 6)])]
+    legs = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n in ('date', 'kind') else 'int' if n in ('side', 'market') else 'bigint'}" for n in names) + ", incoming boolean")
+    states = lc.order_states(legs)
+    states = lc.written(lc.with_first_leg(states)) if marked else states
+    events = lc.lifecycle_events(states)
+    assert sorted(r["event"] for r in events.collect()) == ["Closed", "Confirmed", "RestQtyChanged"]
+    assert ("Window [" in plan(events)) != marked
