@@ -168,6 +168,35 @@ def test_a_bucket_moves_all_its_orders_at_once():
     assert (whole.orders == single.orders).all() and (whole.orders["rest"] == 0).all()
 
 
+def test_legs_reach_the_buckets_packed(spark):
+    """A bucket gets a row for many legs, and all of them; a chunk ends a row, nulls of a symbol stay apart."""
+    n = 3000
+    legs = spark.range(0, n, 1, 2).select(
+        F.lit(DAY).alias("date"), F.when(F.col("id") % 10 > 0, F.col("id") % 2).alias("symbol"), F.col("id").alias("event_ms"),
+        *[(F.col("id") % 2 == 0 if sl.LEG_T[c] == bool else F.col("id") if sl.LEG_T[c].itemsize == 8 else F.lit(1)).alias(c) for c in sl.LEG_T.names],
+    )
+    for chunk, most in ((n, 2 * 3 * 4), (100, 30 * 3 * 4)):
+        rows = sl.pack(legs, sl.LEG_T, 4, "order_id", chunk=chunk).collect()
+        told = {(r.stock, int(i), bool(i % 2 == 0) == bool(f)) for r in rows for i, f in zip(*(np.frombuffer(r.packed, sl.LEG_T)[c] for c in ("order_id", "incoming")))}
+        assert told == {("" if i % 10 == 0 else str(i % 2), i, True) for i in range(n)} and len(rows) <= most
+        assert all(np.frombuffer(r.packed, sl.LEG_T)["order_id"].max() == r.event_ms for r in rows)
+        assert len(rows) < n / 2
+
+
+def test_only_the_events_asked_for_leave_a_bucket():
+    """Closed orders alone are a part of what the bucket says, its state is the same."""
+    legs = np.zeros(3, sl.LEG_T)
+    legs["local_us"], legs["serial"], legs["order_id"], legs["market"], legs["qty"] = OPEN * 1000, [1, 2, 3], 7, 48, [30, 10, 20]
+    legs["kind"] = [sl.ADD, sl.FILL, sl.FILL]
+    seen = []
+    for wanted in (None, [sl.SHUT]):
+        b = sl.Bucket()
+        b.advance(legs)
+        seen.append((b.frame(DAY, SYM, wanted), b.packed()))
+    (whole, kept), (closed, same) = seen
+    assert kept == same and len(whole) == 3 and closed.equals(whole[whole["event"] == sl.SHUT].reset_index(drop=True)) and len(closed) == 1
+
+
 def test_snapshots_do_not_see_what_comes_later(spark):
     """Fills after a pair was resolved leave its parents as they stood."""
     orders = [sz_order(1, "B", 1000, OPEN), sz_order(2, "S", 500, OPEN)]

@@ -65,11 +65,11 @@ def live_bars(spark, sf_dir):
     return bars.select("date", "symbol", F.unix_millis("bar_start").alias("bar_ms"), "open", "high", "low", "close", "volume", "ticks")
 
 
-def live_events(spark, sf_dir):
-    """What the stateful stream says of the stand-in's orders."""
+def live_events(spark, sf_dir, events=None):
+    """What the stateful stream says of the stand-in's orders; ``events`` names what is asked for, else all."""
     reader = _StreamReader(spark, spark)
     beat = heartbeats(spark, fx.lifecycle_orders(spark, sf_dir))
-    return finish(sl.lifecycle_stream(fx.lifecycle_trades(reader, sf_dir), fx.lifecycle_orders(reader, sf_dir), beat), spark)
+    return finish(sl.lifecycle_stream(fx.lifecycle_trades(reader, sf_dir), fx.lifecycle_orders(reader, sf_dir), beat, events=events), spark)
 
 
 @query(
@@ -78,7 +78,7 @@ def live_events(spark, sf_dir):
 )
 def live_parent_orders(spark, sf_dir):
     """Closed parent orders of the stateful stream; a heartbeat ends every session."""
-    closed = live_events(spark, sf_dir).filter("event = 'Closed'")
+    closed = live_events(spark, sf_dir, ["Closed"])
     return closed.select("date", "symbol", "order_id", "side", "original", "immediate", "passive", "cancelled", "estimated", "close_reason")
 
 

@@ -8,6 +8,11 @@ Shanghai order is the batch rule (the arrival clock has passed the latest event
 timer at the earliest deadline of the bucket applies it when no later record arrives, and a last one closes what is
 left at the end of the session.
 
+PySpark hands a stateful operator its rows one by one, at some tens of microseconds each. So a task packs what it has read
+of a bucket into one value of fixed-size records before the shuffle, some hundreds of thousands of rows at a time, and
+the operator gets a row for many legs. A packed row has the latest event time of its legs: one that is late beside others that
+are not is still taken, as the batch rule takes it; a row that is late as a whole is dropped by Spark.
+
 A fill whose trade names both parents leaves the bucket once its own parent is known. A second operator, over buckets
 of trades, holds such halves until both are there. Both parents as they stood then come from the events that have
 left by that time.
@@ -16,10 +21,11 @@ left by that time.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,6 +36,9 @@ from tickloom.schema import ORDER_KEY
 
 #: groups that the orders, or trades, of a stock-day are dealt over
 BUCKETS = 32
+#: rows that a task packs at once
+CHUNK = 1 << 18
+DEALT, GROUP = ["date", "symbol", "bucket"], ["date", "stock", "bucket"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 EVENTS = (
@@ -240,30 +249,76 @@ class Bucket:
                 out[name] = key[name]
         self.out.append(out)
 
-    def frame(self, date: str, symbol: str) -> pd.DataFrame | None:
-        """What has been emitted since, as rows of EVENTS."""
-        if not self.out:
-            return None
-        e = np.concatenate(self.out)
+    def frame(self, date: str, symbol: str, wanted: Sequence[int] | None = None) -> pd.DataFrame | None:
+        """What has been emitted since, as rows of EVENTS with codes for names and reasons; ``wanted`` are codes of events, else all."""
+        parts = self.out if wanted is None else [e[np.isin(e["event"], wanted)] for e in self.out]
         self.out = []
-        columns = {"date": date, "symbol": symbol, "order_id": e["order_id"], "event_ms": e["event_ms"], "event": NAMES[e["event"]], "close_reason": REASONS[e["reason"]], "side": e["side"].astype(np.int32)}
+        if not sum(map(len, parts)):
+            return None
+        e = np.concatenate(parts)
+        columns = {"date": date, "symbol": symbol, "order_id": e["order_id"], "event_ms": e["event_ms"], "event": e["event"].astype(np.int32), "close_reason": e["reason"].astype(np.int32), "side": e["side"].astype(np.int32)}
         columns |= {q: e[q] for q in _QUANTITIES} | {"estimated": e["estimated"], "delta": e["delta"], "at_confirmation": e["born"]} | {c: e[c] for c in ORDER_KEY}
         return pd.DataFrame(columns, index=range(len(e)))
 
 
-def _legs(rows: Iterator[pd.DataFrame]) -> np.ndarray:
-    parts = []
-    for pdf in rows:
-        own = np.zeros(len(pdf), LEG_T)
-        for name in ("order_id", "market", "qty", "side", "incoming", "paired", *ORDER_KEY):
-            own[name] = pdf[name].to_numpy()
-        own["biz"], own["kind"] = pdf["biz_index"].to_numpy(), pdf["kind"].map(KINDS).to_numpy()
-        parts.append(own)
-    return np.concatenate(parts) if parts else np.zeros(0, LEG_T)
+def _pack(batches: Iterator[pa.RecordBatch], record: np.dtype, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT, ``event_ms`` and the fields of ``record`` to one row for each bucket in a chunk."""
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        code = np.zeros(len(table), np.int64)
+        for name in DEALT:
+            known = table[name].combine_chunks().dictionary_encode("encode")  # nulls are a value of their own
+            code = code * len(known.dictionary) + known.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        own = np.zeros(len(order), record)
+        for name in record.names:
+            own[name] = table[name].fill_null(False if record[name] == bool else 0).to_numpy()[order]
+        ends = (np.append(first, len(order)) * record.itemsize).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(own.tobytes())])
+        latest = np.maximum.reduceat(table["event_ms"].fill_null(0).to_numpy()[order], first)
+        heads = table.select(DEALT).take(pa.array(order[first]))
+        return pa.RecordBatch.from_arrays([*(heads[c].combine_chunks() for c in DEALT), pa.array(latest), values], [*DEALT, "event_ms", "packed"])
+
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        parts.append(batch)
+        held += batch.num_rows
+        if held >= chunk:
+            yield packed(parts)
+            parts, held = [], 0
+    if held:
+        yield packed(parts)
+
+
+def pack(rows: DataFrame, record: np.dtype, buckets: int, *dealt_by: str, chunk: int = CHUNK) -> DataFrame:
+    """``rows``, dealt over buckets, as groups with ``event_ms`` (the latest) and ``packed``: the records of many rows in one value.
+
+    The group of a row is in texts: other types of keys do not reach the state whole.
+    """
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*dealt_by), F.lit(buckets)).cast("int")).select(*DEALT, "event_ms", *record.names)
+    symbol = rows.schema["symbol"].dataType.simpleString()
+    whole = dealt.mapInArrow(lambda batches: _pack(batches, record, chunk), f"date string, symbol {symbol}, bucket int, event_ms bigint, packed binary")
+    return whole.select("date", F.coalesce(F.col("symbol").cast("string"), F.lit("")).alias("stock"), F.col("bucket").cast("string").alias("bucket"), "event_ms", "packed")
+
+
+def _unpacked(rows: Iterator[pd.DataFrame], record: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(value for pdf in rows for value in pdf["packed"]), record)
+
+
+def _named(code: str, names: np.ndarray) -> Column:
+    """The name of a code, by its place."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(code) + 1).alias(code)
 
 
 class OrderProcessor(StatefulProcessor):
-    """State and timers of the buckets: one value and the earliest deadline of each."""
+    """State and timers of the buckets: one value and the earliest deadline of each; ``wanted`` are codes of the events that leave, else all."""
+
+    def __init__(self, wanted: Sequence[int] | None = None):
+        self.wanted = wanted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -286,9 +341,9 @@ class OrderProcessor(StatefulProcessor):
         if not key[1]:  # heartbeats only move the watermark
             return
         bucket, timer = self._load()
-        bucket.advance(_legs(rows))
+        bucket.advance(_unpacked(rows, LEG_T))
         self._keep(key, bucket, timer)
-        out = bucket.frame(key[0], key[1])
+        out = bucket.frame(key[0], key[1], self.wanted)
         if out is not None:
             yield out
 
@@ -303,7 +358,7 @@ class OrderProcessor(StatefulProcessor):
         else:
             bucket.expire(event_ms)
             self._keep(key, bucket, 0)
-        out = bucket.frame(key[0], key[1])
+        out = bucket.frame(key[0], key[1], self.wanted)
         if out is not None:
             yield out
 
@@ -316,26 +371,25 @@ def session_ends(dates: DataFrame, ms: int = CLOSE_MS) -> DataFrame:
     return dates.select("date", F.lit(ms + 2 * WATERMARK_MS).cast("bigint").alias("exch_ms"))
 
 
-def _groups(df: DataFrame, buckets: int, *dealt_by: str) -> DataFrame:
-    """Adds the group of a row in texts: other types of keys do not reach the state whole."""
-    bucket = F.pmod(F.xxhash64(*dealt_by), F.lit(buckets)).cast("string")
-    return df.withColumns({"stock": F.coalesce(F.col("symbol").cast("string"), F.lit("")), "bucket": bucket})
-
-
-def lifecycle_stream(trades: DataFrame, orders: DataFrame, heartbeat: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+def lifecycle_stream(trades: DataFrame, orders: DataFrame, heartbeat: DataFrame | None = None, buckets: int = BUCKETS, events: Sequence[str] | None = None) -> DataFrame:
     """Lifecycle events of two tick streams and the halves of their pairs, in append mode; see EVENTS.
 
     ``heartbeat`` (date, exch_ms) is a stream of clock messages: without one the last day closes only when a record
-    of the next day arrives.
+    of the next day arrives. ``events`` names those that leave the operator, else all do.
     """
     legs = order_legs(trades, orders)
+    kinds = legs.schema
     if heartbeat is not None:
         legs = legs.unionByName(heartbeat.select("date", "exch_ms"), allowMissingColumns=True)
-    legs = legs.withColumn("event_time", event_time(F.col("date"), F.col("exch_ms")))
+    kind = F.coalesce(*[F.when(F.col("kind") == name, code) for name, code in KINDS.items()])
+    legs = legs.withColumns({"event_ms": F.col("exch_ms"), "kind": kind, "biz": F.col("biz_index")})
     trades.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    dealt = _groups(legs.withWatermark("event_time", f"{WATERMARK_MS // 1000} seconds"), buckets, "order_id").groupBy("date", "stock", "bucket")
-    events = dealt.transformWithStateInPandas(OrderProcessor(), EVENTS, "Append", "EventTime")
-    return events.withColumn("symbol", F.col("symbol").cast(legs.schema["symbol"].dataType))
+    packed = pack(legs, LEG_T, buckets, "order_id").withColumn("event_time", event_time(F.col("date"), F.col("event_ms"))).drop("event_ms")
+    dealt = packed.withWatermark("event_time", f"{WATERMARK_MS // 1000} seconds").groupBy(*GROUP)
+    coded = EVENTS.replace(" event string, close_reason string,", " event int, close_reason int,")
+    wanted = None if events is None else [code for code, name in enumerate(NAMES) if name in events]
+    told = dealt.transformWithStateInPandas(OrderProcessor(wanted), coded, "Append", "EventTime")
+    return told.withColumns({"symbol": F.col("symbol").cast(kinds["symbol"].dataType), "event": _named("event", NAMES), "close_reason": _named("close_reason", REASONS)})
 
 
 class PairProcessor(StatefulProcessor):
@@ -348,14 +402,8 @@ class PairProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = self.state.get()
-        parts = [np.frombuffer(bytes(kept[0]), self.HALF)] if kept is not None else []
-        for pdf in rows:
-            own = np.zeros(len(pdf), self.HALF)
-            for name in ("side", "order_id", "estimated", *ORDER_KEY):
-                own[name] = pdf[name].to_numpy()
-            own["confirm_ms"], own["known"] = pdf["event_ms"].to_numpy(), pdf["event"].to_numpy() == NAMES[KNOWN]
-            parts.append(own)
-        h = np.concatenate(parts)
+        new = _unpacked(rows, self.HALF)
+        h = np.concatenate([np.frombuffer(bytes(kept[0]), self.HALF), new]) if kept is not None else new
         h = h[np.lexsort([h[c] for c in ("side", *reversed(ORDER_KEY))])]
         pair = np.zeros(len(h), bool)  # a buying half and the selling one behind it
         pair[:-1] = (h["side"][:-1] == 0) & (h["side"][1:] == 1) & np.logical_and.reduce([h[c][:-1] == h[c][1:] for c in ORDER_KEY])
@@ -382,9 +430,9 @@ def pair_stream(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     A pair of which a parent stays unknown, or had closed before the trade, comes with ``resolved`` false.
     """
-    halves = _groups(events.filter(F.col("event").isin(*NAMES[[KNOWN, UNKNOWN]])), buckets, "local_us", "serial")
+    halves = events.filter(F.col("event").isin(*NAMES[[KNOWN, UNKNOWN]])).withColumns({"confirm_ms": F.col("event_ms"), "known": F.col("event") == NAMES[KNOWN]})
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    pairs = halves.groupBy("date", "stock", "bucket").transformWithStateInPandas(PairProcessor(), PAIRS, "Append", "None")
+    pairs = pack(halves, PairProcessor.HALF, buckets, "local_us", "serial").groupBy(*GROUP).transformWithStateInPandas(PairProcessor(), PAIRS, "Append", "None")
     return pairs.withColumn("symbol", F.col("symbol").cast(events.schema["symbol"].dataType))
 
 
