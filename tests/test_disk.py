@@ -47,3 +47,26 @@ def test_pairs_travel_with_what_is_asked_for(spark, feed):
     assert "trade_index" not in plan and "bsflag" not in plan and out.count() > 0
     assert len(tables(spark) - before) == 2  # states and pairs; the parents are gone
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+@pytest.mark.parametrize("name", ["market_microstructure_family", "demo_family"])
+def test_families_leave_no_states_behind(spark, feed, name):
+    before = tables(spark)
+    load()[0][name](spark, feed)
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    left = [set(spark.read.parquet(f"{folder}/{table}").columns) for table in tables(spark) - before]
+    assert left and not any(c & {"first_leg", "_calm", "o9", "buy_id", "close_key"} for c in left)
+
+
+def test_flows_of_a_written_series_are_those_of_the_books(spark, tmp_path):
+    from tests.test_passes import cuts_of, market
+    from tickloom.operators.ofi import flow_series
+    from tickloom.plans.demo_family import flows
+    from tickloom.plans.registry import Streams
+
+    df = market(spark, tmp_path)
+    book = [F.array(*[F.get(n, F.lit(0)) + F.lit(i).cast("bigint") for i in range(10)]).alias(n) for n in ("bp", "bv", "ap", "av")]
+    quotes = df.select(*[c for c in df.columns if c not in ("bp", "bv", "ap", "av")], *book)
+    streams, cuts = Streams(quotes, df, df), cuts_of(spark, [(300_000_000, 0, 0, 0), (10**12, 0, 0, 0)])
+    got, want = (sorted(map(tuple, f.collect())) for f in (flows(streams, cuts, flow_series(quotes, [])), flows(streams, cuts)))
+    assert got == want and len(got) == 4
