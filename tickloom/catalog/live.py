@@ -45,7 +45,7 @@ def finish(stream, spark):
     """Run what is there, then read the sink back."""
     folder = f"{checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
     q = (
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        stream.writeStream.format("parquet").option("compression", "zstd").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         .outputMode("append").trigger(availableNow=True).start()
     )
     q.awaitTermination()
